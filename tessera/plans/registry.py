@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("tessera.plans.panel_queries",)
+_MODULES = ("tessera.plans.panel_queries", "tessera.plans.text_queries")
 
 
 def _load():
