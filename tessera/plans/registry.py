@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("tessera.plans.panel_queries", "tessera.plans.text_queries")
+_MODULES = ("tessera.plans.panel_queries", "tessera.plans.text_queries",
+            "tessera.plans.entity_queries")
 
 
 def _load():
