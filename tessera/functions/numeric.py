@@ -17,7 +17,7 @@ def clip_at_zero(c) -> Column:
 
 def truncate_int(c) -> Column:
     """F16: toward-zero truncation, NULL (not an error) for NaN/overflow."""
-    return F.try_cast(_c(c), "int")
+    return _c(c).try_cast("int")
 
 
 def round_half_even(c, digits: int = 2) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 # Defaults for a session we build ourselves (tests, bench, local runs).
 _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.driver.memory": "8g",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -85,3 +86,45 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized_for_fitting(df, rows_per_partition: int = 250_000):
+    """Persist a training frame with a partition count fitted to its size.
+
+    Spark ML optimisers run one job per iteration; on small inputs the task
+    count, not the data, dominates each job, while large inputs still get
+    ``ceil(rows / rows_per_partition)`` partitions (never more than the
+    frame already has; reducing uses ``coalesce``, which does not shuffle).
+    """
+    import math
+
+    n = df.count()
+    target = max(1, math.ceil(n / rows_per_partition))
+    current = df.rdd.getNumPartitions()
+    out = (df.coalesce(target) if target < current else df).persist()
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+_SCOPES: list[list] = []
+
+
+class fitting_scope:
+    """Unpersist every frame cached by ``sized_for_fitting`` inside the block.
+
+    Use with ``materialize`` on the (small) result so nothing downstream
+    still needs the cached training data::
+
+        with fitting_scope():
+            out = materialize(fit_and_evaluate(...))
+    """
+
+    def __enter__(self):
+        _SCOPES.append([])
+        return self
+
+    def __exit__(self, *exc):
+        for df in _SCOPES.pop():
+            df.unpersist()
+        return False
