@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import let
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results:
 # the stop-word list (98 words), the positive lexicon (34 words) and the
@@ -153,12 +155,19 @@ def keyword_class(name, keywords, hit: str = "Public", miss: str = "Private") ->
 
 
 def bigrams(toks) -> Column:
-    """Adjacent token pairs joined by a space."""
-    t = _c(toks)
-    return F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))),
-                       lambda x, i: F.concat(x, F.lit(" "), F.element_at(t, i + 2)))
+    """Adjacent token pairs joined by a space.
+
+    Pairs the array without its last element with the array without its
+    first, so the token array is evaluated once per row (referencing it
+    inside a per-element lambda would re-evaluate it for every element).
+    """
+    def pairs(t):
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n),
+                          lambda a, b: F.concat(a, F.lit(" "), b))
+    return let(_c(toks), pairs)
 
 
 def uni_bi_grams(toks) -> Column:
     """M10 input: unigrams followed by bigrams."""
-    return F.concat(_c(toks), bigrams(toks))
+    return let(_c(toks), lambda t: F.concat(t, bigrams(t)))

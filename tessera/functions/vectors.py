@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import let
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -20,9 +22,9 @@ def dot(a, b) -> Column:
 
 
 def scale(v, s) -> Column:
-    """V2: v * s."""
+    """V2: v * s (s evaluated once per row)."""
     s = s if isinstance(s, Column) else F.lit(float(s))
-    return F.transform(_c(v), lambda x: x * s)
+    return let(s, lambda c: F.transform(_c(v), lambda x: x * c))
 
 
 def subtract(a, b) -> Column:
@@ -33,7 +35,7 @@ def subtract(a, b) -> Column:
 def projection(v, u) -> Column:
     """V4: projection of v on u = (v.u / u.u) * u; NULL when u is zero."""
     coef = F.try_divide(dot(v, u), dot(u, u))
-    return F.when(coef.isNotNull(), scale(u, coef))
+    return let(coef, lambda c: F.when(c.isNotNull(), F.transform(_c(u), lambda x: x * c)))
 
 
 def norm(v) -> Column:
@@ -42,8 +44,7 @@ def norm(v) -> Column:
 
 def normalize(v) -> Column:
     """V7: unit vector; NULL for a zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(_c(v), lambda x: x / n))
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(_c(v), lambda x: x / n)))
 
 
 def residual(v, basis) -> Column:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.dates import year_month
+
 PAGE_ROWS = 500
 ALL_PREFIX = "All"  # "All Products", "All Stores", ... mean "no filter"
 
@@ -31,7 +33,7 @@ def sales_display(monthly: DataFrame) -> DataFrame:
     """Month as yyyy-MM, quantity with thousands separators, promotion
     as a check mark or a dash."""
     return monthly.select(
-        F.date_format("date", "yyyy-MM").alias("month"), "store", "product",
+        year_month("date").alias("month"), "store", "product",
         F.format_number(F.col("sales_qty").cast("long"), 0).alias("units"),
         F.when(F.col("promotion") == 1, "✓").otherwise("—").alias("promo"),
         F.col("sales_qty"), F.col("date"))

@@ -78,6 +78,61 @@ def monthly_rollup(sales: DataFrame, keys=SERIES_KEYS, date: str = "date") -> Da
                  .agg(*aggs))
 
 
+def imputed_monthly_rollup(sales: DataFrame, keys=SERIES_KEYS, date: str = "date",
+                           qty: str = "sales_qty", promo: str = "promotion",
+                           price: str = "price", materialize_with=None) -> DataFrame:
+    """F7 + A1 in ONE pass over the (joined) sales input.
+
+    Median imputation needs the median of all quantities before the rollup;
+    computing it as a separate subquery would run the lineitem joins twice.
+    Instead one ``GROUPING SETS`` aggregate produces both the monthly groups
+    (sum, NULL count, max promotion, price cents) and the quantity histogram
+    (value -> count, bounded by the number of distinct quantities).  The
+    median comes from the histogram, and each group adds
+    ``n_null * median`` to its sum -- the same result as imputing first.
+
+    ``materialize_with`` (e.g. ``session.materialize``) stores the small
+    aggregate so the histogram and the groups are read from it.
+    """
+    d = month_start(date).alias(date)
+    cents = F.round(F.col(price) * 100).cast("bigint")
+    pre = sales.select(d, *keys, F.col(qty), F.coalesce(F.col(promo), F.lit(0)).alias(promo),
+                       cents.alias("_cents"), F.col(price))
+    agg = (pre.groupingSets([[date, *keys], [qty]], date, *keys, qty)
+              .agg(F.grouping_id().alias("_gid"), F.sum(qty).alias("_sum"),
+                   F.count_if(F.col(qty).isNull()).alias("_nnull"), F.max(promo).alias(promo),
+                   F.sum("_cents").alias("_cents"), F.count(price).alias("_nprice"),
+                   F.count(F.lit(1)).alias("_n")))
+    if materialize_with is not None:
+        agg = materialize_with(agg)
+    n_keys = len(keys) + 1
+    groups_gid, hist_gid = 1, (1 << (n_keys + 1)) - 2  # bit order: date, *keys, qty
+    hist = agg.where((F.col("_gid") == hist_gid) & F.col(qty).isNotNull()).select(qty, "_n")
+    med = _median_from_histogram(hist, qty, "_n")
+    valid = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (date, *keys)])
+    qty_type = sales.schema[qty].dataType
+    total = F.coalesce(F.col("_sum"), F.lit(0)) + F.col("_nnull") * F.coalesce(med.cast(qty_type), F.lit(0))
+    return (agg.where((F.col("_gid") == groups_gid) & valid)
+               .select(date, *keys, total.cast("bigint").alias(qty), promo,
+                       F.try_divide(F.col("_cents"), F.col("_nprice") * F.lit(100.0)).alias("avg_price")))
+
+
+def _median_from_histogram(hist: DataFrame, value: str, count: str) -> Column:
+    """Exact median from (value, count) rows, as a scalar subquery.
+
+    The window runs over the distinct values only (a histogram).
+    """
+    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("_cum", F.sum(count).over(w)).withColumn(
+        "_tot", F.sum(count).over(Window.partitionBy()))
+    lo = (F.col("_tot") - 1) / 2  # 0-based middle positions (floor / ceil)
+    lo_i, hi_i = F.floor(lo), F.ceil(lo)
+    pick = cum.select(
+        F.min(F.when(F.col("_cum") > lo_i, F.col(value))).alias("a"),
+        F.min(F.when(F.col("_cum") > hi_i, F.col(value))).alias("b"))
+    return pick.select((F.col("a") + F.col("b")) / 2.0).scalar()
+
+
 # ------------------------------------------------------------------------ F9
 def code_table(domain_of: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """F9 fit: (value, code) with code = position in the sorted distinct domain.

@@ -133,10 +133,24 @@ def exact_stratified_split(df: DataFrame, id_col: str, label: str, test_fraction
 
 
 # ------------------------------------------------------------- M10 TF-IDF
-def term_frequencies(docs: DataFrame, doc: str = "doc_id", toks: str = "tokens") -> DataFrame:
-    """(doc, term, tf) over unigrams and bigrams of each document."""
-    return (docs.select(doc, F.explode(T.uni_bi_grams(F.col(toks))).alias("term"))
-                .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
+def term_frequencies(docs: DataFrame, doc: str = "doc_id", toks: str = "tokens",
+                     text: str | None = None) -> DataFrame:
+    """(doc, term, tf) over unigrams and bigrams of each document.
+
+    Documents are hash-partitioned by id *before* the explode: the shuffle
+    then moves documents (corpus bytes), not exploded terms (about twice
+    the corpus plus a row header per term), the (doc, term) aggregation
+    needs no further exchange, and tokenising runs on every partition even
+    when the input arrives in few splits.  Ids are unique, so no partition
+    can be hot.
+    """
+    if text is not None:  # tokenise after the repartition (spreads the regex work)
+        spread = docs.select(doc, text).repartition(doc)
+        spread = spread.select(doc, T.tokens(text).alias(toks))
+    else:
+        spread = docs.select(doc, toks).repartition(doc)
+    return (spread.select(doc, F.explode(T.uni_bi_grams(F.col(toks))).alias("term"))
+                  .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def fit_vocabulary(tf: DataFrame, n_docs, max_terms: int = 2500, min_df: int = 2,

@@ -30,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import let
 from tessera.functions.vectors import dot, residual
 from tessera.session import ensure_checkpoint_dir
 
@@ -44,15 +45,17 @@ def _fold(chunk_rows, basis, dim: int, tol: float):
 
     def step(acc, r):
         v = r["vec"]
-        u = residual(v, acc["basis"])
-        vv = dot(v, v)
-        is_zero = (F.size(acc["basis"]) >= dim) | v.isNull() | (vv <= 0) | \
-                  (dot(u, u) <= F.lit(tol * tol) * vv)
-        new_basis = F.when(is_zero, acc["basis"]).otherwise(
-            F.concat(acc["basis"], F.array(u)))
-        item = F.struct(r["ord"].cast("bigint").alias("ord"),
-                        F.when(is_zero, F.lit(None).cast("array<double>")).otherwise(u).alias("u"))
-        return F.struct(new_basis.alias("basis"), F.concat(acc["out"], F.array(item)).alias("out"))
+
+        def with_u(u):  # u: the residual, computed once per row via let()
+            vv = dot(v, v)
+            is_zero = (F.size(acc["basis"]) >= dim) | v.isNull() | (vv <= 0) | \
+                      (dot(u, u) <= F.lit(tol * tol) * vv)
+            new_basis = F.when(is_zero, acc["basis"]).otherwise(
+                F.concat(acc["basis"], F.array(u)))
+            item = F.struct(r["ord"].cast("bigint").alias("ord"),
+                            F.when(is_zero, F.lit(None).cast("array<double>")).otherwise(u).alias("u"))
+            return F.struct(new_basis.alias("basis"), F.concat(acc["out"], F.array(item)).alias("out"))
+        return let(residual(v, acc["basis"]), with_u)
 
     return F.aggregate(chunk_rows, init, step)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import metrics
 from tessera.operators import text as X
-from tessera.session import sized_for_fitting
+from tessera.session import sized_for_fitting, spread, tracked
 
 MAX_TERMS, MIN_DF = 2500, 2
 LR_MAX_ITER, LR_C, NB_ALPHA, RF_TREES, RF_MAX_DEPTH = 500, 1.0, 0.5, 100, 30
@@ -33,7 +33,11 @@ def require_classes(labelled: DataFrame, label: str = "label", minimum: int = 2)
 
 def tfidf_vectors(split: DataFrame):
     """(frame with ``features``, vocabulary list) — fitted on the train part."""
-    terms = split.withColumn("terms", T.uni_bi_grams(F.col("tokens")))
+    n = split.count()
+    base = spread(split.select("doc_id", "review_text", "label", "is_test"), n, "doc_id")
+    # tokens + n-grams computed once, on every partition, for the three passes below
+    terms = tracked(base.select("doc_id", "label", "is_test",
+                                T.uni_bi_grams(T.tokens("review_text")).alias("terms")).persist())
     train = terms.where(~F.col("is_test"))
     cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=MAX_TERMS, minDF=MIN_DF).fit(train)
     counted = cv.transform(terms)
@@ -51,8 +55,12 @@ def classifiers(n_train: int):
                                                   elasticNetParam=0.0, standardization=False,
                                                   family="multinomial"),
         "Naive Bayes": NaiveBayes(smoothing=NB_ALPHA, modelType="multinomial"),
+        # cacheNodeIds / maxMemoryInMB / checkpointInterval only change how
+        # deep trees are scheduled (fewer passes), not the model's settings
         "Random Forest": RandomForestClassifier(numTrees=RF_TREES, maxDepth=RF_MAX_DEPTH,
-                                                featureSubsetStrategy="sqrt", seed=SEED),
+                                                featureSubsetStrategy="sqrt", seed=SEED,
+                                                cacheNodeIds=True, maxMemoryInMB=1024,
+                                                checkpointInterval=10),
     }
 
 

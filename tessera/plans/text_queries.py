@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import metrics
 from tessera.operators import text as X
+from tessera.session import materialize
 from tessera.sources import views
 from tessera.sources.views_sql import with_views
 
@@ -33,14 +34,19 @@ def labelled_split(spark, sf_dir) -> DataFrame:
 
 
 def tfidf_parts(spark, sf_dir):
-    """(split frame, train-fitted vocabulary, weights for every doc)."""
+    """(split frame, train-fitted vocabulary, weights for every doc).
+
+    The (doc, term, tf) table feeds the vocabulary fit and the weights, and
+    the weights feed the naive-Bayes fit and prediction, so both are
+    checkpointed once instead of re-tokenising the corpus per consumer.
+    """
     s = labelled_split(spark, sf_dir)
-    tf = X.term_frequencies(s.select("doc_id", "tokens"))
+    tf = materialize(X.term_frequencies(s.select("doc_id", "review_text"), text="review_text"))
     train_ids = s.where(~F.col("is_test")).select("doc_id")
     train_tf = tf.join(train_ids, "doc_id", "left_semi")
     n_train = train_ids.select(F.count(F.lit(1))).scalar()
     vocab = X.fit_vocabulary(train_tf, n_train, MAX_TERMS, MIN_DF)
-    return s, vocab, X.tfidf(tf, vocab)
+    return s, vocab, materialize(X.tfidf(tf, vocab))
 
 
 def nb_predictions(spark, sf_dir) -> DataFrame:

@@ -88,20 +88,29 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def sized_for_fitting(df, rows_per_partition: int = 250_000):
+def sized_for_fitting(df, rows_per_partition: int = 2_000):
     """Persist a training frame with a partition count fitted to its size.
 
-    Spark ML optimisers run one job per iteration; on small inputs the task
-    count, not the data, dominates each job, while large inputs still get
-    ``ceil(rows / rows_per_partition)`` partitions (never more than the
-    frame already has; reducing uses ``coalesce``, which does not shuffle).
+    Spark ML optimisers run one job per iteration.  On tiny inputs the task
+    count, not the data, dominates each job, so they are coalesced (no
+    shuffle) to ``ceil(rows / rows_per_partition)`` partitions; a frame that
+    arrives in fewer splits than that is spread over up to
+    ``defaultParallelism`` partitions; large, well-split inputs are kept as
+    they are.
     """
     import math
 
     n = df.count()
     target = max(1, math.ceil(n / rows_per_partition))
     current = df.rdd.getNumPartitions()
-    out = (df.coalesce(target) if target < current else df).persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if target < current:
+        out = df.coalesce(target)
+    elif current < min(target, cores):
+        out = df.repartition(min(target, cores))
+    else:
+        out = df
+    out = out.persist()
     if _SCOPES:
         _SCOPES[-1].append(out)
     return out
@@ -110,6 +119,28 @@ def sized_for_fitting(df, rows_per_partition: int = 250_000):
 _SCOPES: list[list] = []
 
 
+def tracked(df):
+    """Register a frame the caller persisted with the active fitting scope."""
+    if _SCOPES:
+        _SCOPES[-1].append(df)
+    return df
+
+
+def spread(df, rows: int | None = None, key: str | None = None, rows_per_partition: int = 2_000):
+    """Give a CPU-heavy stage enough partitions when its input arrives in
+    fewer splits than cores (e.g. one large parquet row group).  A no-op for
+    inputs already split at least ``defaultParallelism`` ways, which is the
+    normal case on a cluster."""
+    import math
+
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    current = df.rdd.getNumPartitions()
+    want = cores if rows is None else min(cores, max(1, math.ceil(rows / rows_per_partition)))
+    if current >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
+
+
 class fitting_scope:
     """Unpersist every frame cached by ``sized_for_fitting`` inside the block.
 

@@ -80,3 +80,21 @@ def test_stream_scoring_equals_batch(spark):
                        ts["pos_hits"].alias("pos_hits"), ts["neg_hits"].alias("neg_hits"))
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_parse_date_handles_text_and_garbage(spark):
+    from tessera.functions.dates import parse_date
+    df = spark.createDataFrame([("2023-06-01",), ("2023-06-01 10:00:00",), ("not a date",), (None,)], "d string")
+    got = [r[0] for r in df.select(parse_date("d")).collect()]
+    import datetime as dt
+    assert got == [dt.date(2023, 6, 1), dt.date(2023, 6, 1), None, None]
+
+
+def test_export_predictions_round_trip(spark):
+    out = tempfile.mkdtemp(prefix="tessera-pred-")
+    df = spark.createDataFrame([("2023-07-01", "s", "p", 10.0, 12.5)],
+                               "date string, store string, product string, actual double, predicted double")
+    sinks.export_predictions(df, out + "/p")
+    back = contracts.read_csv(spark, out + "/p", "date string, store string, product string, "
+                                                 "actual double, predicted double")
+    assert back.first().predicted == 12.5
