@@ -17,7 +17,7 @@ def parse_date(c, fmt: str | None = None) -> Column:
     c = _c(c)
     if fmt is None:
         return F.coalesce(F.try_to_timestamp(c.cast("string")).cast("date"),
-                          F.try_cast(c.cast("string"), "date"))
+                          c.cast("string").try_cast("date"))
     return F.try_to_timestamp(c.cast("string"), F.lit(fmt)).cast("date")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import keyword_class
+from tessera.session import materialize
 
 NUMERIC = ("overall_score", "research_score", "teaching_score", "hec_score", "hec_rank", "year_founded")
 FEATURES = ("overall_score", "research_score", "teaching_score", "hec_score")
@@ -134,15 +135,17 @@ def recommend_batch(profile: DataFrame, raw: DataFrame, requests: DataFrame, k:
                              f"{MAX_GPA_LEVELS * len(PREFERENCES)} (gpa on a 0.1 grid in [2, 4])")
     prefs = _pref_rows(profile, key)
     base = F.col("overall_score") * (F.col("gpa") / 4.0) + F.col("pref_score")
-    # bounded key table (<= 63 rows): broadcast
-    scored = prefs.join(F.broadcast(keys), "preference").withColumn("base", base)
+    # bounded key table (<= 63 rows): broadcast.  ``scored`` and ``offered``
+    # feed several candidate branches, so each is stored once (checkpoint)
+    # instead of re-aggregating the entity table per branch.
+    scored = materialize(prefs.join(F.broadcast(keys), "preference").withColumn("base", base))
 
     order = [F.desc("base"), F.asc(key)]
     w_a = Window.partitionBy("gpa", "preference").orderBy(*order)
     cand_all = (scored.withColumn("_r", F.row_number().over(w_a)).where(F.col("_r") <= k)
                       .select("gpa", "preference", key, "base"))
 
-    offered = raw.select(key, "department").where(F.col("department").isNotNull()).distinct()
+    offered = materialize(raw.select(key, "department").where(F.col("department").isNotNull()).distinct())
     w_b = Window.partitionBy("gpa", "preference", "department").orderBy(*order)
     cand_dept = (scored.join(offered, key)
                        .withColumn("_r", F.row_number().over(w_b)).where(F.col("_r") <= k)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import display, panel
 from tessera.plans.panel_queries import MONTHLY_SQL, monthly
-from tessera.sources import contracts
+from tessera.sources import contracts, views
 from tessera.sources.tables import read_table
 from tessera.sources.views_sql import with_views
 
@@ -42,8 +42,11 @@ def q_sales_contract_rollup(spark, sf_dir):
 
 
 def q_filtered_store_rollup(spark, sf_dir):
-    m = monthly(spark, sf_dir, checkpoint=False)
-    out = display.filter_equals(m, STORE_SELECTION)
+    """P3 on the interactive path: selections filter the sales rows before
+    the rollup (the predicate reaches the region scan), and, as in that
+    path, no imputation runs."""
+    s = display.filter_equals(views.sales(spark, sf_dir), STORE_SELECTION)
+    out = panel.monthly_rollup(s)
     return out.withColumn("avg_price", F.round("avg_price", R) + F.lit(0.0))
 
 
@@ -74,8 +77,11 @@ SELECT doc_id, 'General' AS category, 3 AS rating, 0 AS helpful_votes, length(te
         f"SELECT date, store, product, sales_qty, promotion, round(avg_price, {R}) + 0.0E0 AS avg_price FROM monthly",
         extra={"sales": _UPLOAD, "monthly": MONTHLY_SQL}),
     "filtered_store_rollup": with_views(f"""
-SELECT date, store, product, sales_qty, promotion, round(avg_price, {R}) + 0.0E0 AS avg_price
-FROM monthly WHERE store = 'EUROPE'""", "sales", extra={"monthly": MONTHLY_SQL}),
+SELECT CAST(date_trunc('month', date) AS DATE) AS date, store, product,
+       CAST(coalesce(sum(sales_qty), 0) AS BIGINT) AS sales_qty, max(promotion) AS promotion,
+       round(sum(CAST(round(price*100) AS BIGINT)) / (100.0E0*count(price)), {R}) + 0.0E0 AS avg_price
+FROM sales WHERE store = 'EUROPE' AND date IS NOT NULL AND product IS NOT NULL
+GROUP BY 1, 2, 3""", "sales"),
     "sales_display_page": with_views("""
 SELECT strftime(date, '%Y-%m') AS month, store, product, format('{:,}', sales_qty) AS units,
        CASE WHEN promotion = 1 THEN '✓' ELSE '—' END AS promo

@@ -32,7 +32,8 @@ def _forecast_feature_importance(spark, sf_dir):
                              .withColumn("label", F.col("sales_qty").cast("double")))
     rf = RandomForestRegressor(numTrees=forecast.RF_TREES, maxDepth=forecast.RF_DEPTH,
                                minInstancesPerNode=forecast.RF_MIN_LEAF,
-                               featureSubsetStrategy="all", seed=forecast.SEED).fit(data)
+                               featureSubsetStrategy="all", seed=forecast.SEED,
+                               **forecast.TREE_SCHEDULING).fit(data)
     return _round(forecast.feature_importance(spark, rf, cols), ["importance"])
 
 

@@ -17,6 +17,7 @@ from tessera.functions.numeric import agreement, truncate_int
 from tessera.operators import entities as E
 from tessera.operators import metrics
 from tessera.operators import text as X
+from tessera.plans.forecast import TREE_SCHEDULING
 from tessera.session import sized_for_fitting
 
 SEED = 42
@@ -54,9 +55,10 @@ def _mlp_predict(model, centres, df: DataFrame, out: str) -> DataFrame:
 
 
 def fit_models(data: DataFrame):
-    rf = RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, featureSubsetStrategy="all", seed=SEED)
+    rf = RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, featureSubsetStrategy="all",
+                               seed=SEED, **TREE_SCHEDULING)
     gb = GBTRegressor(maxIter=GBT_ITERS, maxDepth=GBT_DEPTH, stepSize=GBT_RATE, seed=SEED,
-                      checkpointInterval=10)
+                      checkpointInterval=10, cacheNodeIds=True)
     return _mlp_rank_model(data), rf.fit(data), gb.fit(data)
 
 
@@ -96,6 +98,6 @@ def feature_importance(profile: DataFrame, spark) -> DataFrame:
     """M19 for the rank forest fitted on all entities."""
     data = sized_for_fitting(prepare(profile))
     rf = RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, featureSubsetStrategy="all",
-                               seed=SEED).fit(data)
+                               seed=SEED, **TREE_SCHEDULING).fit(data)
     rows = [(f, float(v)) for f, v in zip(E.FEATURES, rf.featureImportances.toArray())]
     return spark.createDataFrame(rows, "feature string, importance double")
