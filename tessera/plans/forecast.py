@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import clip_at_zero
-from tessera.operators import metrics, panel
+from tessera.operators import display, metrics, panel
+from tessera.sources.contracts import min_rows
 from tessera.session import ensure_checkpoint_dir, sized_for_fitting
 
 # Reference hyper-parameters of the batch forecast run.
@@ -24,6 +25,7 @@ RF_TREES, RF_DEPTH, RF_MIN_LEAF = 200, 12, 5
 GBT_ITERS, GBT_DEPTH, GBT_RATE = 200, 5, 0.05
 SEED = 42
 MODEL_ORDER = ("Linear Regression", "Random Forest", "Gradient Boosting")
+MIN_ROWS = 20  # fewer rows after the selections: refuse to train (P7)
 # Scheduling-only settings for deep forests: cache each row's node id
 # between levels and group more nodes per pass; the model settings above
 # are unchanged.
@@ -52,13 +54,18 @@ def estimators(trees: int = RF_TREES, gbt_iters: int = GBT_ITERS):
 
 
 def fit_and_score(features: DataFrame, holdout_months: int = 6, use_promotion: bool = True,
-                  trees: int = RF_TREES, gbt_iters: int = GBT_ITERS):
+                  trees: int = RF_TREES, gbt_iters: int = GBT_ITERS, selections: dict | None = None):
     """Returns (predictions long table, fitted models, feature names).
 
     predictions: date, store, product, model, actual, predicted (clipped).
+    ``selections`` ({"store": ..., "product": ...}, "All..." = no filter)
+    reproduce the interactive path: the encodings were fitted on every row
+    before the filter, and the hold-out cutoff comes from the filtered rows.
     """
     ensure_checkpoint_dir(features.sparkSession)
     cols = feature_columns(use_promotion)
+    if selections:
+        features = min_rows(display.filter_equals(features, selections), MIN_ROWS)
     split = panel.temporal_split(features, holdout_months)
     data = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error") \
         .transform(split).select("date", "store", "product", "features",

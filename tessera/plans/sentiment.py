@@ -17,11 +17,13 @@ from tessera.functions import text as T
 from tessera.operators import metrics
 from tessera.operators import text as X
 from tessera.session import sized_for_fitting, spread, tracked
+from tessera.sources.contracts import min_rows
 
 MAX_TERMS, MIN_DF = 2500, 2
 LR_MAX_ITER, LR_C, NB_ALPHA, RF_TREES, RF_MAX_DEPTH = 500, 1.0, 0.5, 100, 30
 SEED = 42
 MODEL_ORDER = ("Logistic Regression", "Naive Bayes", "Random Forest")
+MIN_ROWS = 30  # fewer reviews after the filters: refuse to train (P7)
 
 
 def require_classes(labelled: DataFrame, label: str = "label", minimum: int = 2) -> None:
@@ -67,7 +69,7 @@ def classifiers(n_train: int):
 def fit_and_score(reviews: DataFrame):
     """reviews (doc_id, tokens, sentiment) -> long prediction table
     (model, doc_id, label, prediction) over the test part."""
-    labelled = reviews.withColumn("label", T.label_code("sentiment"))
+    labelled = min_rows(reviews, MIN_ROWS).withColumn("label", T.label_code("sentiment"))
     require_classes(labelled)
     split = X.hash_split(labelled, "doc_id")
     vec, _ = tfidf_vectors(split)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import metrics
 from tessera.operators import text as X
-from tessera.session import materialize
+from tessera.session import materialize, spread
 from tessera.sources import views
 from tessera.sources.views_sql import with_views
 
@@ -24,8 +24,9 @@ def _round(df: DataFrame, cols) -> DataFrame:
 
 def scored_reviews(spark, sf_dir) -> DataFrame:
     """reviews view + tokens + derived sentiment (the frame every text query
-    starts from)."""
-    return X.with_sentiment(X.with_tokens(views.reviews(spark, sf_dir)))
+    starts from).  ``spread`` only acts when the documents arrive in fewer
+    splits than cores, so the regex work uses every core."""
+    return X.with_sentiment(X.with_tokens(spread(views.reviews(spark, sf_dir), key="doc_id")))
 
 
 def labelled_split(spark, sf_dir) -> DataFrame:
@@ -61,7 +62,7 @@ def nb_predictions(spark, sf_dir) -> DataFrame:
 
 # ------------------------------------------------------------------ queries
 def q_review_clean_text(spark, sf_dir):
-    r = views.reviews(spark, sf_dir)
+    r = spread(views.reviews(spark, sf_dir), key="doc_id")
     return r.select("doc_id", T.clean_text("review_text").alias("clean_text"))
 
 
@@ -90,7 +91,7 @@ def q_sentiment_kpis(spark, sf_dir):
 
 
 def q_token_counts(spark, sf_dir):
-    return X.token_counts(X.with_tokens(views.reviews(spark, sf_dir)))
+    return X.token_counts(X.with_tokens(spread(views.reviews(spark, sf_dir), key="doc_id")))
 
 
 def q_top_keywords_by_sentiment(spark, sf_dir):

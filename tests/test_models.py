@@ -63,3 +63,10 @@ def test_sentiment_flow_runs_and_scores_every_test_doc(spark):
         assert all(c == n_test for c in counts.values())
         comp = sentiment.comparison(preds).collect()
         assert sum(r.best_accuracy for r in comp) == 1
+
+
+def test_forecast_refuses_tiny_selection(spark):
+    from tessera.plans import forecast, panel_queries
+    feats = panel_queries.features(spark, SF_SMALL)
+    with pytest.raises(ValueError):
+        forecast.fit_and_score(feats, selections={"store": "no such store"})
