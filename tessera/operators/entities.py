@@ -33,6 +33,9 @@ PUBLIC_KEYWORDS = ("university of", "government", "national", "public")
 TYPE_BONUS, DEPT_BONUS = 15.0, 10.0
 # Upper bound on distinct GPA levels per request batch (2.0..4.0 step 0.1).
 MAX_GPA_LEVELS = 21
+# Largest per-profile top-k table broadcast to the requests; beyond it the
+# join is a shuffle join (AQE splits a skewed profile).
+MAX_BROADCAST_PROFILES = 200_000
 # Rank-difference verdict ladder (P10).
 VERDICTS = ((0, "perfect"), (3, "excellent"), (5, "good"))
 
@@ -163,9 +166,12 @@ def recommend_batch(profile: DataFrame, raw: DataFrame, requests: DataFrame, k:
     cands = a.unionByName(b).dropDuplicates(["gpa", "preference", "department", key])
     w_c = Window.partitionBy("gpa", "preference", "department").orderBy(F.desc("final_score"), F.asc(key))
     top = (cands.withColumn("rank", F.row_number().over(w_c)).where(F.col("rank") <= k))
-    # top has <= k rows per distinct request profile (bounded by the key
-    # domains above); broadcasting it keeps a hot profile off one reducer.
-    return (requests.join(F.broadcast(top), ["gpa", "preference", "department"])
+    # top has <= k rows per distinct request profile.  Broadcasting it keeps
+    # a hot profile (a third of all requests) off one reducer; its size is
+    # checked first, and a large profile table falls back to a shuffle join.
+    n_profiles = profiles.count()
+    small = n_profiles <= MAX_BROADCAST_PROFILES
+    return (requests.join(F.broadcast(top) if small else top, ["gpa", "preference", "department"])
                     .select("request_id", "rank", key, "final_score"))
 
 
