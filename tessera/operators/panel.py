@@ -42,12 +42,17 @@ FEATURE_COLS = (
 
 
 # --------------------------------------------------------------------- F7 / A20
-def median_of(df: DataFrame, col: str) -> Column:
-    """Exact median as a scalar subquery.
-
-    Spark's percentile buffer is a value->count map, so memory follows the
-    number of distinct values, not rows (quantities are small integers).
+def median_of(df: DataFrame, col: str, approx_accuracy: int | None = None) -> Column:
+    """Median as a scalar subquery.
+
+    Exact by default: Spark's percentile buffer is a value->count map, so
+    memory follows the number of distinct values, not rows (quantities are
+    small integers).  For a high-cardinality column pass
+    ``approx_accuracy`` (e.g. 10000) to use ``percentile_approx``, whose
+    sketch has a fixed size whatever the input.
     """
+    if approx_accuracy:
+        return df.select(F.percentile_approx(col, 0.5, approx_accuracy)).scalar()
     return df.select(F.median(col)).scalar()
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import let
-from tessera.functions.vectors import dot, residual
+from tessera.functions.vectors import dot, normalize, residual
 from tessera.session import ensure_checkpoint_dir
 
 ZERO_TOL = 1e-10  # |u| <= tol * |v|  ->  v depends on the previous vectors
@@ -61,8 +61,20 @@ def _fold(chunk_rows, basis, dim: int, tol: float):
 
 
 def gram_schmidt(vs: DataFrame, grp: str = "grp", order: str = "ord", vec: str = "vec",
-                 tol: float = ZERO_TOL, max_rounds: int = 1_000_000) -> DataFrame:
-    """V5: (grp, ord, u) for every input row; u NULL for dependent vectors."""
+                 tol: float = ZERO_TOL, max_rounds: int = 1_000_000,
+                 orthonormal: bool = False) -> DataFrame:
+    """V5: (grp, ord, u) for every input row; u NULL for dependent vectors.
+
+    ``orthonormal=True`` (V7) scales each non-NULL u to unit length after the
+    classical process, which itself works on the unnormalised vectors.
+    """
+    out = _gram_schmidt(vs, grp, order, vec, tol, max_rounds)
+    if orthonormal:
+        out = out.withColumn("u", normalize("u"))
+    return out
+
+
+def _gram_schmidt(vs, grp, order, vec, tol, max_rounds) -> DataFrame:
     spark = vs.sparkSession
     ensure_checkpoint_dir(spark)
     base = vs.select(F.col(grp).alias("grp"), F.col(order).cast("bigint").alias("ord"),

@@ -171,3 +171,34 @@ def test_evenly_spaced_sample(spark):
     assert got == list(np.linspace(0, 99, 30, dtype=int))
     one = spark.range(1).withColumnRenamed("id", "k")
     assert [r.k for r in metrics.evenly_spaced_sample(one, ["k"], 30).collect()] == [0]
+
+
+def test_gram_schmidt_orthonormal_flag(spark):
+    rows = [(1, 1, [3.0, 1.0]), (1, 2, [2.0, 2.0])]
+    vs = spark.createDataFrame(rows, "grp int, ord long, vec array<double>")
+    got = {r.ord: r.u for r in VO.gram_schmidt(vs, orthonormal=True).collect()}
+    assert np.allclose(got[1], np.array([3.0, 1.0]) / np.sqrt(10))
+    assert np.allclose(got[2], np.array([-0.4, 1.2]) / np.sqrt(1.6))
+
+
+def test_approx_median_option(spark):
+    df = spark.range(1, 1002).withColumnRenamed("id", "q")
+    exact = df.select(panel.median_of(df, "q")).first()[0]
+    approx = df.select(panel.median_of(df, "q", approx_accuracy=10000)).first()[0]
+    assert exact == 501.0 and abs(approx - 501) <= 1
+
+
+@pytest.mark.parametrize("quantities", [[1, 2, 3, 4, None, None], [5, None, 7, 7, 9, 100, None, 2],
+                                        [None, None, None]])
+def test_single_pass_imputation_equals_two_pass(spark, quantities):
+    rows = []
+    for i, q in enumerate(quantities):
+        rows.append((dt.date(2020, 1 + i % 3, 1 + i), "s" if i % 4 else None, f"p{i % 2}", q, i % 2, 10.0 + i))
+    df = spark.createDataFrame(rows, "date date, store string, product string, sales_qty int, "
+                                     "promotion int, price double")
+    one = panel.imputed_monthly_rollup(df)
+    two = panel.monthly_rollup(panel.impute_sales(df))
+    key = ["date", "store", "product"]
+    a = sorted(tuple(r) for r in one.select(*key, "sales_qty", "promotion", "avg_price").collect())
+    b = sorted(tuple(r) for r in two.select(*key, "sales_qty", "promotion", "avg_price").collect())
+    assert a == b
