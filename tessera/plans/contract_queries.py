@@ -71,7 +71,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 
 ORACLES = {
     "review_contract_labels": f"""
-SELECT doc_id, 'General' AS category, 3 AS rating, 0 AS helpful_votes, length(text) AS text_chars,
+SELECT doc_id, 'General' AS category, 3 AS rating, 0 AS helpful_votes, CAST(length(text) AS INTEGER) AS text_chars,
        'Neutral' AS sentiment, round(0.55E0, {R}) + 0.0E0 AS confidence FROM documents""",
     "sales_contract_rollup": with_views(
         f"SELECT date, store, product, sales_qty, promotion, round(avg_price, {R}) + 0.0E0 AS avg_price FROM monthly",
