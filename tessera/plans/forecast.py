@@ -29,7 +29,7 @@ MIN_ROWS = 20  # fewer rows after the selections: refuse to train (P7)
 # Scheduling-only settings for deep forests: cache each row's node id
 # between levels and group more nodes per pass; the model settings above
 # are unchanged.
-TREE_SCHEDULING = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
+TREE_SCHEDULING = {"cacheNodeIds": True, "checkpointInterval": 10}
 
 
 def feature_columns(use_promotion: bool = True) -> list[str]:

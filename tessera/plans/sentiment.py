@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import metrics
 from tessera.operators import text as X
-from tessera.session import sized_for_fitting, spread, tracked
+from tessera.session import sized_for_fitting, spread, tracked, tree_aggregation_mb
 from tessera.sources.contracts import min_rows
 
 MAX_TERMS, MIN_DF = 2500, 2
@@ -50,7 +50,7 @@ def tfidf_vectors(split: DataFrame):
     return vec, cv.vocabulary
 
 
-def classifiers(n_train: int):
+def classifiers(n_train: int, tree_mb: int = 256):
     """sklearn's C-penalised multinomial LR == Spark's regParam = 1/(C n)."""
     return {
         "Logistic Regression": LogisticRegression(maxIter=LR_MAX_ITER, regParam=1.0 / (LR_C * n_train),
@@ -61,7 +61,7 @@ def classifiers(n_train: int):
         # deep trees are scheduled (fewer passes), not the model's settings
         "Random Forest": RandomForestClassifier(numTrees=RF_TREES, maxDepth=RF_MAX_DEPTH,
                                                 featureSubsetStrategy="sqrt", seed=SEED,
-                                                cacheNodeIds=True, maxMemoryInMB=1024,
+                                                cacheNodeIds=True, maxMemoryInMB=tree_mb,
                                                 checkpointInterval=10),
     }
 
@@ -78,7 +78,7 @@ def fit_and_score(reviews: DataFrame):
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     n_train = train.count()
     out = None
-    for name, est in classifiers(n_train).items():
+    for name, est in classifiers(n_train, tree_aggregation_mb(reviews.sparkSession)).items():
         model = est.fit(train)
         p = model.transform(test).select(F.lit(name).alias("model"), "doc_id",
                                          F.col("label").cast("int").alias("label"),

@@ -161,3 +161,21 @@ class fitting_scope:
         for df in _SCOPES.pop():
             df.unpersist()
         return False
+
+
+def tree_aggregation_mb(spark, cap: int = 1024, floor: int = 256) -> int:
+    """``maxMemoryInMB`` for tree learners: a quarter of an executor's heap
+    (the local JVM in local mode), between Spark's default and ``cap``."""
+    import re
+
+    conf = spark.sparkContext.getConf()
+    master = conf.get("spark.master", "local")
+    heap_mb = None
+    if not master.startswith("local"):
+        m = re.fullmatch(r"(\d+)([kmgt]?)b?", (conf.get("spark.executor.memory", "1g") or "1g").lower())
+        if m:
+            scale = {"k": 1 / 1024, "": 1 / 2 ** 20, "m": 1, "g": 1024, "t": 1024 ** 2}[m.group(2)]
+            heap_mb = int(int(m.group(1)) * scale)
+    if heap_mb is None:
+        heap_mb = int(spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2 ** 20)
+    return int(max(floor, min(cap, heap_mb // 4)))
