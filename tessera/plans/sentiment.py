@@ -1,14 +1,15 @@
 """Review-sentiment classification on Spark ML (M10 ML form, M11-M13, M16-M17).
 
-tokens (JVM regex) -> unigrams + bigrams -> CountVectorizer (2,500 terms,
-min df 2, fitted on the train part) -> smooth idf (idf + 1, see trap 8) ->
+tokens (JVM regex) -> unigrams + bigrams -> vocabulary of 2,500 terms with
+df >= 2 and smooth idf ln((1+N)/(1+df)) + 1, fitted on the train part in
+SQL aggregates -> CountVectorizerModel over that vocabulary -> idf scaling ->
 L2 normaliser -> three classifiers -> accuracy and confusion matrix.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,20 +35,31 @@ def require_classes(labelled: DataFrame, label: str = "label", minimum: int = 2)
 
 
 def tfidf_vectors(split: DataFrame):
-    """(frame with ``features``, vocabulary list) — fitted on the train part."""
+    """(frame with ``features``, vocabulary list) — fitted on the train part.
+
+    The vocabulary and smooth idf come from the same SQL fit as the
+    registered TF-IDF queries (``operators.text.fit_vocabulary``: df >= 2,
+    the 2,500 most frequent terms, ties by term); its <= 2,500 rows are the
+    model's vocabulary, so no CountVectorizer / IDF fitting passes run.
+    """
     n = split.count()
     base = spread(split.select("doc_id", "review_text", "label", "is_test"), n, "doc_id")
-    # tokens + n-grams computed once, on every partition, for the three passes below
+    # tokens + n-grams computed once, on every partition, for the passes below
     terms = tracked(base.select("doc_id", "label", "is_test",
                                 T.uni_bi_grams(T.tokens("review_text")).alias("terms")).persist())
     train = terms.where(~F.col("is_test"))
-    cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=MAX_TERMS, minDF=MIN_DF).fit(train)
-    counted = cv.transform(terms)
-    idf = IDF(inputCol="tf", outputCol="_idf").fit(counted.where(~F.col("is_test")))
-    smooth = DenseVector(idf.idf.toArray() + 1.0)  # vocabulary-sized, bounded
-    weighted = ElementwiseProduct(scalingVec=smooth, inputCol="tf", outputCol="raw").transform(counted)
+    tf = (train.select("doc_id", F.explode("terms").alias("term"))
+               .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n_train = train.select(F.count(F.lit(1))).scalar()
+    vocab = (X.fit_vocabulary(tf, n_train, MAX_TERMS, MIN_DF)
+              .orderBy(F.desc("cf"), F.asc("term")).collect())  # bounded: MAX_TERMS rows
+    words = [r["term"] for r in vocab]
+    cv = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="tf")
+    smooth = DenseVector([r["idf"] for r in vocab])  # ln((1+N)/(1+df)) + 1
+    weighted = ElementwiseProduct(scalingVec=smooth, inputCol="tf",
+                                  outputCol="raw").transform(cv.transform(terms))
     vec = Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(weighted)
-    return vec, cv.vocabulary
+    return vec, words
 
 
 def classifiers(n_train: int, tree_mb: int = 256):
