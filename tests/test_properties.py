@@ -64,3 +64,27 @@ def test_hash_split_rate_is_label_independent(spark):
     df = spark.range(20000).withColumn("label", (F.col("id") % 3).cast("int"))
     rates = X.hash_split(df, "id").groupBy("label").agg(F.avg(F.col("is_test").cast("double")).alias("r"))
     assert all(abs(r.r - 0.2) < 0.02 for r in rates.collect())
+
+
+def test_recommendation_fallback_join_equals_broadcast(spark, monkeypatch):
+    from tessera.operators import entities as E
+    from tessera.plans import entity_queries
+    from tessera.sources import views
+    prof, raw = entity_queries.profile(spark, SF_SMALL), entity_queries.raw(spark, SF_SMALL)
+    reqs = views.requests(spark, SF_SMALL)
+    a = sorted(tuple(r) for r in E.recommend_batch(prof, raw, reqs).collect())
+    monkeypatch.setattr(E, "MAX_BROADCAST_PROFILES", 0)  # force the shuffle-join path
+    b = sorted(tuple(r) for r in E.recommend_batch(prof, raw, reqs).collect())
+    assert a == b and len(a) == 5 * reqs.count()
+
+
+def test_recommendation_refuses_off_grid_gpa(spark):
+    import pytest
+
+    from tessera.operators import entities as E
+    from tessera.plans import entity_queries
+    reqs = spark.range(200).select(F.col("id").alias("request_id"),
+                                   (F.lit(2.0) + F.col("id") / 1000.0).alias("gpa"),
+                                   F.lit("Public").alias("preference"), F.lit("X").alias("department"))
+    with pytest.raises(ValueError):
+        E.recommend_batch(entity_queries.profile(spark, SF_SMALL), entity_queries.raw(spark, SF_SMALL), reqs)
