@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.sources.tables import read_table
 
@@ -13,8 +14,26 @@ def q_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs, keep=["doc_id"])
+
+
+def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity, training_fold
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, read_table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(~training_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op3_minhash_near_dedup": q_minhash,
+    "op4_quality_rules": q_quality,
+    "op7_toxicity": q_toxicity,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
