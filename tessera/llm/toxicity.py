@@ -9,9 +9,12 @@ Two bigram models, one of toxic and one of ordinary text, share their backoff:
 follows), ``P(w)`` the continuation share over both classes together, and
 ``a_c`` the discounted bigram share.  The discounts are in proportion to the
 class sizes and the backoff weights are common to both classes, so a rare word
-or pair gives both classes the same backoff and says nothing; only expressions
-seen often enough in either class move the score.  A text's score is the
-logistic of its log-likelihood ratio per word.
+or pair gives both classes the same backoff and says nothing.  Words whose
+discounted shares do not differ decisively between the classes use the shared
+model in both, so the mix of topics and languages says nothing either; pairs
+refine the words that do differ.  A text's score is the logistic of its
+log-likelihood ratio per word.  Continuation counts do not grow with copies of
+a text, and equal texts are counted once.
 
 Counts come from all labelled documents of the training fold but a fifth; on
 that fifth, which the models have not seen, the two numbers of the logistic are
@@ -34,6 +37,8 @@ from tessera.llm.common import own_name, stored
 
 #: Discount of the smaller class; the larger one's is in proportion.
 DISCOUNT = 4.0
+#: A word tells the classes apart if its shares differ by this factor and by so many standard errors.
+DECISIVE_FACTOR, DECISIVE_ERRORS = 2.0, 4.0
 #: Labelled rows that the two numbers of the logistic are fitted on, at most.
 FIT_ROWS = 50_000
 #: Model entries that are sent to every task; a larger model is joined instead.
@@ -164,7 +169,8 @@ def fit_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     least = max(1.0, min(toxic, ordinary))
     limits = [DISCOUNT * max(1.0, size / least) for size in (toxic, ordinary)]
     small = F.broadcast(labels) if sizes["n"] <= SENT_LABELS else labels
-    texts = docs.where(training_fold(F.col("doc_id")) & ~calibration_part(F.col("doc_id"))).join(small, "doc_id").select("toxic", "text")
+    texts = docs.where(training_fold(F.col("doc_id")) & ~calibration_part(F.col("doc_id"))).join(small, "doc_id") \
+        .withColumn("th", F.xxhash64("text")).dropDuplicates(["toxic", "th"]).select("toxic", "text")
     pairs = texts.mapInArrow(_count, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")) \
         .select("u", "w", F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("x"), F.shiftright("n", 32).alias("y"))
     zero = F.lit(0).cast("long")
@@ -196,16 +202,22 @@ def fit_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     common = (F.col("x") + F.col("y") + 0.5) / F.lit(mass + 0.5 * (total["v"] + 1))
     shares = [(F.lit((1 - back) / rest[c]) * above(c, d) if rest["x"] and rest["y"] else F.lit(0.0)) + F.lit(back) * common for c in "xy"]
 
+    share = [above(c, d) / F.lit(max(total[c], 1.0)) for c in "xy"]
+    pooled = (F.col("x") + F.col("y")) / F.lit(max(mass, 1.0))
+    error = F.sqrt(pooled * F.lit(1 / max(total["x"], 1.0) + 1 / max(total["y"], 1.0)))
+    differs = (F.greatest(*share) > DECISIVE_FACTOR * F.least(*share)) & (F.abs(share[0] - share[1]) > DECISIVE_ERRORS * error)
+    telling = stored(words.where(differs).select("w", shares[0].alias("pt"), shares[1].alias("po")))
+
     kept = pairs.select("u", "w", above("x", e).alias("x"), above("y", e).alias("y"))
     heads = kept.groupBy("u").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy")).where("sx > 0 and sy > 0")
     tokens = words.select(F.col("w").alias("u"), (F.col("s") + F.col("t")).cast("double").alias("m"))
     heads = heads.join(tokens, "u").withColumn("weight", F.least(F.greatest(1 - (F.col("sx") + F.col("sy")) / F.col("m"), F.lit(1e-6)), F.lit(1.0)))
-    pair_rows = kept.join(heads, "u").select("u", "w", *[((1 - F.col("weight")) * F.col(c) / F.col("s" + c)).alias("a" + k) for c, k in (("x", "t"), ("y", "o"))])
-    needed = pair_rows.select("w").distinct().withColumn("asked", F.lit(True))
-    word_rows = words.join(heads.select(F.col("u").alias("w"), "weight"), "w", "left").join(needed, "w", "left") \
-        .where(((F.col("x") > d["x"]) | (F.col("y") > d["y"])) | F.col("weight").isNotNull() | F.col("asked")) \
-        .select("w", shares[0].alias("pt"), shares[1].alias("po"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    return stored(word_rows), stored(pair_rows)
+    pair_rows = stored(kept.join(telling.select("w"), "w").join(heads, "u").select(
+        "u", "w", *[((1 - F.col("weight")) * F.col(c) / F.col("s" + c)).alias("a" + k) for c, k in (("x", "t"), ("y", "o"))], "weight"))
+    contexts = pair_rows.select(F.col("u").alias("w"), "weight").distinct()
+    word_rows = telling.join(contexts, "w", "full").select(
+        "w", F.coalesce("pt", F.lit(1.0)).alias("pt"), F.coalesce("po", F.lit(1.0)).alias("po"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    return stored(word_rows), pair_rows.drop("weight")
 
 
 def _sent_model(word_rows: DataFrame, pair_rows: DataFrame) -> Model:
