@@ -14,6 +14,15 @@ def q_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shuffled
+
+    docs = read_table(spark, sf_dir, "documents")
+    slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return shuffled(slim, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import quality
 
@@ -31,6 +40,7 @@ def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sharding": q_sharding,
     "op3_minhash_near_dedup": q_minhash,
     "op4_quality_rules": q_quality,
     "op7_toxicity": q_toxicity,
