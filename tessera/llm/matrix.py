@@ -13,14 +13,14 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
     """How many of ``drawn`` balls out of ``total`` are among the ``good``
     ones, for a uniform ``u`` in (0, 1): inversion of the distribution.
 
-    Weights relative to the mode follow from their ratios; twelve standard
+    Weights relative to the mode follow from their ratios; nine standard
     deviations on each side of it leave less than double precision holds.
     """
     lo = F.greatest(F.lit(0).cast("long"), drawn + good - total)
     hi = F.least(good, drawn)
     n = F.greatest(total, F.lit(1)).cast("double")
     deviation = F.sqrt(drawn * (good / n) * ((total - good) / n) * ((total - drawn) / F.greatest(n - 1, F.lit(1.0))))
-    reach = F.ceil(12 * deviation + 12).cast("long")
+    reach = F.ceil(9 * deviation + 9).cast("long")
     mode = F.least(F.greatest(F.floor((drawn + 1) * ((good + 1) / (n + 2))).cast("long"), lo), hi)
     bounds = F.struct(F.greatest(lo, mode - reach).alias("a"), F.least(hi, mode + reach).alias("b"), mode.alias("m"),
                       total.cast("double").alias("t"), good.cast("double").alias("g"), drawn.cast("double").alias("d"))
@@ -46,15 +46,18 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
         above = sums(s, steps(s["m"], s["b"] - 1), up, F.lit(1.0))
 
         def walk(p: Column) -> Column:
+            """From the lower end if the target lies below the mode, else from the mode."""
+            lower = p["target"] < p["below"]["sum"]
+            begin = F.when(lower, F.struct(s["a"].alias("x"), p["below"]["w"].alias("w"), p["below"]["w"].alias("acc"))).otherwise(
+                F.struct(s["m"].alias("x"), F.lit(1.0).alias("w"), (p["below"]["sum"] + 1).alias("acc")))
             return F.aggregate(
-                steps(s["a"], s["b"] - 1),
-                F.struct(s["a"].alias("x"), p["w"].alias("w"), p["w"].alias("acc")),
+                F.when(lower, steps(s["a"], s["m"] - 1)).otherwise(steps(s["m"], s["b"] - 1)), begin,
                 lambda z, k: let(up(z["w"], k.cast("double"), s), lambda w: F.struct(
                     F.when(z["acc"] <= p["target"], k + 1).otherwise(z["x"]).alias("x"), w.alias("w"), (z["acc"] + w).alias("acc"))),
                 lambda z: z["x"])
 
         return let(F.struct(below.alias("below"), above.alias("above")), lambda q: let(
-            F.struct(q["below.w"].alias("w"), (u * (q["below.sum"] + 1 + q["above.sum"])).alias("target")), walk))
+            F.struct(q["below"].alias("below"), (u * (q["below"]["sum"] + 1 + q["above"]["sum"])).alias("target")), walk))
 
     return F.when(hi <= lo, lo).otherwise(let(bounds, pick))
 

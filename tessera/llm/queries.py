@@ -30,6 +30,14 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, keep=["doc_id"])
 
 
+def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix, taken
+
+    plan = mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id", "source"])
+    sources = plan.sources.select(F.col("source").alias("s"), F.col("total").alias("source_size"), "target")
+    return taken(plan).join(sources, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import toxicity, training_fold
 
@@ -43,6 +51,7 @@ QUERIES = {
     "op2_sharding": q_sharding,
     "op3_minhash_near_dedup": q_minhash,
     "op4_quality_rules": q_quality,
+    "op6_mixing": q_mixing,
     "op7_toxicity": q_toxicity,
 }
 
