@@ -11,6 +11,7 @@ pair at 0.2 meets with probability 1.6e-4.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -52,15 +53,38 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Two hashed bits of each signature value, 32 values to a long."""
+    bits = ((signature * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64).reshape(-1, 32)
+    return (bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def least_agreement(share: tuple[int, int], values: int) -> int:
+    """Sketch values that agree between texts at the threshold, less four standard errors."""
+    alike = share[0] / share[1]
+    agree = alike + (1 - alike) / 4
+    return math.floor(values * agree - 4 * math.sqrt(values * agree * (1 - agree)))
+
+
+def agreement(a: Column, b: Column, longs: int) -> Column:
+    """Sketch values on which two texts agree."""
+    odd = F.lit(0x5555555555555555)
+    apart = F.lit(0)
+    for i in range(longs):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        apart = apart + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd))
+    return 32 * longs - apart
+
+
 def _sign(batches: Iterator[pa.RecordBatch], *, words: int, n_hashes: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, th, text) to (rid, doc_id, th, n_shingles, fp1, fp2, bands)."""
+    """(rid, doc_id, th, text) to (rid, doc_id, th, n_shingles, fp1, fp2, bands, sketch)."""
     factors = _permutations(n_hashes)
-    per_doc = 2 * n_hashes // rows
+    per_doc, per_sketch = 2 * n_hashes // rows, 2 * n_hashes // 32
     for batch in batches:
         texts = batch.column(3)
         counts = np.zeros(len(texts), np.int64)
         prints = np.zeros((2, len(texts)), np.uint64)
-        keys, sizes = [], np.zeros(len(texts) + 1, np.int32)
+        keys, sketches, some = [], [], np.zeros(len(texts) + 1, np.int32)
         for lo, hi, data, offsets in W.slices(texts):
             hashes, first = W.word_hashes(data, offsets)
             for i in range(lo, hi):
@@ -70,14 +94,17 @@ def _sign(batches: Iterator[pa.RecordBatch], *, words: int, n_hashes: int, rows:
                 counts[i] = len(found)
                 prints[0, i] = W.mix(found + np.uint64(1)).sum(dtype=np.uint64)
                 prints[1, i] = np.bitwise_xor.reduce(W.mix(found * np.uint64(3)))
-                keys.append(band_keys(min_max(found, factors), rows))
-                sizes[i + 1] = per_doc
-        flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
+                signature = min_max(found, factors)
+                keys.append(band_keys(signature, rows))
+                sketches.append(sketch(signature))
+                some[i + 1] = 1
+        at = np.cumsum(some, dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(at * np.int32(size)), pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)))
+                 for own, size in ((keys, per_doc), (sketches, per_sketch))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(counts),
-             pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), bands],
-            names=["rid", "doc_id", "th", "n_shingles", "fp1", "fp2", "bands"])
+             pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), *lists],
+            names=["rid", "doc_id", "th", "n_shingles", "fp1", "fp2", "bands", "sketch"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], *, words: int, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +144,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
        never paired with one another.
     3. In each band bucket every class is compared with the bucket's smallest
        class.  Confirmed links are joined into components.
-    4. Buckets that still hold several components compare the classes of
-       different components, so no candidate pair is left undecided: it is
-       confirmed, refuted or already inside one component.
+    4. In buckets that still hold several components, the classes outside the
+       largest one are compared with those of other components, each pair in
+       the first band it shares, if their signatures agree about as often as
+       two texts at the threshold do (less four standard errors).  So every
+       candidate pair is confirmed, refuted or inside one component.
 
     Null texts are empty.  Rows without words have no shingles, link with
     nothing, and keep their own doc_id.  Rows with a null doc_id take part by
@@ -130,13 +159,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"),
                        text_key(F.col(text_col)).alias("th"), F.coalesce(text_col, F.lit("")).alias("text"))
     signed = stored(slim.mapInArrow(partial(_sign, words=words, n_hashes=n_hashes, rows=rows),
-                                    "rid long, doc_id long, th long, n_shingles long, fp1 long, fp2 long, bands array<long>"))
+                                    "rid long, doc_id long, th long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"))
     classes = stored(signed.where("n_shingles > 0").groupBy("fp1", "fp2").agg(
         F.min("rid").alias("cid"), F.min("doc_id").alias("rep"),
         F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))).alias("lead")))
 
     members = signed.join(classes.select("cid"), signed["rid"] == F.col("cid"))
-    posts = members.select("cid", F.explode("bands").alias("bucket"))
+    posts = members.select("cid", F.posexplode("bands").alias("band", "bucket"))
     shared = posts.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last")
     posts = stored(posts.join(shared.select("bucket", "hub"), "bucket"))
 
@@ -156,14 +185,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
     comps = stored(connected_components(links))
 
     placed = posts.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "bucket", "cid", F.coalesce("component", "cid").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    placed = placed.join(mixed.select("bucket"), "bucket", "left_semi")
-    others = placed.select("bucket", F.col("comp").alias("other")).distinct()
-    asks = placed.join(others, "bucket").where("comp < other")
-    crossing = asks.join(placed.select("bucket", F.col("comp").alias("other"), F.col("cid").alias("mate")), ["bucket", "other"])
-    second = crossing.select(F.least("cid", "mate").alias("a"), F.greatest("cid", "mate").alias("b")).distinct() \
-        .join(first, ["a", "b"], "left_anti")
+        "bucket", "band", "cid", F.coalesce("component", "cid").alias("comp"))
+    mixed = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    placed = stored(placed.join(mixed.select("bucket", F.col("top.comp").alias("main")), "bucket")
+                    .join(members.select("cid", "bands", "sketch"), "cid"))
+    left = placed.where("comp <> main").select("bucket", *[F.col(c).alias("l_" + c) for c in ("cid", "comp", "bands", "sketch")])
+    earlier = F.exists(F.sequence(F.lit(0), F.col("band")), lambda i: (i < F.col("band")) & (F.get("bands", i) == F.get("l_bands", i)))
+    second = left.join(placed, (left["bucket"] == placed["bucket"]) & (F.col("comp") != F.col("l_comp"))
+                       & ((F.col("comp") == F.col("main")) | (F.col("l_cid") < F.col("cid")))
+                       & (agreement(F.col("l_sketch"), F.col("sketch"), 2 * n_hashes // 32) >= least_agreement(share, 2 * n_hashes)) & ~earlier) \
+        .select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = confirmed(second)
     # links between components, told by the components' ids, join the first components
     named = comps.withColumnRenamed("node", "n")
