@@ -47,12 +47,26 @@ def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def piece_model() -> str:
+    """Place of the public piece model (installed with the Python environment, on executors too)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def q_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pieces import encoded
+
+    return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), keep=["doc_id"])
+
+
 QUERIES = {
     "op2_sharding": q_sharding,
     "op3_minhash_near_dedup": q_minhash,
     "op4_quality_rules": q_quality,
     "op6_mixing": q_mixing,
     "op7_toxicity": q_toxicity,
+    "op9_sentencepiece": q_pieces,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""

@@ -43,6 +43,11 @@ def _byte_values() -> np.ndarray:
     return mix(lower + np.uint64(0x51ED270B))
 
 
+@lru_cache(maxsize=1)
+def _exact_values() -> np.ndarray:
+    return mix(np.arange(256, dtype=np.uint64) + np.uint64(0x7F4A7C15))
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -56,7 +61,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into them) of runs of texts; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -68,7 +73,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield lo, hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
         lo = hi
 
@@ -89,16 +94,31 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
+    up, _ = _powers(len(data) + 1)
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of the bytes whose prefix sums are given."""
+    _, down = _powers(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def exact_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums that tell upper from lower case."""
+    return prefix_sums(data, _exact_values())
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, A-Z as a-z, and each text's first word (one more at the end)."""
     starts, ends, first = word_bounds(data, offsets, inside)
     if not len(starts):
         return np.empty(0, np.uint64), first
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), first
+    return span_hashes(prefix_sums(data, _byte_values()), starts, ends), first
 
 
 def hash_of(words: str) -> list[int]:
