@@ -60,6 +60,13 @@ def q_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), keep=["doc_id"])
 
 
+def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.htmltext import extracted
+
+    found = extracted(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op2_sharding": q_sharding,
     "op3_minhash_near_dedup": q_minhash,
@@ -67,6 +74,7 @@ QUERIES = {
     "op6_mixing": q_mixing,
     "op7_toxicity": q_toxicity,
     "op9_sentencepiece": q_pieces,
+    "op10_html_extraction": q_html,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
