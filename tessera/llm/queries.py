@@ -67,12 +67,19 @@ def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def q_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import licenses
+
+    return licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 QUERIES = {
     "op2_sharding": q_sharding,
     "op3_minhash_near_dedup": q_minhash,
     "op4_quality_rules": q_quality,
     "op6_mixing": q_mixing,
     "op7_toxicity": q_toxicity,
+    "op8_license_scan": q_licenses,
     "op9_sentencepiece": q_pieces,
     "op10_html_extraction": q_html,
 }
