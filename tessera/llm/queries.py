@@ -73,11 +73,18 @@ def q_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.partitions import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 QUERIES = {
     "op2_sharding": q_sharding,
     "op3_minhash_near_dedup": q_minhash,
     "op4_quality_rules": q_quality,
     "op6_mixing": q_mixing,
+    "op5_learned_partitions": q_nearest,
     "op7_toxicity": q_toxicity,
     "op8_license_scan": q_licenses,
     "op9_sentencepiece": q_pieces,
