@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import read_table
 
 
+def q_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.urlfilter import judged
+
+    return judged(read_table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 def q_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.minhash import near_duplicates
 
@@ -80,6 +86,7 @@ def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": q_urls,
     "op2_sharding": q_sharding,
     "op3_minhash_near_dedup": q_minhash,
     "op4_quality_rules": q_quality,
