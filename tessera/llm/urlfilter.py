@@ -23,7 +23,7 @@ DAMPING, TOLERANCE = 0.7, 0.01
 PARENT_WEIGHT = 0.5
 #: A host is blocked below this balance, (trust - distrust) / (trust + distrust + its
 #: share of all pages): a few blocked pages of a large host do not block the host.
-LEAST_BALANCE = -0.5
+LEAST_BALANCE = -0.25
 #: Parts that a hub's links, and a large host's pages, are dealt over.
 SALTS = 16
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
