@@ -29,6 +29,11 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``row`` beside ``more``, so that none of their names can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null or blank text gives no words."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

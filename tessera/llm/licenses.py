@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import wordhash as W
-from tessera.llm.common import own_name, stored
+from tessera.llm.common import own_name, packed, stored
 
 # Phrases with their labels, and license notices with theirs.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -113,8 +114,6 @@ def _scan(batches: Iterator[pa.RecordBatch], *, k: int, names: list[str]) -> Ite
 def scanned(docs: DataFrame, *, keep: list[str], text_col: str = "text", k: int = WORDS_IN_RUN) -> tuple[DataFrame, str]:
     """Stored ``keep`` columns with rid, n_words, n_base, first_word, last_word,
     base_labels, spots and runs; and the name of the row number column."""
-    from pyspark.sql import types as T
-
     rid, text = own_name(docs, "rid"), own_name(docs, "scanned_text")
     rows = docs.select(*keep, F.monotonically_increasing_id().alias(rid), F.coalesce(F.col(text_col), F.lit("")).alias(text))
     kinds = (("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()),
@@ -161,10 +160,11 @@ def licenses(docs: DataFrame, *, keep: list[str] | None = None, text_col: str =
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     scan, rid = scanned(docs, keep=keep, text_col=text_col)
     name = {n: own_name(docs, n) for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "spots", "runs")}
-    spans = license_spans(scan, rid, name["spots"], name["runs"]).groupBy(F.col("rid").alias("_rid")).agg(
-        F.collect_set("label").alias("_found"), F.max("share").alias("_share"))
-    base = F.col(name["base_labels"])
-    out = scan.join(spans, F.col(rid) == F.col("_rid"), "left")
-    return out.select(*keep, *[name[n] for n in ("n_words", "n_base", "first_word", "last_word")], F.array_join(base, ",").alias(name["base_labels"]),
-                      F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.coalesce("_found", F.array().cast("array<string>"))))), ",").alias(own_name(docs, "labels")),
-                      F.when(F.col(name["n_base"]) > 0, F.lit(1.0)).otherwise(F.coalesce("_share", F.lit(0.0))).alias(own_name(docs, "score")))
+    spans = license_spans(scan, rid, name["spots"], name["runs"]).groupBy("rid").agg(
+        F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    out = packed(scan, rid=F.col(rid)).join(spans, "rid", "left")
+    base, none = F.col(f"row.{name['base_labels']}"), F.array().cast("array<string>")
+    every = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("found", none))))
+    return out.select(*[F.col(f"row.`{c}`") for c in (*keep, *[name[n] for n in ("n_words", "n_base", "first_word", "last_word")])],
+                      F.array_join(base, ",").alias(name["base_labels"]), F.array_join(every, ",").alias(own_name(docs, "labels")),
+                      F.when(F.col(f"row.{name['n_base']}") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias(own_name(docs, "score")))

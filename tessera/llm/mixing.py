@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_CLASS, n_words_of, own_name, permuted, stored
+from tessera.llm.common import WORD_CLASS, n_words_of, own_name, packed, permuted, stored
 from tessera.llm.matrix import communication_matrix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -118,9 +118,9 @@ def slot_blocks(docs: DataFrame, sources: DataFrame, shard_slots: int, seed: int
 
 def taken(plan: Mix) -> DataFrame:
     """The stored rows with ``taken``: words that the mix takes of each, repeats counted."""
-    sums = plan.pieces.groupBy(F.col("rid").alias("_rid")).agg(F.sum(F.col("words") * F.col("uses")).alias("_taken"))
-    name = own_name(plan.rows, "taken")
-    return plan.rows.join(sums, F.col(plan.rid) == F.col("_rid"), "left").withColumn(name, F.coalesce("_taken", F.lit(0).cast("long"))).drop("_rid", "_taken")
+    sums = plan.pieces.groupBy("rid").agg(F.sum(F.col("words") * F.col("uses")).alias("words"))
+    rows = packed(plan.rows, rid=F.col(plan.rid)).join(sums, "rid", "left")
+    return rows.select("row.*", F.coalesce("words", F.lit(0).cast("long")).alias(own_name(plan.rows, "taken")))
 
 
 def mixed_documents(docs: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars", **params) -> DataFrame:
@@ -128,11 +128,12 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", chars_col: str =
     document, as often as its block is used, with the white space between its
     words as it was; the length column is the piece's."""
     plan = mix(docs, text_col=text_col, **{"block_words": 1024, **params})
-    words = F.regexp_extract_all(F.col(text_col), F.lit(rf"({WORD_CLASS}+[\x20\x09-\x0D]*)"), F.lit(1))
-    piece = F.array_join(F.slice(words, (F.col("_first") + 1).cast("int"), F.col("_words").cast("int")), "")
-    parts = plan.pieces.select(F.col("rid").alias("_rid"), F.col("first").alias("_first"), F.col("words").alias("_words"),
-                               F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))).alias("_use"))
-    rows = plan.rows.join(parts, F.col(plan.rid) == F.col("_rid")).withColumn("_piece", F.when(
-        (F.col("_first") == 0) & (F.col("_words") == F.col(plan.size)), F.col(text_col)).otherwise(piece))
-    return rows.select(*[F.col("_piece").alias(c) if c == text_col else F.length("_piece").cast(docs.schema[c].dataType).alias(c) if c == chars_col
-                         else F.col(c) for c in docs.columns])
+    text = F.col(f"row.`{text_col}`")
+    parts = plan.pieces.select("rid", "first", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))).alias("use"))
+    rows = packed(plan.rows, rid=F.col(plan.rid)).join(parts, "rid")
+    runs = F.regexp_extract_all(text, F.lit(rf"({WORD_CLASS}+[\x20\x09-\x0D]*)"), F.lit(1))
+    piece = F.array_join(F.slice(runs, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "")
+    whole = (F.col("first") == 0) & (F.col("words") == F.col(f"row.`{plan.size}`"))
+    rows = rows.withColumn("piece", F.when(whole, text).otherwise(piece))
+    return rows.select(*[F.col("piece").alias(c) if c == text_col else F.length("piece").cast(docs.schema[c].dataType).alias(c) if c == chars_col
+                         else F.col(f"row.`{c}`") for c in docs.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import let
-from tessera.llm.common import own_name, permuted, stored
+from tessera.llm.common import own_name, packed, permuted, stored
 from tessera.llm.matrix import communication_matrix
 
 _SHIFT = 33  # monotonically_increasing_id(): partition above, row number below
@@ -30,25 +30,24 @@ def shuffled(rows: DataFrame, n_shards: int, *, seed: int = 7, rows_per_task: in
     rows have theirs.  No rows, no shards.  ``rows_per_task`` rows of a shard
     leave in one task.
     """
-    shard, slot, mark = (own_name(rows, c) for c in ("shard", "slot", "mark"))
-    named = stored(rows.withColumn(mark, F.monotonically_increasing_id()))
-    sizes = stored(named.groupBy(F.shiftright(mark, _SHIFT).alias("id")).agg(F.count("*").alias("n")))
+    shard, slot = own_name(rows, "shard"), own_name(rows, "slot")
+    named = stored(packed(rows, mark=F.monotonically_increasing_id()))
+    sizes = stored(named.groupBy(F.shiftright("mark", _SHIFT).alias("id")).agg(F.count("*").alias("n")))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     goal = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.lit(total // n_shards).cast("long") + (s < total % n_shards).cast("long"))
     matrix = communication_matrix(sizes, goal, seed)
-    plan = stored(matrix.join(sizes, "id").select(
-        F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("counts").alias("_counts"), F.col("offsets").alias("_offsets")))
+    plan = stored(matrix.join(sizes, "id"))
 
-    row = F.col(mark).bitwiseAND((1 << _SHIFT) - 1)
-    place = permuted(row, F.col("_n"), F.xxhash64(F.lit(seed), F.lit("within"), F.col("_id")))
+    row = F.col("mark").bitwiseAND((1 << _SHIFT) - 1)
+    place = permuted(row, F.col("n"), F.xxhash64(F.lit(seed), F.lit("within"), F.col("id")))
     # the shard whose run of places holds this one, and the place within the run
     start = F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("at"))
     found = let(place, lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(n_shards - 1)), start, lambda z, s: F.struct(
         F.when((p >= z["end"]), s).otherwise(z["s"]).alias("s"),
-        (z["end"] + F.get("_counts", s)).alias("end"),
+        (z["end"] + F.get("counts", s)).alias("end"),
         F.when(p >= z["end"], p - z["end"]).otherwise(z["at"]).alias("at")), lambda z: F.struct(z["s"].alias("s"), z["at"].alias("at"))))
-    dealt = named.join(plan, F.shiftright(mark, _SHIFT) == F.col("_id")).withColumn("_f", found)
-    first = F.get("_offsets", F.col("_f.s")) + F.col("_f.at")
-    size = F.lit(total // n_shards).cast("long") + (F.col("_f.s") < total % n_shards).cast("long")
-    out = dealt.select(*rows.columns, F.col("_f.s").alias(shard), permuted(first, size, F.xxhash64(F.lit(seed), F.lit("shard"), F.col("_f.s"))).alias(slot))
+    dealt = named.join(plan, F.shiftright("mark", _SHIFT) == F.col("id")).withColumn("found", found)
+    first = F.get("offsets", F.col("found.s")) + F.col("found.at")
+    size = F.lit(total // n_shards).cast("long") + (F.col("found.s") < total % n_shards).cast("long")
+    out = dealt.select("row.*", F.col("found.s").alias(shard), permuted(first, size, F.xxhash64(F.lit(seed), F.lit("shard"), F.col("found.s"))).alias(slot))
     return out.repartition(F.col(shard), F.floor(F.col(slot) / rows_per_task))
