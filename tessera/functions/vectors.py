@@ -1,7 +1,8 @@
 """Vector algebra on ``array<double>`` columns (V1-V4, V7).
 
 Higher-order array functions (``zip_with``, ``transform``, ``aggregate``)
-run inside whole-stage code generation; sums run left to right.
+are JVM expressions (interpreted per element, outside whole-stage code
+generation); sums run left to right.
 """
 
 from __future__ import annotations

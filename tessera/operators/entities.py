@@ -9,9 +9,11 @@ Scale notes
 * Batch recommendation never pairs every request with every entity.  The
   top-k of ``base + 10*match`` for a request is contained in
   (top-k by base over all entities) U (top-k by base + 10 over the entities
-  offering the requested department); both candidate sets are computed per
-  *distinct* (gpa, preference[, department]) key with WindowGroupLimit, and
-  requests join the tiny per-key result with an equi-join.
+  offering the requested department).  Both scores are linear in the GPA with
+  the overall score as the slope, so an entity that k others beat in overall
+  and in preference score is out for every GPA; only the others are scored,
+  per *distinct* (gpa, preference[, department]), and requests join that
+  result with an equi-join.
 * Single-request matching (closest rank, nearest neighbour, top lists) is a
   distributed top-k (TakeOrderedAndProject) over the profile.
 """
@@ -31,11 +33,8 @@ PREFERENCES = ("Public", "Private", "Balanced")
 # constants of the advisor (bonus for the preferred type, department match).
 PUBLIC_KEYWORDS = ("university of", "government", "national", "public")
 TYPE_BONUS, DEPT_BONUS = 15.0, 10.0
-# Upper bound on distinct GPA levels per request batch (2.0..4.0 step 0.1).
-MAX_GPA_LEVELS = 21
-# Largest per-profile top-k table broadcast to the requests; beyond it the
-# join is a shuffle join (AQE splits a skewed profile).
-MAX_BROADCAST_PROFILES = 200_000
+# Ranges of the overall score that the recommendation compares candidates by.
+SCORE_CELLS = 256
 # Rank-difference verdict ladder (P10).
 VERDICTS = ((0, "perfect"), (3, "excellent"), (5, "good"))
 
@@ -122,57 +121,66 @@ def _pref_rows(profile: DataFrame, key: str) -> DataFrame:
         key, "overall_score", "p.preference", "p.pref_score")
 
 
+def _undominated(rows: DataFrame, groups: list[str], k: int) -> DataFrame:
+    """Rows (overall_score, pref_score, *groups) that may be among the best k
+    of their group for some GPA >= 0.
+
+    The overall score is cut into SCORE_CELLS ranges; a row is out if k rows of
+    higher ranges have a larger preference score.  The k-th such score per range
+    follows from each range's k best.
+    """
+    bounds = rows.select(F.struct(F.min("overall_score").alias("lo"), F.max("overall_score").alias("hi"))).scalar()
+    width = (bounds["hi"] - bounds["lo"]) / SCORE_CELLS
+    cell = F.when(width > 0, F.floor((F.col("overall_score") - bounds["lo"]) / width)).otherwise(0)
+    celled = rows.withColumn("_cell", F.coalesce(cell, F.lit(-1)).cast("int"))
+    best = Window.partitionBy(*groups, "_cell").orderBy(F.desc("pref_score"))
+    tops = (celled.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+                  .groupBy(*groups, "_cell").agg(F.collect_list("pref_score").alias("_tops")))
+    above = Window.partitionBy(*groups).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    over = F.get(F.sort_array(F.flatten(F.collect_list("_tops").over(above)), asc=False), F.lit(k - 1))
+    limits = tops.select(*groups, "_cell", over.alias("_limit"))
+    kept = celled.join(limits, [*groups, "_cell"]).where(F.col("_limit").isNull() | F.col("pref_score").isNull() | (F.col("pref_score") >= F.col("_limit")))
+    return kept.drop("_cell", "_limit")
+
+
 def recommend_batch(profile: DataFrame, raw: DataFrame, requests: DataFrame, k: int = 5,
-                    key: str = "entity", check_levels: bool = True) -> DataFrame:
+                    key: str = "entity") -> DataFrame:
     """R3 + W8 for a table of requests: (request_id, rank, entity, final_score).
 
-    Exact: see the module notes for the candidate argument.  The fan-out is
-    entities x (distinct GPA levels per preference), bounded by the GPA
-    domain (checked), never entities x requests.
+    Exact (see the module notes), for any GPAs: a NULL or negative one counts
+    as 0.  Every request is answered: a preference other than Public or Private
+    (NULL too) is Balanced, and a NULL or unknown department earns no bonus.
     """
-    keys = requests.select("gpa", "preference").distinct()
-    if check_levels:
-        n_levels = keys.count()
-        if n_levels > MAX_GPA_LEVELS * len(PREFERENCES):
-            raise ValueError(f"{n_levels} distinct (gpa, preference) keys; expected <= "
-                             f"{MAX_GPA_LEVELS * len(PREFERENCES)} (gpa on a 0.1 grid in [2, 4])")
-    prefs = _pref_rows(profile, key)
+    pref = F.when(F.col("preference").isin("Public", "Private"), F.col("preference")).otherwise("Balanced")
+    asked = requests.select("request_id", F.greatest(F.coalesce("gpa", F.lit(0.0)), F.lit(0.0)).alias("gpa"), pref.alias("preference"),
+                            F.col("department").alias("wanted"))
+    prefs = materialize(_pref_rows(profile, key))
     base = F.col("overall_score") * (F.col("gpa") / 4.0) + F.col("pref_score")
-    # bounded key table (<= 63 rows): broadcast.  ``scored`` and ``offered``
-    # feed several candidate branches, so each is stored once (checkpoint)
-    # instead of re-aggregating the entity table per branch.
-    scored = materialize(prefs.join(F.broadcast(keys), "preference").withColumn("base", base))
-
     order = [F.desc("base"), F.asc(key)]
+
+    keys = asked.select("gpa", "preference").distinct()
     w_a = Window.partitionBy("gpa", "preference").orderBy(*order)
-    cand_all = (scored.withColumn("_r", F.row_number().over(w_a)).where(F.col("_r") <= k)
-                      .select("gpa", "preference", key, "base"))
+    cand_all = (_undominated(prefs, ["preference"], k).join(keys, "preference").withColumn("base", base)
+                .withColumn("_r", F.row_number().over(w_a)).where(F.col("_r") <= k).select("gpa", "preference", key, "base"))
 
-    offered = materialize(raw.select(key, "department").where(F.col("department").isNotNull()).distinct())
-    w_b = Window.partitionBy("gpa", "preference", "department").orderBy(*order)
-    cand_dept = (scored.join(offered, key)
-                       .withColumn("_r", F.row_number().over(w_b)).where(F.col("_r") <= k)
-                       .select("gpa", "preference", "department", key, "base"))
+    offered = materialize(raw.select(key, F.col("department").alias("wanted")).where(F.col("wanted").isNotNull()).distinct())
+    profiles = materialize(asked.select("gpa", "preference", "wanted").distinct())
+    w_b = Window.partitionBy("gpa", "preference", "wanted").orderBy(*order)
+    cand_dept = (_undominated(prefs.join(offered, key), ["preference", "wanted"], k)
+                 .join(profiles, ["preference", "wanted"]).withColumn("base", base)
+                 .withColumn("_r", F.row_number().over(w_b)).where(F.col("_r") <= k))
 
-    profiles = requests.select("gpa", "preference", "department").distinct()
+    cols = ["gpa", "preference", "wanted", key]
     a = (profiles.join(cand_all, ["gpa", "preference"])
-                 .join(offered.withColumn("offers", F.lit(True)), [key, "department"], "left")
-                 .withColumn("final_score",
-                             F.col("base") + F.coalesce("offers", F.lit(False)).cast("double") * DEPT_BONUS)
-                 .select("gpa", "preference", "department", key, "final_score"))
-    b = (profiles.join(cand_dept, ["gpa", "preference", "department"])
-                 .withColumn("final_score", F.col("base") + F.lit(1.0) * DEPT_BONUS)
-                 .select("gpa", "preference", "department", key, "final_score"))
-    cands = a.unionByName(b).dropDuplicates(["gpa", "preference", "department", key])
-    w_c = Window.partitionBy("gpa", "preference", "department").orderBy(F.desc("final_score"), F.asc(key))
-    top = (cands.withColumn("rank", F.row_number().over(w_c)).where(F.col("rank") <= k))
-    # top has <= k rows per distinct request profile.  Broadcasting it keeps
-    # a hot profile (a third of all requests) off one reducer; its size is
-    # checked first, and a large profile table falls back to a shuffle join.
-    n_profiles = profiles.count()
-    small = n_profiles <= MAX_BROADCAST_PROFILES
-    return (requests.join(F.broadcast(top) if small else top, ["gpa", "preference", "department"])
-                    .select("request_id", "rank", key, "final_score"))
+                 .join(offered.withColumn("offers", F.lit(True)), [key, "wanted"], "left")
+                 .select(*cols, (F.col("base") + F.coalesce("offers", F.lit(False)).cast("double") * DEPT_BONUS).alias("final_score")))
+    b = cand_dept.select(*cols, (F.col("base") + F.lit(1.0) * DEPT_BONUS).alias("final_score"))
+    cands = a.unionByName(b).dropDuplicates(cols)
+    w_c = Window.partitionBy("gpa", "preference", "wanted").orderBy(F.desc("final_score"), F.asc(key))
+    top = (cands.withColumn("rank", F.row_number().over(w_c)).where(F.col("rank") <= k)
+                .select(*[F.col(c).alias("_" + c) for c in ("gpa", "preference", "wanted")], "rank", key, "final_score"))
+    same = (F.col("gpa") == F.col("_gpa")) & (F.col("preference") == F.col("_preference")) & F.col("wanted").eqNullSafe(F.col("_wanted"))
+    return asked.join(top, same).select("request_id", "rank", key, "final_score")
 
 
 # ------------------------------------------------------------- R5 / P10
@@ -242,15 +250,16 @@ def nearest_entity(profile: DataFrame, point: dict[str, float], k: int = 1,
 
 # ------------------------------------------------------------- S4
 def top_lists(profile: DataFrame, k: int = 10, key: str = "entity") -> DataFrame:
-    """The four insight lists (overall, public, private, research), each
-    a distributed top-k, tagged with ``view`` and 1-based ``rank``."""
-    def top(df, col, view):
-        w = Window.orderBy(F.desc("score"), F.asc(key))  # applied to <= k rows below
-        t = df.orderBy(F.desc(col), F.asc(key)).limit(k)
-        return t.select(F.lit(view).alias("view"), key, "type",
-                        F.col(col).alias("score"), "hec_rank").withColumn(
-            "rank", F.row_number().over(w))
-    return (top(profile, "overall_score", "overall")
-            .unionByName(top(profile.where(F.col("type") == "Public"), "overall_score", "public"))
-            .unionByName(top(profile.where(F.col("type") == "Private"), "overall_score", "private"))
-            .unionByName(top(profile, "research_score", "research")))
+    """The four insight lists (overall, public, private, research), tagged
+    with ``view`` and 1-based ``rank``: one pass over the profile, a partial
+    top-k per view and task (WindowGroupLimit)."""
+    def view(name, score, member=None):
+        row = F.struct(F.lit(name).alias("view"), F.col(score).cast("double").alias("score"))
+        return row if member is None else F.when(F.col("type") == member, row)
+
+    views = F.array(view("overall", "overall_score"), view("public", "overall_score", "Public"),
+                    view("private", "overall_score", "Private"), view("research", "research_score"))
+    rows = profile.select(key, "type", "hec_rank", F.explode(views).alias("v")).where("v is not null")
+    w = Window.partitionBy("v.view").orderBy(F.desc("v.score"), F.asc(key))
+    return (rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select("v.view", key, "type", "v.score", "hec_rank", "rank"))

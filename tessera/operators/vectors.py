@@ -5,24 +5,20 @@ Gram-Schmidt plan
 -----------------
 Classical Gram-Schmidt is sequential within a group, but its state is
 small: the non-zero vectors produced so far.  In dimension d at most d of
-them exist, and once a group's basis spans R^d every later vector's
-residual is exactly zero (returned as NULL, like the zero vector the
-console tool cannot divide by).  So the operator:
-
-1. takes the next ``d`` rows of every unfinished group by order
-   (``row_number() <= d`` -> WindowGroupLimit: a partial top-d per map
-   task, never a whole group in one task),
-2. folds them, in order, against the group's carried basis with nested
-   ``aggregate`` (JVM-side, bounded: <= d rows x <= d basis vectors),
-3. emits the chunk's results, marks groups whose basis reached rank d, and
-   answers all remaining rows of those groups with NULL in one bulk
-   projection,
-4. repeats on the remaining rows of unfinished groups (only degenerate,
-   rank-deficient prefixes need a second round).
-
-Each round's carried state and remaining rows are checkpointed into the
-session's checkpoint directory, so the loop survives executor loss and its
-lineage stays flat.
+them exist, and a vector that depends on them stays dependent whatever is
+added.  So the operator looks only for the rows that enter a basis:
+
+1. every unfinished group takes the next ``d`` rows, by order, that lie after
+   its last processed row and do not depend on its basis (``rank() <= d`` ->
+   WindowGroupLimit: a partial top-d per map task, never a whole group in one
+   task; equal rows count once),
+2. these rows are folded, in order, against the group's carried basis with
+   nested ``aggregate`` (JVM-side, <= d rows x <= d basis vectors),
+3. a group is finished when its basis has d vectors or no such row is left.
+
+The first row of each round always enters the basis, so there are at most d
+rounds (one or two unless rows depend on one another).  A round stores at
+most d vectors a group.  One join at the end gives every other row NULL.
 """
 
 from __future__ import annotations
@@ -32,83 +28,86 @@ from pyspark.sql import functions as F
 
 from tessera.functions import let
 from tessera.functions.vectors import dot, normalize, residual
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import materialize
 
 ZERO_TOL = 1e-10  # |u| <= tol * |v|  ->  v depends on the previous vectors
 BASIS_T = "array<array<double>>"
 
 
+def _depends(v, u, tol: float):
+    """The residual u of v is zero, or cannot be told (nulls, other length, not finite)."""
+    uu, vv = dot(u, u), dot(v, v)
+    return ~F.coalesce((uu > F.lit(tol * tol) * vv) & (vv > 0) & (vv < float("inf")) & ~F.isnan(uu), F.lit(False))
+
+
 def _fold(chunk_rows, basis, dim: int, tol: float):
     """Fold ordered (ord, vec) structs against a starting basis."""
-    out_t = "array<struct<ord:bigint,u:array<double>>>"
+    out_t = "array<struct<ord:bigint,vec:array<double>,u:array<double>>>"
     init = F.struct(basis.alias("basis"), F.array().cast(out_t).alias("out"))
 
     def step(acc, r):
-        v = r["vec"]
-
         def with_u(u):  # u: the residual, computed once per row via let()
-            vv = dot(v, v)
-            is_zero = (F.size(acc["basis"]) >= dim) | v.isNull() | (vv <= 0) | \
-                      (dot(u, u) <= F.lit(tol * tol) * vv)
-            new_basis = F.when(is_zero, acc["basis"]).otherwise(
-                F.concat(acc["basis"], F.array(u)))
-            item = F.struct(r["ord"].cast("bigint").alias("ord"),
-                            F.when(is_zero, F.lit(None).cast("array<double>")).otherwise(u).alias("u"))
-            return F.struct(new_basis.alias("basis"), F.concat(acc["out"], F.array(item)).alias("out"))
-        return let(residual(v, acc["basis"]), with_u)
+            enters = (F.size(acc["basis"]) < dim) & ~_depends(r["vec"], u, tol)
+            return F.struct(
+                F.when(enters, F.concat(acc["basis"], F.array(u))).otherwise(acc["basis"]).alias("basis"),
+                F.when(enters, F.concat(acc["out"], F.array(F.struct(
+                    r["ord"].alias("ord"), r["vec"].alias("vec"), u.alias("u"))))).otherwise(acc["out"]).alias("out"))
+        return let(residual(r["vec"], acc["basis"]), with_u)
 
     return F.aggregate(chunk_rows, init, step)
 
 
 def gram_schmidt(vs: DataFrame, grp: str = "grp", order: str = "ord", vec: str = "vec",
-                 tol: float = ZERO_TOL, max_rounds: int = 1_000_000,
-                 orthonormal: bool = False) -> DataFrame:
+                 tol: float = ZERO_TOL, orthonormal: bool = False) -> DataFrame:
     """V5: (grp, ord, u) for every input row; u NULL for dependent vectors.
 
-    ``orthonormal=True`` (V7) scales each non-NULL u to unit length after the
-    classical process, which itself works on the unnormalised vectors.
+    Rows are processed by order (NULL first), then by vector.  A NULL group is
+    a group; of equal rows one counts and the others depend on it; NULL
+    vectors, vectors of another length than the basis and vectors with
+    non-finite parts depend.  ``orthonormal=True`` (V7) scales each non-NULL u
+    to unit length after the classical process, which itself works on the
+    unnormalised vectors.
     """
-    out = _gram_schmidt(vs, grp, order, vec, tol, max_rounds)
-    if orthonormal:
-        out = out.withColumn("u", normalize("u"))
-    return out
-
-
-def _gram_schmidt(vs, grp, order, vec, tol, max_rounds) -> DataFrame:
-    spark = vs.sparkSession
-    ensure_checkpoint_dir(spark)
     base = vs.select(F.col(grp).alias("grp"), F.col(order).cast("bigint").alias("ord"),
                      F.col(vec).cast("array<double>").alias("vec"))
-    dim = base.select(F.max(F.size("vec"))).first()[0] or 0
-    chunk = max(int(dim), 1)
-
-    state = base.select("grp").distinct().withColumn("basis", F.array().cast(BASIS_T))
-    remaining = base
-    results = []
-    for _ in range(max_rounds):
-        w = Window.partitionBy("grp").orderBy("ord")
-        head = remaining.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= chunk)
-        folded = (head.groupBy("grp")
-                      .agg(F.sort_array(F.collect_list(F.struct("ord", "vec"))).alias("rows"))
-                      .join(state, "grp")
-                      .select("grp", _fold(F.col("rows"), F.col("basis"), chunk, tol).alias("f"))
-                      .checkpoint())
-        results.append(folded.select("grp", F.explode("f.out").alias("o"))
-                             .select("grp", "o.ord", "o.u"))
-        state = folded.select("grp", F.col("f.basis").alias("basis"))
-        full = state.where(F.size("basis") >= chunk).select("grp")
-        rest = remaining.join(head.select("grp", "ord"), ["grp", "ord"], "left_anti")
-        # rows of full-rank groups: residual is exactly zero -> NULL
-        results.append(rest.join(full, "grp", "left_semi")
-                           .select("grp", "ord", F.lit(None).cast("array<double>").alias("u")))
-        remaining = rest.join(full, "grp", "left_anti").checkpoint()
-        if remaining.isEmpty():
+    found = _basis_rows(base, tol)
+    keys = found.select(*[F.col(c).alias("_" + c) for c in ("grp", "ord", "vec")])
+    same = F.col("grp").eqNullSafe(F.col("_grp")) & F.col("ord").eqNullSafe(F.col("_ord")) & (F.col("vec") == F.col("_vec"))
+    none = F.lit(None).cast("array<double>")
+    rest = base.join(keys, same, "left_anti").select("grp", "ord", none.alias("u"))
+    # of the rows equal to one that entered the basis, one keeps u
+    entered = base.join(keys, same, "left_semi").groupBy("grp", "ord", "vec").agg(F.count("*").alias("n"))
+    copies = entered.where("n > 1").select("grp", "ord", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("n")))).select("grp", "ord", none.alias("u"))
+    out = found.select("grp", "ord", "u").union(copies).union(rest)
+    return out.withColumn("u", normalize("u")) if orthonormal else out
+
+
+def _basis_rows(base: DataFrame, tol: float) -> DataFrame:
+    """(grp, ord, vec, u) of the rows that enter their group's basis, stored."""
+    dim = max(int(base.select(F.max(F.size("vec"))).first()[0] or 0), 1)
+    rows = base.where(F.col("vec").isNotNull())
+    state, results = None, []
+    while True:
+        if state is None:
+            left = rows.withColumn("basis", F.array().cast(BASIS_T))
+        else:
+            known = state.withColumnRenamed("grp", "g")
+            left = rows.join(known, F.col("grp").eqNullSafe(F.col("g"))).where(F.struct("ord", "vec") > F.col("last"))
+        left = left.where(let(residual("vec", "basis"), lambda u: ~_depends(F.col("vec"), u, tol)))
+        order = Window.partitionBy("grp").orderBy("ord", "vec")
+        head = left.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= dim)
+        folded = materialize(
+            head.groupBy("grp", "ord", "vec").agg(F.first("basis").alias("basis"))
+                .groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("ord", "vec"))).alias("rows"), F.first("basis").alias("basis"))
+                .select("grp", _fold(F.col("rows"), F.col("basis"), dim, tol).alias("f"), F.element_at("rows", -1).alias("last")))
+        results.append(folded.select("grp", F.explode("f.out").alias("o")).select("grp", "o.ord", "o.vec", "o.u"))
+        state = folded.where(F.size("f.basis") < dim).select("grp", F.col("f.basis").alias("basis"), "last")
+        if state.isEmpty():
             break
-        state = state.join(remaining.select("grp").distinct(), "grp", "left_semi").checkpoint()
     out = results[0]
     for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+        out = out.union(r)
+    return materialize(out)
 
 
 def basis_orthogonality(gs: DataFrame, tol: float = 1e-4) -> DataFrame:

@@ -69,6 +69,11 @@ def q_batch_recommendations(spark, sf_dir):
     return _round(out.withColumn("rank", F.col("rank").cast("int")), ["final_score"])
 
 
+def q_batch_recommendations_any(spark, sf_dir):
+    out = E.recommend_batch(profile(spark, sf_dir), raw(spark, sf_dir), views.requests_any(spark, sf_dir))
+    return _round(out.withColumn("rank", F.col("rank").cast("int")), ["final_score"])
+
+
 def q_closest_rank_entities(spark, sf_dir):
     out = E.closest_by_rank(profile(spark, sf_dir), SIMULATED_RANK, 5)
     return _round(out.select("entity", "hec_rank", "rank_diff", "verdict"), ["hec_rank", "rank_diff"])
@@ -95,6 +100,7 @@ QUERIES = {
     "department_offer_flags": q_department_offer_flags,
     "advisor_top5": q_advisor_top5,
     "batch_recommendations": q_batch_recommendations,
+    "batch_recommendations_any": q_batch_recommendations_any,
     "closest_rank_entities": q_closest_rank_entities,
     "entity_scaling": q_entity_scaling,
     "nearest_entity": q_nearest_entity,
@@ -143,6 +149,22 @@ def _z(f: str, value: str) -> str:
 
 _DIST = " + ".join(f"power({_z(f, 'p.' + f)} - {_z(f, repr(QUERY_POINT[f]) + 'E0')}, 2)" for f in _FEATS)
 
+def _recommendations_sql(requests: str) -> str:
+    return with_views(f"""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, entity, round(final_score, {R}) + 0.0E0 AS final_score FROM (
+  SELECT request_id, entity, final_score,
+         row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, entity) AS rank FROM (
+    SELECT r.request_id, p.entity,
+           p.overall_score * (r.gpa / 4.0E0)
+           + CASE r.preference WHEN 'Public' THEN {_pref_sql('Public')}
+                               WHEN 'Private' THEN {_pref_sql('Private')}
+                               ELSE {_pref_sql('Balanced')} END
+           + CASE WHEN o.entity IS NOT NULL THEN 10.0E0 ELSE 0.0E0 END AS final_score
+    FROM {requests} r CROSS JOIN profile p
+    LEFT JOIN offered o ON o.entity = p.entity AND o.department = r.department))
+WHERE rank <= 5""", "entities_raw", requests, extra=_PO)
+
+
 ORACLES = {
     "entity_profile": with_views("SELECT * FROM profile", "entities_raw", extra=_P),
     "entity_departments": with_views("""
@@ -162,19 +184,8 @@ SELECT entity, type, offers, round(final_score, {R}) + 0.0E0 AS final_score FROM
   FROM profile p LEFT JOIN (SELECT entity, bool_or(department = {FIRST_DEPT}) AS offers
                             FROM entities_raw GROUP BY entity) f USING (entity))
 ORDER BY final_score DESC, entity LIMIT 5""", "entities_raw", extra=_P),
-    "batch_recommendations": with_views(f"""
-SELECT request_id, CAST(rank AS INTEGER) AS rank, entity, round(final_score, {R}) + 0.0E0 AS final_score FROM (
-  SELECT request_id, entity, final_score,
-         row_number() OVER (PARTITION BY request_id ORDER BY final_score DESC, entity) AS rank FROM (
-    SELECT r.request_id, p.entity,
-           p.overall_score * (r.gpa / 4.0E0)
-           + CASE r.preference WHEN 'Public' THEN {_pref_sql('Public')}
-                               WHEN 'Private' THEN {_pref_sql('Private')}
-                               ELSE {_pref_sql('Balanced')} END
-           + CASE WHEN o.entity IS NOT NULL THEN 10.0E0 ELSE 0.0E0 END AS final_score
-    FROM requests r CROSS JOIN profile p
-    LEFT JOIN offered o ON o.entity = p.entity AND o.department = r.department))
-WHERE rank <= 5""", "entities_raw", "requests", extra=_PO),
+    "batch_recommendations": _recommendations_sql("requests"),
+    "batch_recommendations_any": _recommendations_sql("requests_any"),
     "closest_rank_entities": with_views(f"""
 SELECT entity, {_r(['hec_rank', 'rank_diff'])},
        CASE WHEN rank_diff = 0 THEN 'perfect' WHEN rank_diff <= 3 THEN 'excellent'

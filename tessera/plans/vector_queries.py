@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import vectors as VO
 from tessera.sources import views
-from tessera.sources.views_sql import VECTOR_SETS
+from tessera.sources.views_sql import SHORT_VECTOR_SETS, VECTOR_SETS
 
 R = 6
 
@@ -37,6 +37,12 @@ def q_gram_schmidt(spark, sf_dir) -> DataFrame:
     return gs.select("grp", "ord", _round_arr(F.col("u")).alias("u"))
 
 
+def q_gram_schmidt_short(spark, sf_dir) -> DataFrame:
+    """V5 where groups have many more rows than dimensions."""
+    gs = VO.gram_schmidt(views.short_vector_sets(spark, sf_dir))
+    return gs.select("grp", "ord", _round_arr(F.col("u")).alias("u"))
+
+
 def q_basis_orthogonality(spark, sf_dir) -> DataFrame:
     o = VO.basis_orthogonality(VO.gram_schmidt(views.vector_sets(spark, sf_dir)))
     return o.select("grp", "n_basis", "orthogonal")
@@ -45,6 +51,7 @@ def q_basis_orthogonality(spark, sf_dir) -> DataFrame:
 QUERIES = {
     "first_vector_projection": q_first_vector_projection,
     "gram_schmidt": q_gram_schmidt,
+    "gram_schmidt_short": q_gram_schmidt_short,
     "basis_orthogonality": q_basis_orthogonality,
 }
 
@@ -63,8 +70,12 @@ _PROJ = f"list_transform(first, lambda y: y * ({_COEF}))"
 _RESID = (f"list_reduce(list_transform(basis, lambda u: {{'u': u, 'c': ({_dot('vec', 'u')}) / ({_dot('u', 'u')})}}), "
           "lambda r, s: list_transform(list_zip(r, s.u), lambda p: p[1] - p[2] * s.c), vec)")
 
-GS_SQL = f"""
-WITH RECURSIVE vs AS ({VECTOR_SETS.strip()}),
+ZERO_SHARE = "1e-20"  # a residual of at most 1e-10 times the vector's length is zero
+
+
+def _gs_sql(sets: str) -> str:
+    return f"""
+WITH RECURSIVE vs AS ({sets.strip()}),
 v AS (SELECT grp, ord, vec, row_number() OVER (PARTITION BY grp ORDER BY ord) AS pos,
              max(len(vec)) OVER () AS dim FROM vs),
 gs AS (
@@ -74,10 +85,10 @@ gs AS (
   SELECT grp, pos, ord, CASE WHEN z THEN basis ELSE list_append(basis, r) END,
          CASE WHEN z THEN NULL ELSE r END FROM (
     SELECT grp, pos, ord, basis, r,
-           (len(basis) >= dim OR vv <= 0 OR ({_dot('r', 'r')}) <= {VO.ZERO_TOL ** 2!r} * vv) AS z FROM (
+           (len(basis) >= dim OR vv <= 0 OR ({_dot('r', 'r')}) <= {ZERO_SHARE} * vv) AS z FROM (
       SELECT g.grp, v.pos, v.ord, g.basis, v.dim, {_dot('v.vec', 'v.vec')} AS vv,
              {_RESID.replace('vec', 'v.vec').replace('basis', 'g.basis')} AS r
-      FROM gs g JOIN v ON v.grp = g.grp AND v.pos = g.pos + 1)))
+      FROM gs g JOIN v ON v.grp IS NOT DISTINCT FROM g.grp AND v.pos = g.pos + 1)))
 """
 
 ORACLES = {
@@ -92,8 +103,9 @@ SELECT grp, ord, round({_dot('vec', 'first')}, {R}) + 0.0E0 AS dot_first,
        CASE WHEN sqrt({_dot('vec', 'vec')}) > 0
             THEN {_rarr(f"list_transform(vec, lambda x: x / sqrt({_dot('vec', 'vec')}))")} END AS unit
 FROM j""",
-    "gram_schmidt": GS_SQL + f"SELECT grp, ord, {_rarr('u')} AS u FROM gs WHERE pos > 0",
-    "basis_orthogonality": GS_SQL + f"""
+    "gram_schmidt": _gs_sql(VECTOR_SETS) + f"SELECT grp, ord, {_rarr('u')} AS u FROM gs WHERE pos > 0",
+    "gram_schmidt_short": _gs_sql(SHORT_VECTOR_SETS) + f"SELECT grp, ord, {_rarr('u')} AS u FROM gs WHERE pos > 0",
+    "basis_orthogonality": _gs_sql(VECTOR_SETS) + f"""
 , b AS (SELECT grp, ord, u FROM gs WHERE pos > 0 AND u IS NOT NULL)
 SELECT grp, n_basis, coalesce(max_abs_dot, 0.0E0) < 1e-4 AS orthogonal FROM (
   SELECT grp, count(*) AS n_basis FROM b GROUP BY grp) n

@@ -111,8 +111,27 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case(F.col("c_nationkey") % 6, REQUEST_DEPARTMENTS).alias("department"))
 
 
+def requests_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests off the form's grid: any GPA, unknown and NULL preferences and departments."""
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    key = F.col("c_custkey")
+    return c.select(
+        key.alias("request_id"),
+        (F.lit(2.0) + (key % 97) / F.lit(48.0)).alias("gpa"),
+        _case(key % 5, ("Balanced", "Public", "Private", "Any")).alias("preference"),
+        F.when(key % 7 == 0, F.lit(None).cast("string")).when(key % 7 == 1, F.lit("NONE"))
+         .otherwise(_case(F.col("c_nationkey") % 6, REQUEST_DEPARTMENTS)).alias("department"))
+
+
 def vector_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vector_sets: grp (label), ord (vec_id), vec array<double>."""
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(F.col("label").alias("grp"), F.col("vec_id").alias("ord"),
                     F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def short_vector_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_sets with the first 8 components: many more rows than dimensions,
+    and every 40th order NULL group, so later rounds and NULL keys are checked."""
+    v = vector_sets(spark, sf_dir)
+    return v.select(F.when(F.col("ord") % 40 != 0, F.col("grp")).alias("grp"), "ord", F.slice("vec", 1, 8).alias("vec"))

@@ -39,12 +39,25 @@ SELECT c_custkey AS request_id, 2.0E0 + (c_custkey % 21)/10.0E0 AS gpa,
 FROM customer
 """
 
+REQUESTS_ANY = """
+SELECT c_custkey AS request_id, 2.0E0 + (c_custkey % 97)/48.0E0 AS gpa,
+       CASE c_custkey % 5 WHEN 0 THEN 'Balanced' WHEN 1 THEN 'Public' WHEN 2 THEN 'Private' WHEN 3 THEN 'Any' END AS preference,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN 'NONE' ELSE
+         CASE c_nationkey % 6 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'LARGE' WHEN 2 THEN 'MEDIUM'
+                              WHEN 3 THEN 'PROMO' WHEN 4 THEN 'SMALL' ELSE 'STANDARD' END END AS department
+FROM customer
+"""
+
 VECTOR_SETS = """
 SELECT label AS grp, vec_id AS ord, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
 """
 
+SHORT_VECTOR_SETS = """
+SELECT CASE WHEN vec_id % 40 <> 0 THEN label END AS grp, vec_id AS ord, CAST(embedding AS DOUBLE[])[1:8] AS vec FROM embeddings
+"""
+
 VIEWS = {"sales": SALES, "reviews": REVIEWS, "entities_raw": ENTITIES_RAW,
-         "requests": REQUESTS}
+         "requests": REQUESTS, "requests_any": REQUESTS_ANY}
 
 
 def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> str:

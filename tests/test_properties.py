@@ -66,25 +66,49 @@ def test_hash_split_rate_is_label_independent(spark):
     assert all(abs(r.r - 0.2) < 0.02 for r in rates.collect())
 
 
-def test_recommendation_fallback_join_equals_broadcast(spark, monkeypatch):
-    from tessera.operators import entities as E
-    from tessera.plans import entity_queries
-    from tessera.sources import views
-    prof, raw = entity_queries.profile(spark, SF_SMALL), entity_queries.raw(spark, SF_SMALL)
-    reqs = views.requests(spark, SF_SMALL)
-    a = sorted(tuple(r) for r in E.recommend_batch(prof, raw, reqs).collect())
-    monkeypatch.setattr(E, "MAX_BROADCAST_PROFILES", 0)  # force the shuffle-join path
-    b = sorted(tuple(r) for r in E.recommend_batch(prof, raw, reqs).collect())
-    assert a == b and len(a) == 5 * reqs.count()
-
-
-def test_recommendation_refuses_off_grid_gpa(spark):
-    import pytest
+def test_recommendation_answers_every_request_as_all_pairs_would(spark):
+    """Any GPAs, unknown and NULL preferences and departments, against every (request, entity) pair."""
+    import random
 
     from tessera.operators import entities as E
-    from tessera.plans import entity_queries
-    reqs = spark.range(200).select(F.col("id").alias("request_id"),
-                                   (F.lit(2.0) + F.col("id") / 1000.0).alias("gpa"),
-                                   F.lit("Public").alias("preference"), F.lit("X").alias("department"))
-    with pytest.raises(ValueError):
-        E.recommend_batch(entity_queries.profile(spark, SF_SMALL), entity_queries.raw(spark, SF_SMALL), reqs)
+
+    rng = random.Random(4)
+    ents = [(f"e{i}", rng.choice("AB"), rng.randint(50, 100), rng.randint(50, 100), rng.randint(50, 100)) for i in range(300)]
+    raw = spark.createDataFrame(ents + [(e[0], "C", *e[2:]) for e in ents[::7]] + [(ents[0][0], None, *ents[0][2:])],
+                                "entity string, department string, overall_score int, research_score int, teaching_score int")
+    prof = E.entity_profile(raw, keywords=("e1", "e2"))
+    reqs = [(i, rng.choice([2 + i / 300, 3.0, None, -1.0, 0.0]), rng.choice(["Public", "Private", "Balanced", "Any", None]),
+             rng.choice(["A", "B", "C", "NONE", None])) for i in range(120)]
+    got = {}
+    for r in E.recommend_batch(prof, raw, spark.createDataFrame(reqs, "request_id int, gpa double, preference string, department string")).collect():
+        got.setdefault(r.request_id, {})[r["rank"]] = (r.entity, round(r.final_score, 9))
+    offers = {(r.entity, r.department) for r in raw.collect()}
+    rows = prof.collect()
+    for i, gpa, pref, dep in reqs:
+        def score(p, gpa=max(gpa or 0.0, 0.0), pref=pref, dep=dep):
+            base = p.overall_score * gpa / 4.0 + (10.0 if dep is not None and (p.entity, dep) in offers else 0.0)
+            if pref == "Public":
+                return base + p.research_score + (15.0 if p.type == "Public" else 0.0)
+            if pref == "Private":
+                return base + p.teaching_score + (15.0 if p.type == "Private" else 0.0)
+            return base + (p.research_score + p.teaching_score) / 2.0
+        best = sorted(((-round(score(p), 9), p.entity) for p in rows))[:5]
+        assert [got[i][k + 1] for k in range(5)] == [(e, -s) for s, e in best], (i, gpa, pref, dep)
+
+
+def test_gram_schmidt_with_null_keys_copies_and_dependent_prefix(spark):
+    """Every input row comes out once; equal rows, NULL keys and long dependent prefixes included."""
+    from collections import Counter
+
+    from tessera.operators import vectors as VO
+
+    rows = [(None, 1, [1.0, 0.0, 0.0]), (None, 2, [1.0, 1.0, 0.0]), ("a", None, [0.0, 2.0, 0.0]), ("a", 1, [0.0, 4.0, 0.0]),
+            ("a", 5, [3.0, 1.0, 0.0]), ("b", 1, [1.0, 0.0, 0.0]), ("b", 1, [1.0, 0.0, 0.0]), ("b", 1, [0.0, 1.0, 0.0]), ("b", 1, [0.0, 1.0, 0.0]),
+            ("c", 1, None), ("c", 2, [0.0, 0.0, 0.0]), ("c", 3, [float("nan"), 0.0, 0.0]), ("c", 4, [1.0, 0.0]), ("d", 1, None)]
+    rows += [("e", i, [float(i + 1), 0.0, 0.0]) for i in range(50)] + [("e", 50, [1.0, 2.0, 0.0]), ("e", 51, [1.0, 2.0, 3.0]), ("e", 52, [5.0, 2.0, 9.0])]
+    out = VO.gram_schmidt(spark.createDataFrame(rows, "grp string, ord bigint, vec array<double>")).collect()
+    assert Counter((r.grp, r.ord) for r in out) == Counter(r[:2] for r in rows)
+    kept = sorted(((r.grp or "", -1 if r.ord is None else r.ord, [round(x, 9) for x in r.u]) for r in out if r.u is not None))
+    assert [k for k in kept if k[0] != "c"] == [
+        ("", 1, [1.0, 0.0, 0.0]), ("", 2, [0.0, 1.0, 0.0]), ("a", -1, [0.0, 2.0, 0.0]), ("a", 5, [3.0, 0.0, 0.0]),
+        ("b", 1, [0.0, 1.0, 0.0]), ("b", 1, [1.0, 0.0, 0.0]), ("e", 0, [1.0, 0.0, 0.0]), ("e", 50, [0.0, 2.0, 0.0]), ("e", 51, [0.0, 0.0, 3.0])]
