@@ -49,10 +49,3 @@ def agreement(*preds) -> dict[str, Column]:
     lo, hi = F.least(*cols), F.greatest(*cols)
     return {"pred_min": lo, "pred_max": hi, "pred_spread": hi - lo,
             "all_agree": lo == hi}
-
-
-def mean_of_cents(c) -> Column:
-    """Mean of 2-decimal money computed on integer cents (exact, engine-stable)."""
-    c = _c(c)
-    return F.try_divide(F.sum(F.round(c * 100).cast("bigint")),
-                        F.count(c) * F.lit(100.0))

@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import calendar_parts, cyclic_month, month_start, shift_months
-from tessera.functions.numeric import mean_of_cents
 
 SERIES_KEYS = ("store", "product")
+# Lags, trailing windows and feature names of the forecast.
 LAGS = (1, 2, 3, 6, 12)
 # (output column, frame length, statistic) for the trailing windows that
 # exclude the current row.
@@ -59,7 +59,7 @@ def median_of(df: DataFrame, col: str, approx_accuracy: int | None = None) -> Co
 def impute_sales(df: DataFrame, qty: str = "sales_qty", promo: str = "promotion") -> DataFrame:
     """fill missing quantities with the overall median, promotions with 0."""
     med = median_of(df, qty)
-    out = df.withColumn(qty, F.coalesce(F.col(qty), med.cast(df.schema[qty].dataType)))
+    out = df.withColumn(qty, F.coalesce(F.col(qty).cast("double"), med))
     if promo in df.columns:
         out = out.withColumn(promo, F.coalesce(F.col(promo), F.lit(0)))
     return out
@@ -73,11 +73,11 @@ def monthly_rollup(sales: DataFrame, keys=SERIES_KEYS, date: str = "date") -> Da
     all-null quantity sums to 0, not NULL.
     """
     valid = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (date, *keys)])
-    aggs = [F.coalesce(F.sum("sales_qty"), F.lit(0)).cast("bigint").alias("sales_qty")]
+    aggs = [F.coalesce(F.sum("sales_qty"), F.lit(0)).alias("sales_qty")]
     if "promotion" in sales.columns:
         aggs.append(F.max("promotion").alias("promotion"))
     if "price" in sales.columns:
-        aggs.append(mean_of_cents("price").alias("avg_price"))
+        aggs.append(F.avg("price").alias("avg_price"))
     return (sales.where(valid)
                  .groupBy(month_start(date).alias(date), *keys)
                  .agg(*aggs))
@@ -91,7 +91,7 @@ def imputed_monthly_rollup(sales: DataFrame, keys=SERIES_KEYS, date: str = "date
     Median imputation needs the median of all quantities before the rollup;
     computing it as a separate subquery would run the lineitem joins twice.
     Instead one ``GROUPING SETS`` aggregate produces both the monthly groups
-    (sum, NULL count, max promotion, price cents) and the quantity histogram
+    (sum, NULL count, max promotion, mean price) and the quantity histogram
     (value -> count, bounded by the number of distinct quantities).  The
     median comes from the histogram, and each group adds
     ``n_null * median`` to its sum -- the same result as imputing first.
@@ -100,13 +100,11 @@ def imputed_monthly_rollup(sales: DataFrame, keys=SERIES_KEYS, date: str = "date
     aggregate so the histogram and the groups are read from it.
     """
     d = month_start(date).alias(date)
-    cents = F.round(F.col(price) * 100).cast("bigint")
-    pre = sales.select(d, *keys, F.col(qty), F.coalesce(F.col(promo), F.lit(0)).alias(promo),
-                       cents.alias("_cents"), F.col(price))
+    pre = sales.select(d, *keys, F.col(qty), F.coalesce(F.col(promo), F.lit(0)).alias(promo), F.col(price))
     agg = (pre.groupingSets([[date, *keys], [qty]], date, *keys, qty)
               .agg(F.grouping_id().alias("_gid"), F.sum(qty).alias("_sum"),
                    F.count_if(F.col(qty).isNull()).alias("_nnull"), F.max(promo).alias(promo),
-                   F.sum("_cents").alias("_cents"), F.count(price).alias("_nprice"),
+                   F.avg(price).alias("avg_price"),
                    F.count(F.lit(1)).alias("_n")))
     if materialize_with is not None:
         agg = materialize_with(agg)
@@ -115,11 +113,9 @@ def imputed_monthly_rollup(sales: DataFrame, keys=SERIES_KEYS, date: str = "date
     hist = agg.where((F.col("_gid") == hist_gid) & F.col(qty).isNotNull()).select(qty, "_n")
     med = _median_from_histogram(hist, qty, "_n")
     valid = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in (date, *keys)])
-    qty_type = sales.schema[qty].dataType
-    total = F.coalesce(F.col("_sum"), F.lit(0)) + F.col("_nnull") * F.coalesce(med.cast(qty_type), F.lit(0))
+    total = F.coalesce(F.col("_sum"), F.lit(0)).cast("double") + F.col("_nnull") * F.coalesce(med, F.lit(0.0))
     return (agg.where((F.col("_gid") == groups_gid) & valid)
-               .select(date, *keys, total.cast("bigint").alias(qty), promo,
-                       F.try_divide(F.col("_cents"), F.col("_nprice") * F.lit(100.0)).alias("avg_price")))
+               .select(date, *keys, total.alias(qty), promo, "avg_price"))
 
 
 def _median_from_histogram(hist: DataFrame, value: str, count: str) -> Column:

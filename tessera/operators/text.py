@@ -47,9 +47,9 @@ def category_crosstab(df: DataFrame, row: str = "category", col: str = "sentimen
 
 def value_share(df: DataFrame, col: str = "sentiment") -> DataFrame:
     """Count and share of each value."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return (df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("share", F.try_divide(F.col("n").cast("double"), total)))
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # one row per value
+    return counts.withColumn("share", F.try_divide(F.col("n").cast("double"), total))
 
 
 def rating_histogram(df: DataFrame, spark, col: str = "rating", lo: int = 1, hi: int = 5) -> DataFrame:
@@ -123,19 +123,30 @@ def hash_split(df: DataFrame, id_col: str, test_fraction: float = 0.2, flag: str
 
 def exact_stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: float = 0.2,
                            flag: str = "is_test") -> DataFrame:
-    """M2 exact form: per label, the ceil(f*n) rows with smallest md5(id).
+    """M2 exact form: per label, the ceil(f*n) rows with the smallest md5(id).
 
-    Sorts within each class; use for small inputs, ``hash_split`` at scale.
+    No class is sorted as a whole: counts by the hash's first digits tell in
+    which range of hashes each class's last test row lies, and only that range
+    is ranked (a 65,536th of the class).
     """
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(id_col).cast("string")), F.col(id_col))
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return df.withColumn(flag, F.row_number().over(w) <= F.ceil(n * test_fraction))
+    h = F.md5(F.col(id_col).cast("string"))
+    ranged = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 4))
+    counts = ranged.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.ceil(F.sum("_n").over(Window.partitionBy(label)) * test_fraction)
+    limits = counts.select(F.col(label).alias("_label"), F.col("_range").alias("_of"), (wanted - before).alias("_left"), "_n")
+    joined = ranged.join(limits, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_of")))
+    edge = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("_label", "_of").orderBy("_h", id_col))
+    inner = joined.where(~edge).withColumn(flag, F.col("_left") > 0)
+    outer = joined.where(edge).withColumn(flag, rank <= F.col("_left"))
+    return inner.unionByName(outer).select(*df.columns, flag)
 
 
 # ------------------------------------------------------------- M10 TF-IDF
 def term_frequencies(docs: DataFrame, doc: str = "doc_id", toks: str = "tokens",
-                     text: str | None = None) -> DataFrame:
-    """(doc, term, tf) over unigrams and bigrams of each document.
+                     text: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, *keep, term, tf) over unigrams and bigrams of each document.
 
     Documents are hash-partitioned by id *before* the explode: the shuffle
     then moves documents (corpus bytes), not exploded terms (about twice
@@ -144,13 +155,12 @@ def term_frequencies(docs: DataFrame, doc: str = "doc_id", toks: str = "tokens",
     when the input arrives in few splits.  Ids are unique, so no partition
     can be hot.
     """
-    if text is not None:  # tokenise after the repartition (spreads the regex work)
-        spread = docs.select(doc, text).repartition(doc)
-        spread = spread.select(doc, T.tokens(text).alias(toks))
+    if text is not None:  # tokenise after the repartition
+        dealt = docs.select(doc, text, *keep).repartition(doc).select(doc, *keep, T.tokens(text).alias(toks))
     else:
-        spread = docs.select(doc, toks).repartition(doc)
-    return (spread.select(doc, F.explode(T.uni_bi_grams(F.col(toks))).alias("term"))
-                  .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
+        dealt = docs.select(doc, toks, *keep).repartition(doc)
+    return (dealt.select(doc, *keep, F.explode(T.uni_bi_grams(F.col(toks))).alias("term"))
+                 .groupBy(doc, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def fit_vocabulary(tf: DataFrame, n_docs, max_terms: int = 2500, min_df: int = 2,
@@ -166,25 +176,24 @@ def fit_vocabulary(tf: DataFrame, n_docs, max_terms: int = 2500, min_df: int = 2
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, term, weight): tf * idf over the vocabulary, L2-normalised per doc."""
+    """(doc, term, weight and what ``tf`` carries): tf * idf over the vocabulary, L2-normalised per doc."""
     j = tf.join(F.broadcast(vocab.select("term", "idf")), "term")  # <= max_terms rows
     raw = F.col("tf") * F.col("idf")
     w = Window.partitionBy(doc)
     norm = F.sqrt(F.sum(raw * raw).over(w))
-    return j.select(doc, "term", (raw / norm).alias("weight"))
+    return j.select(*[c for c in tf.columns if c != "tf"], (raw / norm).alias("weight"))
 
 
 # ------------------------------------------------------------- M12 NB
 def fit_naive_bayes(weights: DataFrame, labels: DataFrame, n_classes: int = 3,
                     alpha: float = 0.5, doc: str = "doc_id", label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """Multinomial NB on tf-idf weights (exact, in SQL aggregates).
+    """Multinomial NB on tf-idf weights with their label (exact, in SQL aggregates).
 
-    Returns (term -> log P(term|class) per class as columns ``flp_c``,
-    class -> log prior).  Smoothing alpha is added to every vocabulary term;
+    ``labels`` has one row per training document.  Returns (term -> log P(term|class) per class as columns ``flp_c``,
+    one row of log priors ``lp_c``).  Smoothing alpha is added to every vocabulary term;
     the class sizes come from the labelled training documents.
     """
-    lw = weights.join(labels, doc)
-    per_class = lw.groupBy("term").pivot(label, list(range(n_classes))).agg(F.sum("weight")).na.fill(0.0)
+    per_class = weights.groupBy("term").pivot(label, list(range(n_classes))).agg(F.sum("weight")).na.fill(0.0)
     # per_class has one row per vocabulary term (<= max_terms): a global
     # window over it is bounded by the vocabulary size.
     everything = Window.partitionBy()
@@ -193,8 +202,9 @@ def fit_naive_bayes(weights: DataFrame, labels: DataFrame, n_classes: int = 3,
         F.log((F.col(str(c)) + alpha) /
               (F.sum(F.col(str(c))).over(everything) + F.lit(alpha) * n_terms)).alias(f"flp_{c}")
         for c in range(n_classes)])
-    n_docs = labels.select(F.count(F.lit(1))).scalar()
-    priors = labels.groupBy(label).agg(F.log(F.count(F.lit(1)) / n_docs.cast("double")).alias("log_prior"))
+    size = F.count(F.lit(1)).cast("double")
+    priors = labels.agg(*[F.when(F.count_if(F.col(label) == c) > 0, F.log(F.count_if(F.col(label) == c) / size)).alias(f"lp_{c}")
+                          for c in range(n_classes)])
     return flp, priors
 
 
@@ -208,7 +218,8 @@ def predict_naive_bayes(weights: DataFrame, docs: DataFrame, flp: DataFrame, pri
     sums = (weights.join(F.broadcast(flp), "term")
                    .groupBy(doc).agg(*[F.sum(F.col("weight") * F.col(f"flp_{c}")).alias(f"s_{c}")
                                        for c in range(n_classes)]))
-    prior = {c: priors.where(F.col(label) == c).select("log_prior").scalar() for c in range(n_classes)}
+    row = priors.select(F.struct(*priors.columns)).scalar()
+    prior = {c: row[f"lp_{c}"] for c in range(n_classes)}
     scored = docs.join(sums, doc, "left").select(
         "*", *[(F.coalesce(F.col(f"s_{c}"), F.lit(0.0)) + F.coalesce(prior[c], F.lit(float("-inf"))))
                .alias(f"score_{c}") for c in range(n_classes)])

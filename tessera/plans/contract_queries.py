@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import display, panel
-from tessera.plans.panel_queries import MONTHLY_SQL, monthly
+from tessera.plans.panel_queries import in_cents, MONTHLY_SQL, monthly
 from tessera.sources import contracts, views
 from tessera.sources.tables import read_table
 from tessera.sources.views_sql import with_views
@@ -37,8 +37,8 @@ def q_sales_contract_rollup(spark, sf_dir):
     upload = li.join(part, li.l_partkey == part.p_partkey).select(
         F.col("l_shipdate").cast("date").alias("Date"), F.col("p_type").alias("Product"),
         F.col("l_quantity").cast("int").alias("Sales_Qty"))
-    m = panel.monthly_rollup(contracts.sales_contract(upload))
-    return m.withColumn("avg_price", F.round("avg_price", R) + F.lit(0.0))
+    m = panel.monthly_rollup(in_cents(contracts.sales_contract(upload)))
+    return m.withColumn("avg_price", F.round(F.col("avg_price") / 100.0, R) + F.lit(0.0))
 
 
 def q_filtered_store_rollup(spark, sf_dir):
@@ -46,12 +46,12 @@ def q_filtered_store_rollup(spark, sf_dir):
     the rollup (the predicate reaches the region scan), and, as in that
     path, no imputation runs."""
     s = display.filter_equals(views.sales(spark, sf_dir), STORE_SELECTION)
-    out = panel.monthly_rollup(s)
-    return out.withColumn("avg_price", F.round("avg_price", R) + F.lit(0.0))
+    out = panel.monthly_rollup(in_cents(s))
+    return out.withColumn("avg_price", F.round(F.col("avg_price") / 100.0, R) + F.lit(0.0))
 
 
 def q_sales_display_page(spark, sf_dir):
-    shown = display.sales_display(monthly(spark, sf_dir, checkpoint=False))
+    shown = display.sales_display(monthly(spark, sf_dir))
     ordered = display.sort_by(shown, "Units", SORT_MAPPING, ["date", "store", "product"])
     return display.first_page(ordered, display.PAGE_ROWS).select("month", "store", "product", "units", "promo")
 
@@ -79,7 +79,7 @@ SELECT doc_id, 'General' AS category, 3 AS rating, 0 AS helpful_votes, CAST(leng
     "filtered_store_rollup": with_views(f"""
 SELECT CAST(date_trunc('month', date) AS DATE) AS date, store, product,
        CAST(coalesce(sum(sales_qty), 0) AS BIGINT) AS sales_qty, max(promotion) AS promotion,
-       round(sum(CAST(round(price*100) AS BIGINT)) / (100.0E0*count(price)), {R}) + 0.0E0 AS avg_price
+       round(avg(CAST(round(price*100) AS BIGINT)) / 100.0E0, {R}) + 0.0E0 AS avg_price
 FROM sales WHERE store = 'EUROPE' AND date IS NOT NULL AND product IS NOT NULL
 GROUP BY 1, 2, 3""", "sales"),
     "sales_display_page": with_views("""

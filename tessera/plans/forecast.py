@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import clip_at_zero
 from tessera.operators import display, metrics, panel
 from tessera.sources.contracts import min_rows
-from tessera.session import ensure_checkpoint_dir, sized_for_fitting
+from tessera.session import TREE_AGGREGATION_MB, ensure_checkpoint_dir, for_fitting
 
 # Reference hyper-parameters of the batch forecast run.
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 200, 12, 5
@@ -26,10 +26,9 @@ GBT_ITERS, GBT_DEPTH, GBT_RATE = 200, 5, 0.05
 SEED = 42
 MODEL_ORDER = ("Linear Regression", "Random Forest", "Gradient Boosting")
 MIN_ROWS = 20  # fewer rows after the selections: refuse to train (P7)
-# Scheduling-only settings for deep forests: cache each row's node id
-# between levels and group more nodes per pass; the model settings above
-# are unchanged.
-TREE_SCHEDULING = {"cacheNodeIds": True, "checkpointInterval": 10}
+# Fixed settings for deep forests: cache each row's node id between levels and
+# group nodes in a fixed amount of memory.
+TREE_SCHEDULING = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": TREE_AGGREGATION_MB}
 
 
 def feature_columns(use_promotion: bool = True) -> list[str]:
@@ -70,7 +69,7 @@ def fit_and_score(features: DataFrame, holdout_months: int = 6, use_promotion: b
     data = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error") \
         .transform(split).select("date", "store", "product", "features",
                                  F.col("sales_qty").cast("double").alias("label"), "is_test")
-    data = sized_for_fitting(data)
+    data = for_fitting(data, "store", "product", "date")
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     preds, models = [], {}
     for name, est in estimators(trees, gbt_iters).items():

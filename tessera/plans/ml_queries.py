@@ -1,6 +1,6 @@
 """Registered model-fitting queries (Spark ML; iterative -> rows-only check).
 
-Model quality is covered by repo tests with tolerances (tests/test_models.py).
+tests/test_models.py fits small estimators of the same kinds.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tessera.operators import panel
-from tessera.session import fitting_scope, materialize, sized_for_fitting
+from tessera.session import fitting_scope, for_fitting, materialize
 from tessera.plans import entity_queries, forecast, panel_queries, ranking, sentiment, text_queries
 
 R = 6
@@ -28,8 +28,8 @@ def _forecast_model_comparison(spark, sf_dir):
 def _forecast_feature_importance(spark, sf_dir):
     feats = panel.temporal_split(panel_queries.features(spark, sf_dir), 6).where(~F.col("is_test"))
     cols = forecast.feature_columns()
-    data = sized_for_fitting(VectorAssembler(inputCols=cols, outputCol="features").transform(feats)
-                             .withColumn("label", F.col("sales_qty").cast("double")))
+    data = for_fitting(VectorAssembler(inputCols=cols, outputCol="features").transform(feats)
+                       .withColumn("label", F.col("sales_qty").cast("double")), "store", "product", "date")
     rf = RandomForestRegressor(numTrees=forecast.RF_TREES, maxDepth=forecast.RF_DEPTH,
                                minInstancesPerNode=forecast.RF_MIN_LEAF,
                                featureSubsetStrategy="all", seed=forecast.SEED,

@@ -22,13 +22,19 @@ def _round(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), R) + F.lit(0.0) for c in cols})
 
 
-def monthly(spark: SparkSession, sf_dir: str, checkpoint: bool = True) -> DataFrame:
+def in_cents(sales: DataFrame) -> DataFrame:
+    """Prices as whole cents, so that sums are exact in any order."""
+    return sales.withColumn("price", F.round(F.col("price") * 100).cast("bigint"))
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sales view -> median impute + monthly rollup in one pass over the
     joins.  The small grouping-sets aggregate is always checkpointed: the
     median (from its histogram rows) and the monthly groups both read it, so
-    the scans and joins run exactly once.  ``checkpoint`` is kept for
-    callers and has no effect."""
-    return panel.imputed_monthly_rollup(views.sales(spark, sf_dir), materialize_with=materialize)
+    the scans and joins run exactly once.  The fixture's quantities are whole
+    and never NULL, so their sums are longs."""
+    rows = panel.imputed_monthly_rollup(in_cents(views.sales(spark, sf_dir)), materialize_with=materialize)
+    return rows.withColumns({"sales_qty": F.col("sales_qty").cast("bigint"), "avg_price": F.col("avg_price") / 100.0})
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ queries
 def q_monthly_rollup(spark, sf_dir):
-    return _round(monthly(spark, sf_dir, checkpoint=False), ["avg_price"])
+    return _round(monthly(spark, sf_dir), ["avg_price"])
 
 
 FEATURE_FLOATS = ["avg_price", "rolling_3m_mean", "rolling_6m_mean", "rolling_3m_std",
@@ -48,12 +54,26 @@ def q_series_features(spark, sf_dir):
     return _round(features(spark, sf_dir), FEATURE_FLOATS)
 
 
+def sales_with_gaps(spark, sf_dir) -> DataFrame:
+    """sales with NULL quantities and prices finer than a cent (in tenths of a cent, so that sums are exact)."""
+    s = views.sales(spark, sf_dir)
+    q = F.col("sales_qty")
+    return s.withColumns({"sales_qty": F.when(q % 10 != 3, q * 2 - F.when(q > 24, 1).otherwise(0)),
+                          "price": F.round(F.col("price") * 100).cast("bigint") * 10 + q % 7})
+
+
+def q_imputed_rollup_with_gaps(spark, sf_dir):
+    """F7 + A1 where quantities are missing and the median need not be whole."""
+    rows = panel.imputed_monthly_rollup(sales_with_gaps(spark, sf_dir), materialize_with=materialize)
+    return _round(rows.withColumn("avg_price", F.col("avg_price") / 1000.0), ["sales_qty", "avg_price"])
+
+
 def q_null_cell_count(spark, sf_dir):
     return panel.null_cell_count(views.sales(spark, sf_dir))
 
 
 def q_monthly_total_trend(spark, sf_dir):
-    return _round(panel.total_by_date(monthly(spark, sf_dir, checkpoint=False)), ["rolling_3m"])
+    return _round(panel.total_by_date(monthly(spark, sf_dir)), ["rolling_3m"])
 
 
 def q_product_totals_top3(spark, sf_dir):
@@ -77,7 +97,7 @@ def q_top_product_history(spark, sf_dir):
 
 
 def q_dataset_kpis(spark, sf_dir):
-    return panel.dataset_kpis(monthly(spark, sf_dir, checkpoint=False))
+    return panel.dataset_kpis(monthly(spark, sf_dir))
 
 
 def q_sales_qty_median(spark, sf_dir):
@@ -135,6 +155,7 @@ def q_forecast_display_sample(spark, sf_dir):
 
 QUERIES = {
     "monthly_rollup": q_monthly_rollup,
+    "imputed_rollup_with_gaps": q_imputed_rollup_with_gaps,
     "series_features": q_series_features,
     "null_cell_count": q_null_cell_count,
     "monthly_total_trend": q_monthly_total_trend,
@@ -157,9 +178,9 @@ MONTHLY_SQL = """
 SELECT CAST(date_trunc('month', date) AS DATE) AS date, store, product,
        CAST(coalesce(sum(sales_qty), 0) AS BIGINT) AS sales_qty,
        max(promotion) AS promotion,
-       sum(CAST(round(price*100) AS BIGINT)) / (100.0E0*count(price)) AS avg_price
+       avg(CAST(round(price*100) AS BIGINT)) / 100.0E0 AS avg_price
 FROM (SELECT date, store, product,
-             coalesce(sales_qty, CAST(trunc((SELECT median(sales_qty) FROM sales)) AS INTEGER)) AS sales_qty,
+             coalesce(sales_qty, (SELECT median(sales_qty) FROM sales)) AS sales_qty,
              coalesce(promotion, 0) AS promotion, price FROM sales) s
 WHERE date IS NOT NULL AND store IS NOT NULL AND product IS NOT NULL
 GROUP BY 1, 2, 3
@@ -221,6 +242,12 @@ SELECT date, store, product, CAST(sales_qty AS DOUBLE) AS actual, model,
 """)
 
 ORACLES = {
+    "imputed_rollup_with_gaps": with_views(f"""
+SELECT CAST(date_trunc('month', date) AS DATE) AS date, store, product, round(sum(coalesce(q, m)), {R}) + 0.0E0 AS sales_qty,
+       max(promotion) AS promotion, round(avg(p) / 1000.0E0, {R}) + 0.0E0 AS avg_price
+FROM gaps, (SELECT median(q) AS m FROM gaps) GROUP BY 1, 2, 3""", "sales", extra={"gaps": """
+SELECT date, store, product, promotion, CASE WHEN sales_qty % 10 <> 3 THEN sales_qty * 2 - CASE WHEN sales_qty > 24 THEN 1 ELSE 0 END END AS q,
+       CAST(round(price*100) AS BIGINT) * 10 + sales_qty % 7 AS p FROM sales"""}),
     "monthly_rollup": with_views(
         f"SELECT date, store, product, sales_qty, promotion, {_r(['avg_price'])} FROM monthly",
         "sales", extra=_PANEL),

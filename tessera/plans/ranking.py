@@ -1,7 +1,7 @@
 """Entity rank regression on Spark ML.
 
 profile -> md5 80/20 split -> one standard scaler (population std) ->
-MLP over rank bins, random forest, gradient boosting -> MAE / MSE / R^2 ->
+MLP over rank bins (probability-weighted), random forest, gradient boosting -> MAE / MSE / R^2 ->
 every entity scored by all three models (the rank simulator in batch form).
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import QuantileDiscretizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ from tessera.operators import entities as E
 from tessera.operators import metrics
 from tessera.operators import text as X
 from tessera.plans.forecast import TREE_SCHEDULING
-from tessera.session import sized_for_fitting
+from tessera.session import for_fitting
 
 SEED = 42
-MLP_HIDDEN, MLP_MAX_ITER, RANK_BINS = (50, 25), 700, 8
+# RANK_BINS: classes of the perceptron; its output is continuous, the mean rank over
+# all bins by probability.  BIN_ERROR: error of the approximate quantiles.
+MLP_HIDDEN, MLP_MAX_ITER, RANK_BINS, BIN_ERROR = (50, 25), 700, 24, 0.001
 RF_TREES, RF_DEPTH = 100, 10
 GBT_ITERS, GBT_DEPTH, GBT_RATE = 100, 5, 0.1
 MODEL_ORDER = ("MLP", "Random Forest", "Gradient Boosting")
@@ -36,22 +39,23 @@ def prepare(profile: DataFrame, features=E.FEATURES) -> DataFrame:
 
 def _mlp_rank_model(train: DataFrame):
     """No MLP regressor in Spark ML: classify into quantile rank bins and
-    predict the bin's mean rank."""
+    predict the mean of the bins' mean ranks, weighted by probability."""
     disc = QuantileDiscretizer(numBuckets=RANK_BINS, inputCol="label", outputCol="bin",
-                               relativeError=0.0).fit(train)
+                               relativeError=BIN_ERROR).fit(train)
     binned = disc.transform(train)
     n_bins = int(binned.select(F.max("bin")).first()[0]) + 1
     layers = [len(E.FEATURES), *MLP_HIDDEN, max(n_bins, 2)]
     mlp = MultilayerPerceptronClassifier(layers=layers, maxIter=MLP_MAX_ITER, seed=SEED,
                                          labelCol="bin", featuresCol="features").fit(binned)
-    centres = binned.groupBy("bin").agg(F.avg("label").alias("bin_rank"))  # <= RANK_BINS rows
-    return mlp, centres
+    rows = binned.groupBy("bin").agg(F.avg("label").alias("rank")).collect()  # <= RANK_BINS rows
+    ranks = {int(r["bin"]): r["rank"] for r in rows}
+    return mlp, [float(ranks.get(i, 0.0)) for i in range(max(n_bins, 2))]
 
 
 def _mlp_predict(model, centres, df: DataFrame, out: str) -> DataFrame:
-    p = model.transform(df).drop("rawPrediction", "probability")
-    return (p.join(F.broadcast(centres), p.prediction == centres.bin, "left")
-             .drop("bin").withColumnRenamed("bin_rank", out).drop("prediction"))
+    p = model.transform(df)
+    means = F.zip_with(vector_to_array("probability"), F.lit(centres), lambda p, c: p * c)
+    return p.withColumn(out, F.aggregate(means, F.lit(0.0), lambda s, x: s + x)).drop("rawPrediction", "probability", "prediction")
 
 
 def fit_models(data: DataFrame):
@@ -71,7 +75,7 @@ def score_all(models, df: DataFrame) -> DataFrame:
 
 def evaluate(profile: DataFrame) -> DataFrame:
     """M15 + M18: MAE, MSE, R^2 per model on the held-out part, best by R^2."""
-    data = sized_for_fitting(prepare(profile))
+    data = for_fitting(prepare(profile), "entity")
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     scored = score_all(fit_models(train), test)
     long = scored.selectExpr("label AS actual",
@@ -86,7 +90,7 @@ def evaluate(profile: DataFrame) -> DataFrame:
 def simulate(profile: DataFrame) -> DataFrame:
     """M20 + F21: models fitted on all entities score every entity's
     features; predictions truncated to int, with their agreement."""
-    data = sized_for_fitting(prepare(profile))
+    data = for_fitting(prepare(profile), "entity")
     scored = score_all(fit_models(data), data)
     ints = {c: truncate_int(F.col(c)) for c in ("pred_mlp", "pred_rf", "pred_gb")}
     s = scored.withColumns(ints)
@@ -96,7 +100,7 @@ def simulate(profile: DataFrame) -> DataFrame:
 
 def feature_importance(profile: DataFrame, spark) -> DataFrame:
     """M19 for the rank forest fitted on all entities."""
-    data = sized_for_fitting(prepare(profile))
+    data = for_fitting(prepare(profile), "entity")
     rf = RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, featureSubsetStrategy="all",
                                seed=SEED, **TREE_SCHEDULING).fit(data)
     rows = [(f, float(v)) for f, v in zip(E.FEATURES, rf.featureImportances.toArray())]

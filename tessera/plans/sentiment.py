@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import metrics
 from tessera.operators import text as X
-from tessera.session import sized_for_fitting, spread, tracked, tree_aggregation_mb
+from tessera.session import TREE_AGGREGATION_MB, for_fitting, tracked
 from tessera.sources.contracts import min_rows
 
 MAX_TERMS, MIN_DF = 2500, 2
@@ -42,10 +42,8 @@ def tfidf_vectors(split: DataFrame):
     the 2,500 most frequent terms, ties by term); its <= 2,500 rows are the
     model's vocabulary, so no CountVectorizer / IDF fitting passes run.
     """
-    n = split.count()
-    base = spread(split.select("doc_id", "review_text", "label", "is_test"), n, "doc_id")
-    # tokens + n-grams computed once, on every partition, for the passes below
-    terms = tracked(base.select("doc_id", "label", "is_test",
+    # tokens + n-grams computed once for the passes below
+    terms = tracked(split.repartition(F.col("doc_id")).select("doc_id", "label", "is_test",
                                 T.uni_bi_grams(T.tokens("review_text")).alias("terms")).persist())
     train = terms.where(~F.col("is_test"))
     tf = (train.select("doc_id", F.explode("terms").alias("term"))
@@ -62,18 +60,17 @@ def tfidf_vectors(split: DataFrame):
     return vec, words
 
 
-def classifiers(n_train: int, tree_mb: int = 256):
+def classifiers(n_train: int):
     """sklearn's C-penalised multinomial LR == Spark's regParam = 1/(C n)."""
     return {
         "Logistic Regression": LogisticRegression(maxIter=LR_MAX_ITER, regParam=1.0 / (LR_C * n_train),
                                                   elasticNetParam=0.0, standardization=False,
                                                   family="multinomial"),
         "Naive Bayes": NaiveBayes(smoothing=NB_ALPHA, modelType="multinomial"),
-        # cacheNodeIds / maxMemoryInMB / checkpointInterval only change how
-        # deep trees are scheduled (fewer passes), not the model's settings
+        # maxMemoryInMB decides which nodes draw their features together: fixed
         "Random Forest": RandomForestClassifier(numTrees=RF_TREES, maxDepth=RF_MAX_DEPTH,
                                                 featureSubsetStrategy="sqrt", seed=SEED,
-                                                cacheNodeIds=True, maxMemoryInMB=tree_mb,
+                                                cacheNodeIds=True, maxMemoryInMB=TREE_AGGREGATION_MB,
                                                 checkpointInterval=10),
     }
 
@@ -85,12 +82,11 @@ def fit_and_score(reviews: DataFrame):
     require_classes(labelled)
     split = X.hash_split(labelled, "doc_id")
     vec, _ = tfidf_vectors(split)
-    data = sized_for_fitting(vec.select("doc_id", "features", F.col("label").cast("double").alias("label"),
-                                        "is_test"))
+    data = for_fitting(vec.select("doc_id", "features", F.col("label").cast("double").alias("label"), "is_test"), "doc_id")
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     n_train = train.count()
     out = None
-    for name, est in classifiers(n_train, tree_aggregation_mb(reviews.sparkSession)).items():
+    for name, est in classifiers(n_train).items():
         model = est.fit(train)
         p = model.transform(test).select(F.lit(name).alias("model"), "doc_id",
                                          F.col("label").cast("int").alias("label"),

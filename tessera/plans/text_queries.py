@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import metrics
 from tessera.operators import text as X
-from tessera.session import materialize, spread
+from tessera.session import fitting_scope, materialize, tracked
 from tessera.sources import views
 from tessera.sources.views_sql import with_views
 
@@ -24,9 +24,9 @@ def _round(df: DataFrame, cols) -> DataFrame:
 
 def scored_reviews(spark, sf_dir) -> DataFrame:
     """reviews view + tokens + derived sentiment (the frame every text query
-    starts from).  ``spread`` only acts when the documents arrive in fewer
-    splits than cores, so the regex work uses every core."""
-    return X.with_sentiment(X.with_tokens(spread(views.reviews(spark, sf_dir), key="doc_id")))
+    starts from); lazy, so queries that need only the rating never read the
+    text."""
+    return X.with_sentiment(X.with_tokens(views.reviews(spark, sf_dir)))
 
 
 def labelled_split(spark, sf_dir) -> DataFrame:
@@ -34,35 +34,35 @@ def labelled_split(spark, sf_dir) -> DataFrame:
     return X.hash_split(r, "doc_id", TEST_FRACTION)
 
 
-def tfidf_parts(spark, sf_dir):
-    """(split frame, train-fitted vocabulary, weights for every doc).
+def tfidf_vocabulary(spark, sf_dir):
+    """((doc, term, tf) rows with label and is_test, vocabulary fitted on the train part).
 
-    The (doc, term, tf) table feeds the vocabulary fit and the weights, and
-    the weights feed the naive-Bayes fit and prediction, so both are
-    checkpointed once instead of re-tokenising the corpus per consumer.
+    The term rows are lazy: the vocabulary reads the texts once and is stored
+    (<= MAX_TERMS rows), the weights read them once more; nothing of the
+    corpus' size is written.
     """
     s = labelled_split(spark, sf_dir)
-    tf = materialize(X.term_frequencies(s.select("doc_id", "review_text"), text="review_text"))
-    train_ids = s.where(~F.col("is_test")).select("doc_id")
-    train_tf = tf.join(train_ids, "doc_id", "left_semi")
-    n_train = train_ids.select(F.count(F.lit(1))).scalar()
-    vocab = X.fit_vocabulary(train_tf, n_train, MAX_TERMS, MIN_DF)
-    return s, vocab, materialize(X.tfidf(tf, vocab))
+    tf = X.term_frequencies(s, text="review_text", keep=("label", "is_test"))
+    n_train = s.where(~F.col("is_test")).select(F.count(F.lit(1))).scalar()  # reads the ids only
+    return tf, materialize(X.fit_vocabulary(tf.where(~F.col("is_test")), n_train, MAX_TERMS, MIN_DF))
 
 
 def nb_predictions(spark, sf_dir) -> DataFrame:
-    s, vocab, w = tfidf_parts(spark, sf_dir)
-    train = s.where(~F.col("is_test")).select("doc_id", "label")
-    test = s.where(F.col("is_test")).select("doc_id", "label")
-    train_w = w.join(train.select("doc_id"), "doc_id", "left_semi")
-    test_w = w.join(test.select("doc_id"), "doc_id", "left_semi")
-    flp, priors = X.fit_naive_bayes(train_w, train, alpha=NB_ALPHA)
-    return X.predict_naive_bayes(test_w, test, flp, priors).select("doc_id", "label", "prediction")
+    """The weights feed the fit (train rows) and the prediction (test rows), so
+    they are cached, with spill, while the predictions are stored."""
+    with fitting_scope():
+        tf, vocab = tfidf_vocabulary(spark, sf_dir)
+        w = tracked(X.tfidf(tf, vocab).persist())
+        docs = labelled_split(spark, sf_dir).select("doc_id", "label", "is_test")
+        train, test = docs.where(~F.col("is_test")), docs.where(F.col("is_test"))
+        flp, priors = X.fit_naive_bayes(w.where(~F.col("is_test")), train.select("label"), alpha=NB_ALPHA)
+        out = X.predict_naive_bayes(w.where(F.col("is_test")), test.select("doc_id", "label"), flp, priors)
+        return materialize(out.select("doc_id", "label", "prediction"))
 
 
 # ------------------------------------------------------------------ queries
 def q_review_clean_text(spark, sf_dir):
-    r = spread(views.reviews(spark, sf_dir), key="doc_id")
+    r = views.reviews(spark, sf_dir)
     return r.select("doc_id", T.clean_text("review_text").alias("clean_text"))
 
 
@@ -91,7 +91,7 @@ def q_sentiment_kpis(spark, sf_dir):
 
 
 def q_token_counts(spark, sf_dir):
-    return X.token_counts(X.with_tokens(spread(views.reviews(spark, sf_dir), key="doc_id")))
+    return X.token_counts(X.with_tokens(views.reviews(spark, sf_dir)))
 
 
 def q_top_keywords_by_sentiment(spark, sf_dir):
@@ -115,13 +115,12 @@ def q_review_split(spark, sf_dir):
 
 
 def q_tfidf_weights(spark, sf_dir):
-    _, _, w = tfidf_parts(spark, sf_dir)
-    return _round(w, ["weight"])
+    tf, vocab = tfidf_vocabulary(spark, sf_dir)
+    return _round(X.tfidf(tf, vocab).select("doc_id", "term", "weight"), ["weight"])
 
 
 def q_tfidf_vocabulary(spark, sf_dir):
-    _, vocab, _ = tfidf_parts(spark, sf_dir)
-    return _round(vocab, ["idf"])
+    return _round(tfidf_vocabulary(spark, sf_dir)[1], ["idf"])
 
 
 def q_nb_predictions(spark, sf_dir):
@@ -184,7 +183,7 @@ FROM (SELECT *, CAST(len(list_intersect(list_distinct(tokens), {POS_SQL})) AS IN
              CAST(len(list_intersect(list_distinct(tokens), {NEG_SQL})) AS INTEGER) AS n FROM scored)
 """
 
-THRESH = X.hash_threshold(TEST_FRACTION)
+THRESH = "33333333"  # a fifth of the 32-bit range, in hex
 SPLIT_SQL = f"""
 SELECT *, CASE sentiment WHEN 'Negative' THEN 0 WHEN 'Neutral' THEN 1 WHEN 'Positive' THEN 2 END AS label,
        substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) < '{THRESH}' AS is_test FROM scored

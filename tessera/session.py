@@ -7,7 +7,6 @@ the data, a shared ``spark.checkpoint.dir``) always wins.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,8 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set one only if unset.
 
     On a cluster the setting names a shared folder (HDFS/S3/ABFS) that
-    survives executor loss.  A local scratch folder is created only when
-    nothing is configured, which happens in tests.
+    survives executor loss.  A local scratch folder is created only on a
+    local master with nothing configured, which happens in tests; a cluster
+    without the setting is an error, since executors do not share a folder of
+    the driver's machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,23 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def default_parallelism_hint(spark: SparkSession) -> int:
-    """Shuffle partition count the session runs with (for repartition calls)."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 def materialize(df):
     """Cut lineage of a small, reused intermediate (e.g. the monthly rollup).
 
@@ -90,29 +81,18 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def sized_for_fitting(df, rows_per_partition: int = 2_000):
-    """Persist a training frame with a partition count fitted to its size.
+#: Partitions of a training frame, whatever the cluster: tree learners seed their
+#: draws by partition, so this is part of the model.
+FIT_PARTITIONS = 16
+#: Memory (MB) in which tree learners group nodes of a level; it decides which nodes
+#: draw their features together, so it is part of the model, not of the machine.
+TREE_AGGREGATION_MB = 512
 
-    Spark ML optimisers run one job per iteration.  On tiny inputs the task
-    count, not the data, dominates each job, so they are coalesced (no
-    shuffle) to ``ceil(rows / rows_per_partition)`` partitions; a frame that
-    arrives in fewer splits than that is spread over up to
-    ``defaultParallelism`` partitions; large, well-split inputs are kept as
-    they are.
-    """
-    import math
-
-    n = df.count()
-    target = max(1, math.ceil(n / rows_per_partition))
-    current = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if target < current:
-        out = df.coalesce(target)
-    elif current < min(target, cores):
-        out = df.repartition(min(target, cores))
-    else:
-        out = df
-    out = out.persist()
+
+def for_fitting(df, *key: str, partitions: int = FIT_PARTITIONS):
+    """Persist a training frame dealt over a fixed number of partitions by its
+    key and sorted by it, so that a seed gives the same model on any cluster."""
+    out = df.repartition(partitions, *key).sortWithinPartitions(*key).persist()
     if _SCOPES:
         _SCOPES[-1].append(out)
     return out
@@ -128,23 +108,8 @@ def tracked(df):
     return df
 
 
-def spread(df, rows: int | None = None, key: str | None = None, rows_per_partition: int = 2_000):
-    """Give a CPU-heavy stage enough partitions when its input arrives in
-    fewer splits than cores (e.g. one large parquet row group).  A no-op for
-    inputs already split at least ``defaultParallelism`` ways, which is the
-    normal case on a cluster."""
-    import math
-
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    current = df.rdd.getNumPartitions()
-    want = cores if rows is None else min(cores, max(1, math.ceil(rows / rows_per_partition)))
-    if current >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
-
-
 class fitting_scope:
-    """Unpersist every frame cached by ``sized_for_fitting`` inside the block.
+    """Unpersist every frame cached by ``for_fitting`` inside the block.
 
     Use with ``materialize`` on the (small) result so nothing downstream
     still needs the cached training data::
@@ -161,21 +126,3 @@ class fitting_scope:
         for df in _SCOPES.pop():
             df.unpersist()
         return False
-
-
-def tree_aggregation_mb(spark, cap: int = 1024, floor: int = 256) -> int:
-    """``maxMemoryInMB`` for tree learners: a quarter of an executor's heap
-    (the local JVM in local mode), between Spark's default and ``cap``."""
-    import re
-
-    conf = spark.sparkContext.getConf()
-    master = conf.get("spark.master", "local")
-    heap_mb = None
-    if not master.startswith("local"):
-        m = re.fullmatch(r"(\d+)([kmgt]?)b?", (conf.get("spark.executor.memory", "1g") or "1g").lower())
-        if m:
-            scale = {"k": 1 / 1024, "": 1 / 2 ** 20, "m": 1, "g": 1024, "t": 1024 ** 2}[m.group(2)]
-            heap_mb = int(int(m.group(1)) * scale)
-    if heap_mb is None:
-        heap_mb = int(spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() / 2 ** 20)
-    return int(max(floor, min(cap, heap_mb // 4)))

@@ -27,9 +27,9 @@ from tessera.sources.tables import read_table
 REVIEW_PHRASES = (
     " Great quality, highly recommend.",
     " Terrible. Broke, waste of money!",
-    " Not bad but not great either.",
+    " Partly bad and partly great.",
     " Excellent and reliable, but slow.",
-    " It is okay.",
+    " Nothing to add.",
     "",
 )
 

@@ -16,8 +16,8 @@ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 REVIEWS = """
 SELECT doc_id,
        text || CASE doc_id % 6 WHEN 0 THEN ' Great quality, highly recommend.' WHEN 1 THEN ' Terrible. Broke, waste of money!'
-                               WHEN 2 THEN ' Not bad but not great either.' WHEN 3 THEN ' Excellent and reliable, but slow.'
-                               WHEN 4 THEN ' It is okay.' ELSE '' END AS review_text,
+                               WHEN 2 THEN ' Partly bad and partly great.' WHEN 3 THEN ' Excellent and reliable, but slow.'
+                               WHEN 4 THEN ' Nothing to add.' ELSE '' END AS review_text,
        CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 5 + 1 AS INT) END AS rating,
        source AS category, CAST(n_chars % 10 AS INT) AS helpful_votes
 FROM documents

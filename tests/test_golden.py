@@ -202,3 +202,38 @@ def test_single_pass_imputation_equals_two_pass(spark, quantities):
     a = sorted(tuple(r) for r in one.select(*key, "sales_qty", "promotion", "avg_price").collect())
     b = sorted(tuple(r) for r in two.select(*key, "sales_qty", "promotion", "avg_price").collect())
     assert a == b
+
+
+def test_missing_quantities_take_the_whole_median_and_prices_their_plain_mean(spark):
+    rows = [(dt.date(2020, 1, 1 + i), "s", "p", q, 0, price) for i, (q, price) in enumerate(
+        [(10, 1.234), (11, 1.236), (None, 0.001)])]
+    df = spark.createDataFrame(rows, "date date, store string, product string, sales_qty int, promotion int, price double")
+    for out in (panel.imputed_monthly_rollup(df), panel.monthly_rollup(panel.impute_sales(df))):
+        row = out.first()
+        assert row.sales_qty == 31.5 and abs(row.avg_price - (1.234 + 1.236 + 0.001) / 3) < 1e-12
+
+
+def test_exact_stratified_split_takes_the_share_of_each_class(spark):
+    from tessera.operators import text as X
+
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 7 = 0 THEN NULL ELSE 'b' END AS label")
+    got = {r.label: (r.n, r.t) for r in X.exact_stratified_split(df, "id", "label").groupBy("label").agg(
+        F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert all(t == -(-n // 5) for n, t in got.values()) and sum(n for n, _ in got.values()) == 5000
+
+
+def test_a_forest_does_not_depend_on_how_rows_arrive(spark):
+    """The same rows in another order and other partitions give the same forest."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from tessera.plans.forecast import TREE_SCHEDULING
+    from tessera.session import for_fitting
+
+    df = spark.range(400).selectExpr("id", "sin(id) AS a", "cos(id * 3) AS b", "id % 11 AS c", "sin(id) * 3 + id % 11 AS label")
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    trees = []
+    for frame in (df.coalesce(1), df.repartition(7, "c")):
+        forest = RandomForestRegressor(numTrees=5, maxDepth=6, seed=1, **TREE_SCHEDULING).fit(for_fitting(frame, "id"))
+        trees.append(forest.toDebugString.split("\n", 1)[1])
+    assert trees[0] == trees[1]
