@@ -73,9 +73,8 @@ def score_all(models, df: DataFrame) -> DataFrame:
     return gb.transform(d).withColumnRenamed("prediction", "pred_gb")
 
 
-def evaluate(profile: DataFrame) -> DataFrame:
+def evaluate(data: DataFrame) -> DataFrame:
     """M15 + M18: MAE, MSE, R^2 per model on the held-out part, best by R^2."""
-    data = for_fitting(prepare(profile), "entity")
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     scored = score_all(fit_models(train), test)
     long = scored.selectExpr("label AS actual",
@@ -87,21 +86,36 @@ def evaluate(profile: DataFrame) -> DataFrame:
                              order_col="model_order").drop("model_order")
 
 
-def simulate(profile: DataFrame) -> DataFrame:
+def simulate(models, data: DataFrame) -> DataFrame:
     """M20 + F21: models fitted on all entities score every entity's
     features; predictions truncated to int, with their agreement."""
-    data = for_fitting(prepare(profile), "entity")
-    scored = score_all(fit_models(data), data)
+    scored = score_all(models, data)
     ints = {c: truncate_int(F.col(c)) for c in ("pred_mlp", "pred_rf", "pred_gb")}
     s = scored.withColumns(ints)
     return s.select("entity", F.col("hec_rank"), "pred_mlp", "pred_rf", "pred_gb",
                     *[v.alias(k) for k, v in agreement("pred_mlp", "pred_rf", "pred_gb").items()])
 
 
-def feature_importance(profile: DataFrame, spark) -> DataFrame:
-    """M19 for the rank forest fitted on all entities."""
+def closest(models, best: str, profile: DataFrame, point: dict[str, float], k: int = 5) -> DataFrame:
+    """R5 + P10 on a predicted rank: the entities closest to the rank that the
+    best model gives a point of scores."""
+    st = E._stats_scalar(E.scaling_stats(profile))
+    one = profile.sparkSession.range(1).select(*[E._z(F.lit(float(point[f])), st, f).alias(f"{f}_z") for f in E.FEATURES])
+    one = VectorAssembler(inputCols=[f"{f}_z" for f in E.FEATURES], outputCol="features").transform(one)
+    column = dict(zip(MODEL_ORDER, ("pred_mlp", "pred_rf", "pred_gb"), strict=True))[best]
+    rank = truncate_int(F.col(column))
+    predicted = score_all(models, one).select(rank.alias("r")).scalar()
+    return E.closest_by_rank(profile.withColumn("predicted_rank", predicted), F.col("predicted_rank"), k).select(
+        "entity", F.lit(best).alias("model"), "predicted_rank", "hec_rank", "rank_diff", "verdict")
+
+
+def run_all(profile: DataFrame, point: dict[str, float], spark) -> dict[str, DataFrame]:
+    """Comparison on the held-out part; simulation, importances and closest
+    entities from one further fit on all entities."""
     data = for_fitting(prepare(profile), "entity")
-    rf = RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, featureSubsetStrategy="all",
-                               seed=SEED, **TREE_SCHEDULING).fit(data)
-    rows = [(f, float(v)) for f, v in zip(E.FEATURES, rf.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    compared = evaluate(data).persist()
+    best = compared.where("best_r2").first()["model"]
+    models = fit_models(data)
+    rows = [(f, float(v)) for f, v in zip(E.FEATURES, models[1].featureImportances.toArray(), strict=True)]
+    return {"comparison": compared, "simulation": simulate(models, data),
+            "importance": spark.createDataFrame(rows, "feature string, importance double"), "closest": closest(models, best, profile, point)}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.metrics import evenly_spaced_sample
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """IO6: CSV with a header row, no index column."""
@@ -16,8 +18,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def summary_frame(monthly: DataFrame, comparison: DataFrame, best_model,
-                  date: str = "date", value: str = "sales_qty") -> DataFrame:
-    """IO7: one-row summary: dataset KPIs, per-model metrics, best model.
+                  date: str = "date", value: str = "sales_qty", predictions: DataFrame | None = None) -> DataFrame:
+    """IO7: one-row summary: dataset KPIs, per-model metrics, best model, and
+    the total per month; with ``predictions`` (date, store, product, actual,
+    predicted) also 30 evenly spaced ones.
 
     ``comparison`` has one row per model; it is folded into an array of
     structs with ``collect_list`` (a handful of rows), the KPIs are one
@@ -31,9 +35,15 @@ def summary_frame(monthly: DataFrame, comparison: DataFrame, best_model,
                        F.sum(value).alias("total_units"))
     models = comparison.select(F.sort_array(F.collect_list(F.struct(*comparison.columns))).alias("models"))
     best = best_model if not isinstance(best_model, str) else F.lit(best_model)
+    by_month = monthly.groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(F.sum(value).alias("units"))
+    parts = {"monthly_sales": by_month.select(F.sort_array(F.collect_list(F.struct("month", "units"))))}  # one row a month
+    if predictions is not None:
+        shown = evenly_spaced_sample(predictions, ["date", "store", "product"], 30)
+        parts["pred_vs_actual"] = shown.select(F.sort_array(F.collect_list(F.struct("date", "store", "product", "actual", "predicted"))))
     return kpis.select(F.struct(*kpis.columns).alias("dataset"),
                        models.scalar().alias("models"),
-                       best.alias("best_model"))
+                       best.alias("best_model"),
+                       *[p.scalar().alias(name) for name, p in parts.items()])
 
 
 def write_json_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -43,14 +43,12 @@ def score_reviews(stream: DataFrame, text: str = "text") -> DataFrame:
     return out
 
 
-def start(scored: DataFrame, name: str, sink: str = "memory", path: str | None = None,
-          available_now: bool = True):
-    """Start a query with its checkpoint under the session checkpoint dir."""
+def start(scored: DataFrame, name: str, path: str, sink: str = "parquet", available_now: bool = True):
+    """Start a query that writes files under ``path``, with its checkpoint under
+    the session checkpoint dir."""
     spark = scored.sparkSession
     base = ensure_checkpoint_dir(spark)
     w = (scored.writeStream.queryName(name).outputMode("append")
                .option("checkpointLocation", f"{base.rstrip('/')}/stream-{name}"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    if sink == "memory":
-        return w.format("memory").start()
     return w.format(sink).option("path", path).start()

@@ -66,15 +66,15 @@ def test_json_summary(spark):
     assert data["dataset"]["rows"] == m.count()
 
 
-def test_stream_scoring_equals_batch(spark):
+def test_stream_scoring_equals_batch(spark, tmp_path):
     from tessera.functions import text as T
     from tessera.sources.tables import read_table
     docs = read_table(spark, SF_SMALL, "documents")
     scored = stream_reviews.score_reviews(stream_reviews.document_stream(spark, SF_SMALL))
     q = stream_reviews.start(scored.select("doc_id", "text_sentiment", "pos_hits", "neg_hits"),
-                             f"reviews_{os.getpid()}")
+                             f"reviews_{os.getpid()}", str(tmp_path / "scored"))
     q.awaitTermination(120)
-    got = spark.sql(f"SELECT * FROM reviews_{os.getpid()}")
+    got = spark.read.parquet(str(tmp_path / "scored"))
     ts = T.text_sentiment(T.tokens(F.col("text")))
     want = docs.select("doc_id", ts["text_sentiment"].alias("text_sentiment"),
                        ts["pos_hits"].alias("pos_hits"), ts["neg_hits"].alias("neg_hits"))

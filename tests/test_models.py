@@ -70,3 +70,54 @@ def test_forecast_refuses_tiny_selection(spark):
     feats = panel_queries.features(spark, SF_SMALL)
     with pytest.raises(ValueError):
         forecast.fit_and_score(feats, selections={"store": "no such store"})
+
+
+def test_forecast_flow_feeds_every_report(spark, monkeypatch):
+    """The real flow (fewer trees and rounds): one fit, and the reports agree with its predictions."""
+    import json
+
+    from tessera.plans import forecast, ml_queries
+    fit = forecast.fit_and_score
+    calls = []
+    monkeypatch.setattr(forecast, "fit_and_score", lambda f: calls.append(1) or fit(f, trees=5, gbt_iters=3))
+    monkeypatch.setattr(ml_queries, "_FLOWS", {})
+    compared = {r.model: r for r in ml_queries.q_forecast_model_comparison(spark, SF_SMALL).collect()}
+    best = next(m for m, r in compared.items() if r.best_mape)
+    preds = [r for r in ml_queries._forecast(spark, SF_SMALL)["preds"].collect() if r.model == best]
+    assert abs(sum(abs(r.actual - r.predicted) for r in preds) / len(preds) - compared[best].mae) < 0.01
+    months = {r.date: r for r in ml_queries.q_forecast_actual_vs_predicted(spark, SF_SMALL).collect()}
+    assert all(abs(sum(r.predicted for r in preds if r.date == d) - m.predicted) < 1e-3 for d, m in months.items())
+    top = ml_queries.q_forecast_top_product(spark, SF_SMALL).collect()
+    assert all(r.predicted is None or abs(r.upper - 1.08 * r.predicted) < 1e-3 for r in top)
+    assert {r.date for r in top if r.predicted is not None} <= set(months)
+    summary = json.loads(ml_queries.q_forecast_summary(spark, SF_SMALL).first().summary)
+    assert summary["best_model"] == best and len(summary["pred_vs_actual"]) == min(30, len(preds)) and summary["monthly_sales"]
+    exported = ml_queries.q_forecast_export(spark, SF_SMALL).collect()
+    assert sorted((r.date, r.store, r.product) for r in exported) == sorted((r.date, r.store, r.product) for r in preds)
+    assert len(ml_queries.q_forecast_feature_importance(spark, SF_SMALL).collect()) == 12 and len(calls) == 1
+
+
+def test_rank_flow(spark, monkeypatch):
+    from tessera.plans import entity_queries, ml_queries, ranking
+    for name, value in (("RF_TREES", 5), ("GBT_ITERS", 3), ("MLP_MAX_ITER", 30)):
+        monkeypatch.setattr(ranking, name, value)
+    monkeypatch.setattr(ml_queries, "_FLOWS", {})
+    assert {r.model for r in ml_queries.q_rank_model_comparison(spark, SF_SMALL).collect()} == set(ranking.MODEL_ORDER)
+    simulated = ml_queries.q_rank_simulation(spark, SF_SMALL).collect()
+    assert len(simulated) == entity_queries.profile(spark, SF_SMALL).count()
+    close = ml_queries.q_rank_closest_entities(spark, SF_SMALL).collect()
+    assert len(close) == 5 and all(abs(abs(r.hec_rank - r.predicted_rank) - r.rank_diff) < 1e-6 for r in close)
+
+
+def test_perceptron_ranks_are_continuous_and_beat_the_mean(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from tessera.operators import entities as E
+    from tessera.plans import ranking
+    df = spark.range(600).selectExpr("id", *[f"(id % {601 - 7 * i}) / 300.0 - 1 AS {f}" for i, f in enumerate(E.FEATURES)], "CAST(id AS DOUBLE) AS label")
+    data = VectorAssembler(inputCols=list(E.FEATURES), outputCol="features").transform(df).repartition(4, "id").cache()
+    model, centres = ranking._mlp_rank_model(data)
+    out = ranking._mlp_predict(model, centres, data, "p").select("label", "p").collect()
+    mean = sum(r.label for r in out) / len(out)
+    assert sum((r.label - r.p) ** 2 for r in out) < 0.5 * sum((r.label - mean) ** 2 for r in out)
+    assert len({round(r.p, 3) for r in out}) > 100
