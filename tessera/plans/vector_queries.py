@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import vectors as VO
+from tessera.session import materialize
 from tessera.sources import views
 from tessera.sources.views_sql import SHORT_VECTOR_SETS, VECTOR_SETS
 
 R = 6
+SENT_GROUPS = 10_000  # one vector each
 
 
 def _round_arr(c):
@@ -20,10 +22,12 @@ def _round_arr(c):
 def q_first_vector_projection(spark, sf_dir) -> DataFrame:
     """V1-V4, V7 row-wise: every vector against its group's first vector
     (the first Gram-Schmidt step applied to all rows).  The first vector per
-    group is an aggregate (``min_by``), one vector per group."""
+    group is an aggregate (``min_by``), one vector per group; it is stored and
+    sent to every task if there are few groups, so that no vector is shuffled
+    by its group (a handful of keys), and joined otherwise."""
     vs = views.vector_sets(spark, sf_dir)
-    first = vs.groupBy("grp").agg(F.min_by("vec", "ord").alias("first"))
-    j = vs.join(first, "grp")
+    first = materialize(vs.groupBy("grp").agg(F.min_by("vec", "ord").alias("first")))
+    j = vs.join(F.broadcast(first) if first.count() <= SENT_GROUPS else first, "grp")
     return j.select(
         "grp", "ord",
         (F.round(V.dot("vec", "first"), R) + F.lit(0.0)).alias("dot_first"),
