@@ -82,18 +82,22 @@ def confusion_long(pred: DataFrame, label: str = "label", predicted: str = "pred
 def evenly_spaced_sample(df: DataFrame, order: list[str], max_rows: int = 30) -> DataFrame:
     """Rows at positions floor(i*(n-1)/(m-1)), i < m = min(max_rows, n).
 
-    Positions come from ``row_number`` over the display order of a small,
-    already-filtered frame (the test part of an aggregate); the kept
-    positions are an arithmetic rule, evaluated per row, so no list of
-    positions is shipped anywhere.
+    A row's position is the number of rows with a smaller first order column
+    (from one count per distinct value, e.g. a date) plus its row number among
+    those that share it, so no task sorts all rows.  The kept positions are an
+    arithmetic rule, evaluated per row.
     """
     n = df.select(F.count(F.lit(1))).scalar()
     m = F.least(n, F.lit(max_rows))
-    w = Window.orderBy(*order)
+    lead, rest = order[0], order[1:] or [order[0]]
+    ahead = Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)  # one row per value
+    counts = df.groupBy(F.col(lead).alias("_lead")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_lead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    placed = df.join(counts, F.col(lead).eqNullSafe(F.col("_lead"))).withColumn(
+        "_pos", F.col("_before") + F.row_number().over(Window.partitionBy(lead).orderBy(*rest)) - 1)
     pos = F.col("_pos")
     # position p is kept iff some i in [0, m) has floor(i*(n-1)/(m-1)) == p;
     # with step s = (n-1)/(m-1) >= 1 that i is ceil(p/s) and must map back to p.
     i = F.ceil(pos * (m - 1) / F.greatest(n - 1, F.lit(1)))
     keep = F.when(m <= 1, pos == 0).otherwise(F.floor(i * (n - 1) / (m - 1)) == pos)
-    return (df.withColumn("_pos", F.row_number().over(w) - 1)
-              .where(keep).drop("_pos"))
+    return placed.where(keep).select(*df.columns)
