@@ -25,6 +25,8 @@ from tessera.llm.common import SPACE, own_name, stored
 from tessera.llm.components import connected_components
 
 _STEP_SHINGLES = 2048
+#: Candidate classes that are sent to every task to fetch their texts; more are joined by shuffling the texts.
+SENT_CLASSES = 1_000_000
 
 
 def _permutations(n_hashes: int) -> np.ndarray:
@@ -170,7 +172,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
     posts = stored(posts.join(shared.select("bucket", "hub"), "bucket"))
 
     candidates = posts.select("cid").distinct()
-    asked = members.join(candidates, "cid", "left_semi").select("cid", "doc_id", "th", F.col("fp1"), F.col("fp2"))
+    asked = stored(members.join(candidates, "cid", "left_semi").select("cid", "doc_id", "th"))
+    asked = F.broadcast(asked) if asked.count() <= SENT_CLASSES else asked
     whole = docs.select(F.col(id_col).cast("long").alias("i"), text_key(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     texts = stored(whole.join(asked, (F.col("t") == F.col("th")) & F.col("i").eqNullSafe(F.col("doc_id")))
                    .select("cid", "text").dropDuplicates(["cid"]))

@@ -191,3 +191,11 @@ def test_mixed_documents_are_pieces_of_the_texts(documents):
     texts = Counter(r["text"] for r in documents.collect())
     for r in out.select("text", "n_chars", *CLASHING[:2]).collect():
         assert len(r["text"]) == r["n_chars"] and any(t and r["text"] in t for t in texts)
+
+
+def test_many_candidates_are_joined_with_the_same_result(documents, monkeypatch):
+    from tessera.llm import minhash
+
+    sent = Counter(tuple(r) for r in minhash.near_duplicates(documents).collect())
+    monkeypatch.setattr(minhash, "SENT_CLASSES", 0)
+    assert Counter(tuple(r) for r in minhash.near_duplicates(documents).collect()) == sent
