@@ -9,12 +9,14 @@ Two bigram models, one of toxic and one of ordinary text, share their backoff:
 follows), ``P(w)`` the continuation share over both classes together, and
 ``a_c`` the discounted bigram share.  The discounts are in proportion to the
 class sizes and the backoff weights are common to both classes, so a rare word
-or pair gives both classes the same backoff and says nothing.  Words whose
-discounted shares do not differ decisively between the classes use the shared
-model in both, so the mix of topics and languages says nothing either; pairs
-refine the words that do differ.  A text's score is the logistic of its
-log-likelihood ratio per word.  Continuation counts do not grow with copies of
-a text, and equal texts are counted once.
+or pair gives both classes the same backoff and says nothing.  Every word and
+every pair with discounted evidence is in the model, whatever its words are
+alone.  A word's log-likelihood ratio counts as far as its shares are likely to
+differ by FACTOR between the classes, so the mix of topics and languages says
+little; a pair's ratio, as far as the pair is likely to, and for the rest its
+second word's score holds.  A text's score is the logistic of its ratio per
+word.  Continuation counts do not grow with copies of a text, a pair counts once
+per text, and equal texts are counted once.
 
 Counts come from all labelled documents of the training fold but a fifth; on
 that fifth, which the models have not seen, the two numbers of the logistic are
@@ -36,9 +38,9 @@ from tessera.llm import wordhash as W
 from tessera.llm.common import own_name, stored
 
 #: Discount of the smaller class; the larger one's is in proportion.
-DISCOUNT = 4.0
-#: A word tells the classes apart if its shares differ by this factor and by so many standard errors.
-DECISIVE_FACTOR, DECISIVE_ERRORS = 2.0, 4.0
+DISCOUNT = 1.0
+#: A word or pair scores as far as its shares are likely to differ by this factor; so many standard errors beyond it are even odds.
+FACTOR, EVEN_ERRORS = 2.0, 4.0
 #: Labelled rows that the two numbers of the logistic are fitted on, at most.
 FIT_ROWS = 50_000
 #: Model entries that are sent to every task; a larger model is joined instead.
@@ -61,15 +63,16 @@ def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) to (u, w, n): toxic and ordinary counts of a word pair, as the halves of n."""
+    """(toxic, text) to (u, w, n): in how many toxic and ordinary texts a word pair is, as the halves of n."""
     for batch in batches:
         toxic = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).astype(bool)
         for lo, hi, data, offsets in W.slices(batch.column(1)):
             w, first = W.word_hashes(data, offsets, W.LETTERS)
             if not len(w):
                 continue
-            u = _contexts(w, first)
-            one = np.where(np.repeat(toxic[lo:hi], np.diff(first)), np.int64(1), _HIGH)
+            u, doc = _contexts(w, first), np.repeat(np.arange(lo, hi), np.diff(first))
+            once = np.unique(W.mix(_pair_key(u, w) + doc.astype(np.uint64)), return_index=True)[1]  # a text that repeats itself counts once
+            u, w, one = u[once], w[once], np.where(toxic[doc[once]], np.int64(1), _HIGH)
             _, at, back = np.unique(_pair_key(u, w), return_index=True, return_inverse=True)
             low = np.bincount(back, weights=one == 1).astype(np.int64)
             high = np.bincount(back, weights=one != 1).astype(np.int64)
@@ -78,13 +81,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Sorted arrays of the entries with evidence; every other word or pair scores 0."""
+    """Sorted arrays of the entries with discounted evidence; a pair without takes its second word's score, a word without scores 0."""
 
-    def __init__(self, words: np.ndarray, shares: np.ndarray, weight: np.ndarray, pairs: np.ndarray, direct: np.ndarray):
+    def __init__(self, words: np.ndarray, word_scores: np.ndarray, pairs: np.ndarray, pair_scores: np.ndarray):
         order = np.argsort(words)
-        self.words, self.shares, self.weight = words[order], shares[order], weight[order]
+        self.words, self.of_words = words[order], word_scores[order]
         order = np.argsort(pairs)
-        self.pairs, self.direct = pairs[order], direct[order]
+        self.pairs, self.of_pairs = pairs[order], pair_scores[order]
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -95,22 +98,10 @@ class Model:
 
     def word_scores(self, w: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio of each word after the word before it."""
-        u = _contexts(w, first)
-        at = self._find(self.words, w)
-        before = np.empty_like(at)
-        before[1:] = at[:-1]
-        before[first[:-1][first[:-1] < len(w)]] = -1
         out = np.zeros(len(w))
-        known = at >= 0
-        out[known] = np.log(self.shares[at[known], 0] / self.shares[at[known], 1])
-        # pairs count only after a context that both classes have seen often
-        ask = np.flatnonzero(known & (before >= 0))
-        ask = ask[self.weight[before[ask]] < 1]
-        pair = self._find(self.pairs, _pair_key(u[ask], w[ask]))
-        ask, pair = ask[pair >= 0], pair[pair >= 0]
-        back = self.weight[before[ask], None] * self.shares[at[ask]]
-        both = self.direct[pair] + back
-        out[ask] = np.log(both[:, 0] / both[:, 1])
+        for table, scores, keys in ((self.words, self.of_words, w), (self.pairs, self.of_pairs, _pair_key(_contexts(w, first), w))):
+            at = self._find(table, keys)
+            out[at >= 0] = scores[at[at >= 0]]
         return out
 
 
@@ -182,9 +173,22 @@ def fit_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(rows.groupBy("kind", "u", "w").agg(*[F.sum(c).alias(c) for c in "xyst"]))
 
 
+def _differing(toxic: float, ordinary: float) -> F.Column:
+    """How probable it is that a word or pair with counts x and y, of so many in
+    all, has shares that differ by FACTOR: from its likelihood ratio against the
+    nearest shares that do not, even odds at EVEN_ERRORS standard errors."""
+    if not toxic or not ordinary:
+        return F.lit(0.0)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    part = x / (x + y)
+    near = F.least(F.greatest(part, F.lit(toxic / (toxic + FACTOR * ordinary))), F.lit(FACTOR * toxic / (FACTOR * toxic + ordinary)))
+    gain = F.when(x > 0, x * F.log(part / near)).otherwise(0.0) + F.when(y > 0, y * F.log((1 - part) / (1 - near))).otherwise(0.0)
+    return 1 / (1 + F.exp(F.lit(EVEN_ERRORS ** 2 / 2) - gain))
+
+
 def fit_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Model tables with the entries that hold evidence: words (w, pt, po, weight)
-    and pairs (u, w, at, ao)."""
+    """Model tables with the entries that hold discounted evidence: words
+    (w, score) and pairs (u, w, score)."""
     words, pairs = counts.where("kind = 0"), counts.where("kind = 1")
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in "xyst"], F.count("*").alias("v")).first()
     least = max(1.0, min(total["x"], total["y"]))
@@ -202,22 +206,22 @@ def fit_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     common = (F.col("x") + F.col("y") + 0.5) / F.lit(mass + 0.5 * (total["v"] + 1))
     shares = [(F.lit((1 - back) / rest[c]) * above(c, d) if rest["x"] and rest["y"] else F.lit(0.0)) + F.lit(back) * common for c in "xy"]
 
-    share = [above(c, d) / F.lit(max(total[c], 1.0)) for c in "xy"]
-    pooled = (F.col("x") + F.col("y")) / F.lit(max(mass, 1.0))
-    error = F.sqrt(pooled * F.lit(1 / max(total["x"], 1.0) + 1 / max(total["y"], 1.0)))
-    differs = (F.greatest(*share) > DECISIVE_FACTOR * F.least(*share)) & (F.abs(share[0] - share[1]) > DECISIVE_ERRORS * error)
-    telling = stored(words.where(differs).select("w", shares[0].alias("pt"), shares[1].alias("po")))
+    surely = _differing(total["x"], total["y"])
+    scored = stored(words.select("w", shares[0].alias("pt"), shares[1].alias("po"), (F.col("s") + F.col("t")).cast("double").alias("m"),
+                                 ((above("x", d) > 0) | (above("y", d) > 0)).alias("evident"), surely.alias("surely"))
+                    .withColumn("score", F.col("surely") * F.log(F.col("pt") / F.col("po"))))
 
-    kept = pairs.select("u", "w", above("x", e).alias("x"), above("y", e).alias("y"))
-    heads = kept.groupBy("u").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy")).where("sx > 0 and sy > 0")
-    tokens = words.select(F.col("w").alias("u"), (F.col("s") + F.col("t")).cast("double").alias("m"))
-    heads = heads.join(tokens, "u").withColumn("weight", F.least(F.greatest(1 - (F.col("sx") + F.col("sy")) / F.col("m"), F.lit(1e-6)), F.lit(1.0)))
-    pair_rows = stored(kept.join(telling.select("w"), "w").join(heads, "u").select(
-        "u", "w", *[((1 - F.col("weight")) * F.col(c) / F.col("s" + c)).alias("a" + k) for c, k in (("x", "t"), ("y", "o"))], "weight"))
-    contexts = pair_rows.select(F.col("u").alias("w"), "weight").distinct()
-    word_rows = telling.join(contexts, "w", "full").select(
-        "w", F.coalesce("pt", F.lit(1.0)).alias("pt"), F.coalesce("po", F.lit(1.0)).alias("po"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    return stored(word_rows), pair_rows.drop("weight")
+    surely = _differing(total["s"], total["t"])
+    kept = pairs.select("u", "w", surely.alias("p"), above("x", e).alias("x"), above("y", e).alias("y")).where("x > 0 or y > 0")
+    heads = kept.groupBy("u").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    heads = heads.join(scored.select(F.col("w").alias("u"), "m"), "u") \
+        .withColumn("weight", F.least(F.greatest(1 - (F.col("sx") + F.col("sy")) / F.col("m"), F.lit(1e-6)), F.lit(1.0)))
+    # a class without evidence in a context has its share of the word there
+    both = [(1 - F.col("weight")) * F.when(F.col("s" + c) > 0, F.col(c) / F.col("s" + c)).otherwise(F.col(p)) + F.col("weight") * F.col(p)
+            for c, p in (("x", "pt"), ("y", "po"))]
+    pair_rows = kept.join(heads, "u").join(scored.select("w", "pt", "po", "score"), "w").select(
+        "u", "w", (F.col("p") * F.log(both[0] / both[1]) + (1 - F.col("p")) * F.col("score")).alias("score"))
+    return stored(scored.where("evident").select("w", "score")), stored(pair_rows)
 
 
 def _sent_model(word_rows: DataFrame, pair_rows: DataFrame) -> Model:
@@ -225,9 +229,8 @@ def _sent_model(word_rows: DataFrame, pair_rows: DataFrame) -> Model:
         return table.column(name).to_numpy()
 
     words, pairs = word_rows.toArrow(), pair_rows.toArrow()
-    return Model(column(words, "w").view(np.uint64), np.stack([column(words, "pt"), column(words, "po")], 1).reshape(-1, 2),
-                 column(words, "weight"), _pair_key(column(pairs, "u").view(np.uint64), column(pairs, "w").view(np.uint64)),
-                 np.stack([column(pairs, "at"), column(pairs, "ao")], 1).reshape(-1, 2))
+    return Model(column(words, "w").view(np.uint64), column(words, "score"),
+                 _pair_key(column(pairs, "u").view(np.uint64), column(pairs, "w").view(np.uint64)), column(pairs, "score"))
 
 
 def _joined_ratios(docs: DataFrame, name: str, word_rows: DataFrame, pair_rows: DataFrame) -> DataFrame:
@@ -236,11 +239,8 @@ def _joined_ratios(docs: DataFrame, name: str, word_rows: DataFrame, pair_rows:
     docs = stored(docs.withColumn(rid, F.monotonically_increasing_id()))
     grams = docs.select(F.col(rid).alias("rid"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         _grams, "rid long, n long, u long, w long, times long")
-    found = grams.join(word_rows, "w", "left").join(word_rows.select(F.col("w").alias("u"), F.col("weight").alias("l")), "u", "left") \
-        .join(pair_rows, ["u", "w"], "left")
-    pair = (F.col("l") < 1) & F.col("at").isNotNull()
-    one = F.when(pair, F.log((F.col("at") + F.col("l") * F.col("pt")) / (F.col("ao") + F.col("l") * F.col("po")))) \
-        .when(F.col("pt").isNotNull(), F.log(F.col("pt") / F.col("po"))).otherwise(F.lit(0.0))
+    found = grams.join(word_rows.withColumnRenamed("score", "of_word"), "w", "left").join(pair_rows.withColumnRenamed("score", "of_pair"), ["u", "w"], "left")
+    one = F.coalesce("of_pair", "of_word", F.lit(0.0))
     sums = found.groupBy("rid").agg((F.sum(one * F.col("times")) / F.greatest(F.max("n"), F.lit(1))).alias("ratio")) \
         .select(F.col("rid").alias("r"), F.col("ratio").alias(name))
     return docs.join(sums, F.col(rid) == F.col("r")).drop("r", rid)

@@ -105,6 +105,40 @@ def test_toxicity_on_held_out_documents(labelled):
     assert len(empty) == 1
 
 
+def test_toxic_expressions_of_ordinary_words(spark):
+    import random
+
+    from tessera.llm.toxicity import toxicity
+
+    rng, plain = random.Random(8), [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(1200):
+        w = [rng.choice(plain) for _ in range(rng.randint(40, 80))]
+        for _ in range(2):  # both words are as common in ordinary texts, but apart
+            w[rng.randrange(0, 19):0] = ["green"]
+            w[rng.randrange(21, 39):0] = ["door"]
+        if i % 4 == 0:
+            for _ in range(2):
+                w += [rng.choice(plain), "door", rng.choice(plain), "green", "door"]
+        else:
+            w += ["green", rng.choice(plain), "door", rng.choice(plain), "green"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    scored = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = [(r["doc_id"] % 4 == 0, r["score"] >= 0.5) for r in scored.collect() if crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    caught, false = ([s for t, s in held if t == toxic] for toxic in (True, False))
+    assert sum(caught) >= 0.9 * len(caught) and sum(false) <= 0.05 * len(false)
+
+
+def test_a_text_that_repeats_itself_teaches_its_pairs_once(spark):
+    import pyarrow as pa
+
+    from tessera.llm.toxicity import _count
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array(["so so so so so so", "so so"])], names=["toxic", "text"])
+    assert sorted(n for out in _count([batch]) for n in out.column(2).to_pylist()) == [2, 2]
+
+
 def test_joined_scores_equal_the_sent_ones(labelled):
     from tessera.llm.toxicity import toxicity
 
