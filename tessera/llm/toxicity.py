@@ -62,17 +62,32 @@ def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return W.mix(u * np.uint64(0xD6E8FEB86659FD93) + w)
 
 
+def _text_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the text, first and second word of each distinct pair of a text: a text that repeats itself counts once."""
+    w, first = W.word_hashes(data, offsets, W.LETTERS)
+    u, doc = _contexts(w, first), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    once = np.unique(W.mix(_pair_key(u, w) + doc.astype(np.uint64)), return_index=True)[1]
+    return doc[once], u[once], w[once]
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, th, text) to (toxic, th, n): number of distinct pairs of each text."""
+    for batch in batches:
+        n = np.zeros(batch.num_rows, np.int64)
+        for lo, hi, data, offsets in W.slices(batch.column(2)):
+            n[lo:hi] = np.bincount(_text_pairs(data, offsets)[0], minlength=hi - lo)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["toxic", "th", "n"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to (u, w, n): in how many toxic and ordinary texts a word pair is, as the halves of n."""
     for batch in batches:
         toxic = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).astype(bool)
         for lo, hi, data, offsets in W.slices(batch.column(1)):
-            w, first = W.word_hashes(data, offsets, W.LETTERS)
+            doc, u, w = _text_pairs(data, offsets)
             if not len(w):
                 continue
-            u, doc = _contexts(w, first), np.repeat(np.arange(lo, hi), np.diff(first))
-            once = np.unique(W.mix(_pair_key(u, w) + doc.astype(np.uint64)), return_index=True)[1]  # a text that repeats itself counts once
-            u, w, one = u[once], w[once], np.where(toxic[doc[once]], np.int64(1), _HIGH)
+            one = np.where(toxic[lo + doc], np.int64(1), _HIGH)
             _, at, back = np.unique(_pair_key(u, w), return_index=True, return_inverse=True)
             low = np.bincount(back, weights=one == 1).astype(np.int64)
             high = np.bincount(back, weights=one != 1).astype(np.int64)
@@ -151,17 +166,24 @@ def _clean_labels(labels: DataFrame) -> DataFrame:
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
+def _discounts(toxic: float, ordinary: float) -> list[float]:
+    """Discounts of both classes, in proportion to their totals."""
+    least = max(1.0, min(toxic, ordinary))
+    return [DISCOUNT * max(1.0, total / least) for total in (toxic, ordinary)]
+
+
 def fit_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Stored counts: rows of kind 0 hold for a word (w) its continuation
     counts (x toxic, y ordinary) and token counts (s, t); rows of kind 1 hold
     for a frequent pair (u, w) its counts (x, y)."""
-    sizes = labels.groupBy().agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    toxic, ordinary = float(sizes["t"] or 0), float((sizes["n"] or 0) - (sizes["t"] or 0))
-    least = max(1.0, min(toxic, ordinary))
-    limits = [DISCOUNT * max(1.0, size / least) for size in (toxic, ordinary)]
-    small = F.broadcast(labels) if sizes["n"] <= SENT_LABELS else labels
-    texts = docs.where(training_fold(F.col("doc_id")) & ~calibration_part(F.col("doc_id"))).join(small, "doc_id") \
-        .withColumn("th", F.xxhash64("text")).dropDuplicates(["toxic", "th"]).select("toxic", "text")
+    small = F.broadcast(labels) if labels.count() <= SENT_LABELS else labels
+    rows = docs.where(training_fold(F.col("doc_id")) & ~calibration_part(F.col("doc_id"))).join(small, "doc_id") \
+        .select(F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("th"), "text")
+    # the limits are the discounts of fit_model: from the same totals, of distinct texts
+    sizes = rows.mapInArrow(_sizes, "toxic int, th long, n long").groupBy("toxic", "th").agg(F.max("n").alias("n"))
+    total = sizes.agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).cast("double").alias(c) for k, c in ((1, "s"), (0, "t"))]).first()
+    limits = _discounts(total["s"], total["t"])
+    texts = rows.dropDuplicates(["toxic", "th"]).select("toxic", "text")
     pairs = texts.mapInArrow(_count, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")) \
         .select("u", "w", F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("x"), F.shiftright("n", 32).alias("y"))
     zero = F.lit(0).cast("long")
@@ -191,10 +213,8 @@ def fit_model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     (w, score) and pairs (u, w, score)."""
     words, pairs = counts.where("kind = 0"), counts.where("kind = 1")
     total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in "xyst"], F.count("*").alias("v")).first()
-    least = max(1.0, min(total["x"], total["y"]))
-    d = {c: DISCOUNT * max(1.0, total[c] / least) for c in "xy"}
-    least = max(1.0, min(total["s"], total["t"]))
-    e = {c: DISCOUNT * max(1.0, total[k] / least) for c, k in (("x", "s"), ("y", "t"))}
+    d = dict(zip("xy", _discounts(total["x"], total["y"]), strict=True))
+    e = dict(zip("xy", _discounts(total["s"], total["t"]), strict=True))
 
     def above(c: str, limit: dict) -> F.Column:
         return F.greatest(F.col(c) - F.lit(limit[c]), F.lit(0.0))

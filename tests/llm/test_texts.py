@@ -139,6 +139,19 @@ def test_a_text_that_repeats_itself_teaches_its_pairs_once(spark):
     assert sorted(n for out in _count([batch]) for n in out.column(2).to_pylist()) == [2, 2]
 
 
+def test_copies_do_not_raise_the_pair_limit(spark):
+    from tessera.llm.toxicity import calibration_part, fit_counts, training_fold
+
+    ids = [r["id"] for r in spark.range(3000).where(training_fold(F.col("id")) & ~calibration_part(F.col("id"))).orderBy("id").limit(600).collect()]
+    # 40 toxic texts, 12 ordinary ones with "red car", and one ordinary text copied over and over
+    rows = [(i, "bad " + "x" * (k + 1) if k < 40 else "red car " + "y" * k if k < 52 else "copy") for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, int(k < 40)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    counts = fit_counts(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    # 80 toxic and 37 ordinary pairs of distinct texts: the limits are 2.2 and 1
+    assert sum(r["s"] for r in counts) == 80 and sum(r["t"] for r in counts) == 37
+    assert 12 in [r["y"] for r in counts if r["kind"] == 1]
+
+
 def test_joined_scores_equal_the_sent_ones(labelled):
     from tessera.llm.toxicity import toxicity
 
