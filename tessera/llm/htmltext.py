@@ -29,6 +29,8 @@ from tessera.llm.urls import host_of
 
 #: A class must be seen on so many pages of a host, and hold so many tokens.
 LEAST_PAGES, LEAST_TOKENS = 3, 2
+#: Text is template text only if its class covers this share of the host's distinct pages.
+LEAST_SHARE = 0.5
 #: Template rows that are sent to every task; more are joined by host.
 SENT_ROWS = 500_000
 
@@ -192,8 +194,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, token, kind, class, pages, host_pages) of the valid classes' tokens.
 
-    ``pages`` has host, page (a hash of the row) and html.
+    ``pages`` has host, page (a hash of the html, so that copies under other
+    urls are one page) and html.
     """
+    pages = pages.dropDuplicates(["host", "page"])
+    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     tokens = pages.mapInArrow(_tokens, "host string, page long, token long, times int, place int, kind int")
     spot = F.xxhash64("page", "times")
     vectors = tokens.groupBy("host", "token").agg(
@@ -206,7 +211,7 @@ def templates(pages: DataFrame) -> DataFrame:
     orders = tokens.join(sent.select("host", "token", "class"), ["host", "token"]).groupBy("host", "class", "page").agg(
         F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"])).alias("order"))
     valid = orders.groupBy("host", "class").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a = b").select("host", "class")
-    return members.join(valid, ["host", "class"])
+    return members.join(valid, ["host", "class"]).join(hosts, "host")
 
 
 def host_plans(template: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def host_plans(template: DataFrame) -> DataFrame:
     rows = template.join(best, "host", "left")
     return rows.groupBy("host").agg(
         F.sort_array(F.collect_set(F.when(F.col("kind") == F.col("best"), F.col("token")))).alias("roots"),
-        F.sort_array(F.collect_set(F.when(F.col("kind") == 4, F.col("token")))).alias("texts"))
+        F.sort_array(F.collect_set(F.when((F.col("kind") == 4) & (F.col("pages") >= LEAST_SHARE * F.col("host_pages")), F.col("token")))).alias("texts"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], *, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -236,17 +241,18 @@ def extracted(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     body; a page without that slot, or of a host with too few pages for a
     template, uses its own article, main part or body.  Menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles and comments are left
-    out, as is template text outside articles.  Character references are
+    out, as is text outside articles that fills a class on at least half of the
+    host's distinct pages.  Character references are
     decoded, white space within a block becomes one space, blocks are joined by
     line ends.  Null html is an empty page and gives an empty text; null urls
-    and urls without a host form one host; repeated pages count as one; a page
+    and urls without a host form one host; equal pages count as one, whatever their urls; a page
     cut off in the middle keeps what it has.  Nothing inside an article is
     dropped for being on many pages.
     """
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
     host, html = own_name(pages, "host"), own_name(pages, "page_html")
     body = F.coalesce(F.col(html_col), F.lit(""))
-    slim = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(url_col), body).alias("page"), body.alias("html"))
+    slim = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(body).alias("page"), body.alias("html"))
     plans = stored(host_plans(templates(slim)))
     size = plans.agg(F.coalesce(F.sum(F.size("roots") + F.size("texts") + 1), F.lit(0))).first()[0]
     plans = plans.select(F.col("host").alias("plan_of_host"), F.col("roots").alias("plan_roots"), F.col("texts").alias("plan_texts"))

@@ -97,6 +97,16 @@ def test_templates_take_out_what_all_pages_of_a_host_share(spark):
     assert len(plan) == 1 and len(plan[0]["roots"]) == 1 and len(plan[0]["texts"]) == 1
 
 
+def test_copies_and_passages_shared_by_few_pages_are_no_template(spark):
+    from tessera.llm.htmltext import extracted
+
+    shared = "<p>shared <b>by</b> three</p><p>and more</p>"
+    rows = [(i, f"http://h.test/{i}", f"<html><body><p>own {i}</p>{shared if i < 3 else ''}</body></html>") for i in range(12)]
+    rows += [(20 + i, f"http://h.test/copy{i}", "<html><body><p>a copied page</p><p>under three urls</p></body></html>") for i in range(3)]
+    found = {r["page_id"]: r["text"] for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[0] == "own 0\nshared by three\nand more" and found[22] == "a copied page\nunder three urls"
+
+
 def _brute(rows, k):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
     out = {}
