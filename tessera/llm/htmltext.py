@@ -138,7 +138,7 @@ def page_tokens(html: str) -> dict[int, list[int]]:
     found: dict[int, list[int]] = {}
     for place, (what, stack, text) in enumerate(events(html)):
         if what == "open":
-            token, kind = stack[-1].role, stack[-1].kind
+            token, kind = stack[-1].role, 0 if stack[-1].boilerplate else stack[-1].kind
         elif what == "text" and stack and not stack[-1].boilerplate and not any(e.kind == 3 for e in stack) and text.strip():
             token, kind = text_token(stack[-1].role, text), 4
         else:
@@ -153,17 +153,17 @@ def main_text(html: str, roots: set[int], known: set[int]) -> str:
     articles, without text pieces in ``known``; joined by line ends."""
     kinds = set()
     if not roots:
-        kinds = {e.kind for what, stack, _ in events(html) if what == "open" for e in stack[-1:]}
+        kinds = {e.kind for what, stack, _ in events(html) if what == "open" for e in stack[-1:] if not e.boilerplate}
     least = 3 if 3 in kinds else 2 if 2 in kinds else 1 if 1 in kinds else 0
     blocks, now, used = [], [], False
     for what, stack, text in events(html):
         if what == "text":
             inside = any(e.role in roots for e in stack) if roots else least == 0 or any(e.kind == least for e in stack)
-            used = used or inside
             if inside and not (stack and stack[-1].boilerplate):
                 if known and stack and not any(e.kind == 3 for e in stack) and text_token(stack[-1].role, text) in known:
                     continue
                 now.append(text)
+                used = used or bool(text.strip())
         elif what == "break" and now:
             blocks.append(now)
             now = []

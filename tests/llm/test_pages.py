@@ -107,6 +107,18 @@ def test_copies_and_passages_shared_by_few_pages_are_no_template(spark):
     assert found[0] == "own 0\nshared by three\nand more" and found[22] == "a copied page\nunder three urls"
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<body><main><p>m</main><aside><article><p>teaser</article></aside>", "m"),
+    ("<body><p>long own text</p><section class='comments'><article><p>reader</article></section>", "long own text"),
+])
+def test_boilerplate_is_no_main_slot(html, text):
+    from tessera.llm.htmltext import events, main_text
+
+    assert main_text(html, set(), set()) == text
+    role = next(e.role for what, stack, _ in events(html) if what == "open" for e in stack[-1:] if e.kind == 3)
+    assert main_text(html, {role}, set()) == text
+
+
 def _brute(rows, k):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
     out = {}
