@@ -55,10 +55,15 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("boilerplate", "kind", "name", "role")
+    """``wraps``: elements on its path that class words condemn; ``tagged``: boilerplate
+    by element names alone; ``within``: boilerplate even if class words do not
+    condemn what holds its outermost article or main part."""
 
-    def __init__(self, name: str, role: int, boilerplate: bool, kind: int):
+    __slots__ = ("boilerplate", "kind", "name", "role", "tagged", "within", "wraps")
+
+    def __init__(self, name: str, role: int, boilerplate: bool, kind: int, wraps: int, tagged: bool, within: bool):
         self.name, self.role, self.boilerplate, self.kind = name, role, boilerplate, kind
+        self.wraps, self.tagged, self.within = wraps, tagged, within
 
 
 def opened(name: str, attributes: str, above: list[Element], in_article: bool) -> Element:
@@ -71,7 +76,11 @@ def opened(name: str, attributes: str, above: list[Element], in_article: bool) -
     kind = {"article": 3, "main": 2, "body": 1}.get(name, 0)
     parent = above[-1].role if above else 0
     role = xxhash.xxh64_intdigest(f"{name}\x00{names}", seed=parent)
-    return Element(name, role, boilerplate or bool(above and above[-1].boilerplate), kind)
+    top = above[-1] if above else Element("", 0, False, 0, 0, False, False)
+    tag = boilerplate and (name in BOILERPLATE_TAGS or name == "header")
+    outermost = kind >= 2 and not any(e.kind >= 2 for e in above)
+    return Element(name, role, boilerplate or top.boilerplate, kind, top.wraps + (boilerplate and not tag), top.tagged or tag,
+                   top.tagged if outermost else boilerplate or top.within)
 
 
 def events(html: str) -> Iterator[tuple[str, object]]:
@@ -147,6 +156,24 @@ def page_tokens(html: str) -> dict[int, list[int]]:
     return found
 
 
+def lines_of(blocks: list[list[str]]) -> str:
+    lines = (" ".join(unescape("".join(b)).split()) for b in blocks)
+    return "\n".join(x for x in lines if x)
+
+
+def wrapped_text(html: str) -> str:
+    """Text of the articles, or else main parts, under the fewest elements that class words condemn."""
+    slots = {(e.wraps, -e.kind) for what, stack, _ in events(html) if what == "open" for e in stack[-1:] if e.kind >= 2 and not e.within}
+    slot = min(slots, default=None)
+    blocks: list[list[str]] = [[]]
+    for what, stack, text in events(html):
+        if what == "break":
+            blocks.append([])
+        elif what == "text" and stack and not stack[-1].within and any((e.wraps, -e.kind) == slot for e in stack):
+            blocks[-1].append(text)
+    return lines_of(blocks)
+
+
 def main_text(html: str, roots: set[int], known: set[int]) -> str:
     """Blocks of the elements whose roles are in ``roots`` (or else of the
     page's articles, main parts or body), without boilerplate and, outside
@@ -155,8 +182,10 @@ def main_text(html: str, roots: set[int], known: set[int]) -> str:
     if not roots:
         kinds = {e.kind for what, stack, _ in events(html) if what == "open" for e in stack[-1:] if not e.boilerplate}
     least = 3 if 3 in kinds else 2 if 2 in kinds else 1 if 1 in kinds else 0
-    blocks, now, used = [], [], False
+    blocks, now, used, held, wrapped = [], [], False, False, False
     for what, stack, text in events(html):
+        if what == "open" and stack[-1].kind >= 2:
+            held, wrapped = held or not stack[-1].boilerplate, wrapped or (stack[-1].boilerplate and not stack[-1].within)
         if what == "text":
             inside = any(e.role in roots for e in stack) if roots else least == 0 or any(e.kind == least for e in stack)
             if inside and not (stack and stack[-1].boilerplate):
@@ -171,8 +200,9 @@ def main_text(html: str, roots: set[int], known: set[int]) -> str:
         blocks.append(now)
     if roots and not used:
         return main_text(html, set(), known)  # a page of another kind
-    lines = (" ".join(unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    found = lines_of(blocks)
+    # class words condemn no wrapper of the main slot: with every article and main part under one, the longer text is it
+    return max(found, wrapped_text(html), key=len) if wrapped and not held else found
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,6 +119,17 @@ def test_boilerplate_is_no_main_slot(html, text):
     assert main_text(html, {role}, set()) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    (f"<body><nav>n</nav><div class='{c}'><article><h1>T</h1><p>long text</p><div class='share'>s</div></article>{after}</div><p>c</p>", "T\nlong text")
+    for c in ("content has-sidebar", "no-sidebar", "search-results", "nav-open", "share-layout")
+    for after in ("", "<section class='comments'><article><p>reader, longer than all the rest</article></section>")
+] + [("<div id='nav-open'><main><p>m</p><aside>a</aside></main></div>", "m"), ("<body><aside><article><p>teaser</article></aside>", "")])
+def test_class_words_do_not_condemn_what_holds_the_main_slot(html, text):
+    from tessera.llm.htmltext import main_text
+
+    assert main_text(html, set(), set()) == text
+
+
 def _brute(rows, k):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
     out = {}
