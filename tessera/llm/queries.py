@@ -23,10 +23,11 @@ def q_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shuffled
 
-    docs = read_table(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-                       F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    return shuffled(slim, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # whole documents are sharded; the digest is of what arrived
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size")
+    text_crc32 = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return shuffled(read_table(spark, sf_dir, "documents"), 40).select(
+        "doc_id", size, text_crc32, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

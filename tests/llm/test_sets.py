@@ -111,6 +111,18 @@ def test_shards_have_exact_sizes_and_gapless_slots(documents, nothing):
     assert shuffled(nothing.select("doc_id"), 7).count() == 0
 
 
+def test_the_sharding_query_moves_whole_documents(spark, monkeypatch):
+    import zlib
+
+    from tessera.llm import queries, sharding
+
+    seen, whole = [], sharding.shuffled
+    monkeypatch.setattr(sharding, "shuffled", lambda rows, *a, **b: seen.append(rows.columns) or whole(rows, *a, **b))
+    monkeypatch.setattr(queries, "read_table", lambda *_: spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string"))
+    rows = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in queries.q_sharding(spark, "").collect()}
+    assert seen == [["doc_id", "text"]] and rows == {1: (24, zlib.crc32(b"one text")), 2: (16, 0)}
+
+
 def test_matrix_sums_and_distribution(spark):
     from tessera.llm.matrix import communication_matrix
 
