@@ -16,6 +16,8 @@ from tessera.functions import let
 from tessera.llm.common import own_name, packed, permuted, stored
 from tessera.llm.matrix import communication_matrix
 
+#: Counts of the matrix that are sent to every task; a larger matrix is joined, which moves the rows once more.
+SENT_COUNTS = 1_000_000
 _SHIFT = 33  # monotonically_increasing_id(): partition above, row number below
 
 
@@ -37,6 +39,7 @@ def shuffled(rows: DataFrame, n_shards: int, *, seed: int = 7, rows_per_task: in
     goal = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.lit(total // n_shards).cast("long") + (s < total % n_shards).cast("long"))
     matrix = communication_matrix(sizes, goal, seed)
     plan = stored(matrix.join(sizes, "id"))
+    plan = F.broadcast(plan) if plan.count() * n_shards <= SENT_COUNTS else plan
 
     row = F.col("mark").bitwiseAND((1 << _SHIFT) - 1)
     place = permuted(row, F.col("n"), F.xxhash64(F.lit(seed), F.lit("within"), F.col("id")))
