@@ -86,6 +86,15 @@ def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def q_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.merkle import manifest
+
+    # every second document, by its hash, is tampered with: its line ends go
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return manifest(read_table(spark, sf_dir, "documents"), altered={"text": text})
+
+
 QUERIES = {
     "op1_url_filter": q_urls,
     "op2_sharding": q_sharding,
@@ -97,11 +106,63 @@ QUERIES = {
     "op8_license_scan": q_licenses,
     "op9_sentencepiece": q_pieces,
     "op10_html_extraction": q_html,
+    "op12_merkle_manifest": q_merkle,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
+#: Bits of a text's bytes, lowest first, and the crc32 that they give.
+_BITS = "list_transform(range(8 * strlen({0})), lambda i: (('0x' || substr(hex(encode({0})), 2 * (i // 8)::INT + 1, 2))::BIGINT >> (i % 8)) & 1)"
+_CRC32 = "xor(list_reduce(" + _BITS + ", lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree(name: str, start: str) -> str:
+    """Every level of ternary trees (tree, level, pos, d), then each node's siblings before and after it."""
+    return f"""
+        {name} AS (
+            SELECT tree, 0 AS level, pos, d FROM {start}
+            UNION ALL
+            SELECT tree, level + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos))
+            FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY tree, level, pos // 3),
+        {name}_peak AS (SELECT tree, max(level) AS height, max_by(d, level) AS d FROM {name} GROUP BY tree),
+        {name}_runs AS (
+            SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+                   coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+            FROM {name} a JOIN {name}_peak p ON p.tree = a.tree AND a.level < p.height
+            JOIN {name} b ON b.tree = a.tree AND b.level = a.level AND b.pos // 3 = a.pos // 3 GROUP BY 1, 2, 3)"""
+
+
+def _walk(name: str, tree: str, start: str) -> str:
+    """(rid, folded, proof) at the end of the way up."""
+    return f"""
+        {name} AS (
+            SELECT rid, tree, 0 AS level, pos, folded, proof FROM {start}
+            UNION ALL
+            SELECT rid, w.tree, w.level + 1, w.pos // 3, sha256(before || folded || after), proof || before || after
+            FROM {name} w JOIN {tree}_runs r ON r.tree = w.tree AND r.level = w.level AND r.pos = w.pos),
+        {name}_end AS (SELECT w.* FROM {name} w JOIN {tree}_peak p ON p.tree = w.tree AND w.level = p.height)"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE given AS (
+            SELECT row_number() OVER () AS rid, doc_id, coalesce('1' || source, '0') AS tree, {_leaf("text")} AS d,
+                   CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS folded
+            FROM documents),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, '' AS proof FROM given),
+        {_tree("own", "leaves")},
+        sources AS (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS pos, d FROM own_peak),
+        {_tree("top", "sources")},
+        {_walk("inner_way", "own", "leaves")},
+        risen AS (SELECT w.rid, '' AS tree, s.pos, w.folded, w.proof FROM inner_way_end w JOIN sources s ON s.name = w.tree),
+        {_walk("outer_way", "top", "risen")}
+        SELECT doc_id, l.d AS leaf, s.d AS subroot, p.d AS root, sha256(w.proof) AS proof_sha256, w.folded AS folded_root, w.folded = p.d AS verified
+        FROM leaves l JOIN outer_way_end w USING (rid) JOIN sources s ON s.name = l.tree, top_peak p""",
     "op3_minhash_near_dedup": f"""
         WITH RECURSIVE worded AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         shingles AS (
