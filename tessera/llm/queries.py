@@ -95,6 +95,19 @@ def q_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read_table(spark, sf_dir, "documents"), altered={"text": text})
 
 
+def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.windows import without_copied
+
+    return without_copied(read_table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def q_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"), dropped=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_url_filter": q_urls,
     "op2_sharding": q_sharding,
@@ -106,7 +119,9 @@ QUERIES = {
     "op8_license_scan": q_licenses,
     "op9_sentencepiece": q_pieces,
     "op10_html_extraction": q_html,
+    "op11_spelling_variants": q_spelling,
     "op12_merkle_manifest": q_merkle,
+    "op13_substring_dedup": q_windows,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -149,6 +164,35 @@ def _walk(name: str, tree: str, start: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE found AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+            FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS k, doc_id::VARCHAR || ':' || run AS s FROM found GROUP BY doc_id, run),
+        hashed AS (SELECT run, k, {_CRC32.format("s")} AS h FROM counted),
+        words AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3),
+        cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+        near AS (
+            SELECT a.word AS a, b.word AS b, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+        best AS (SELECT a, count(*) AS n_near, min({{'less': -n, 'word': b}}) AS m FROM near GROUP BY a),
+        formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.less >= 2 * n THEN m.word END AS form, CASE WHEN -m.less >= 2 * n THEN -m.less END AS form_n
+            FROM words LEFT JOIN best ON a = word),
+        way AS (SELECT word, word AS root, form AS next FROM formed UNION ALL SELECT w.word, f.word, f.form FROM way w JOIN formed f ON f.word = w.next)
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN way USING (word) WHERE next IS NULL""",
+    "op13_substring_dedup": r"""
+        WITH worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w FROM worded, unnest(range(1, greatest(len(ws) - 11, 1))) AS t(i)),
+        least AS (SELECT w, min(doc_id) AS d FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN least USING (w), range(13) AS t(k) WHERE doc_id > d),
+        words AS (SELECT doc_id, p, ws[p] AS word FROM worded, unnest(range(1, len(ws) + 1)) AS t(p)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM worded LEFT JOIN kept USING (doc_id)""",
     "op12_merkle_manifest": f"""
         WITH RECURSIVE given AS (
             SELECT row_number() OVER () AS rid, doc_id, coalesce('1' || source, '0') AS tree, {_leaf("text")} AS d,
