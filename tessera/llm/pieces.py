@@ -33,7 +33,8 @@ from tessera.llm.common import own_name
 #: Path prefixes of lower log-probability hold less mass than a double resolves.
 _NEGLIGIBLE = -40.0
 _SLOTS = 20
-_SLICE_BYTES = 1 << 20
+#: A lattice holds some eight arrays of its edges, so slices are small.
+_SLICE_BYTES = 1 << 18
 
 
 class Vocabulary:

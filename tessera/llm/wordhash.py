@@ -1,7 +1,8 @@
 """Words of Arrow text columns as 64-bit hashes, without a Python loop per word.
 
 A word's hash is a polynomial in its bytes modulo 2**64: prefix sums over a
-slice of texts give every word's value in a few numpy passes.
+slice of texts give every word's value in a few numpy passes.  They need some
+60 bytes of memory for each byte of the slice, or of one longer text.
 """
 
 from __future__ import annotations
@@ -48,17 +49,26 @@ def _exact_values() -> np.ndarray:
     return mix(np.arange(256, dtype=np.uint64) + np.uint64(0x7F4A7C15))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_STANDARD = SLICE_BYTES + 4096
+
+
+def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+@lru_cache(maxsize=1)
+def _standard_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _both_powers(_STANDARD)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+    """Powers of the base and of its inverse; those for a text longer than a slice are not held on to."""
+    return _standard_powers() if n <= _STANDARD else _both_powers(n)
 
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
