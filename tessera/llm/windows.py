@@ -32,14 +32,14 @@ SAMPLE = 1 / 16
 #: A minimiser is frequent from so many super-k-mers on, or from a 16th of a task's share of them.
 LEAST_FREQUENT = 1000
 #: Super-k-mers of one bucket hold about so many bytes.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Super-k-mers are cut after so many windows.
 _LONGEST = 256
 #: Texts of about so many bytes are packed together.
-_BLOCK_BYTES = 24 << 20
+_BLOCK_BYTES = 16 << 20
 #: Rows with covered words that are sent to every task; beyond, the texts are shuffled to them.
 SENT_SPANS = 1_000_000
-_COMPARED = 1 << 17
+_COMPARED = 1 << 14
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
 _WINDOW = "doc_id long, copy int, first int, words binary"
