@@ -27,6 +27,10 @@ from tessera.llm.components import connected_components
 _STEP_SHINGLES = 2048
 #: Candidate classes that are sent to every task to fetch their texts; more are joined by shuffling the texts.
 SENT_CLASSES = 1_000_000
+#: Pairs of one class that are confirmed by one task.
+HUB_PAIRS = 2000
+#: Permutations of the finer sketch, one bit of each minimum and maximum.
+FINE_HASHES = 2048
 
 
 def _permutations(n_hashes: int) -> np.ndarray:
@@ -61,6 +65,34 @@ def sketch(signature: np.ndarray) -> np.ndarray:
     return (bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def _fine(batches: Iterator[pa.RecordBatch], *, words: int) -> Iterator[pa.RecordBatch]:
+    """(cid, text) to (cid, fine): one bit of each of many more signature values, 64 to a long."""
+    factors = np.random.default_rng(20240301).integers(0, 1 << 32, FINE_HASHES, dtype=np.uint32) | np.uint32(1)
+    for batch in batches:
+        out = []
+        for lo, hi, data, offsets in W.slices(batch.column(1)):
+            hashes, first = W.word_hashes(data, offsets)
+            for i in range(hi - lo):
+                signature = min_max(W.shingle_set(hashes[first[i]: first[i + 1]], words), factors)
+                bits = ((signature * np.uint32(0x85EBCA6B)) >> np.uint32(31)).astype(np.uint8)
+                out.append(np.packbits(bits).view(np.int64))
+        width = 2 * FINE_HASHES // 64
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * np.int32(width)), pa.array(np.concatenate([np.empty(0, np.int64), *out])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["cid", "fine"])
+
+
+def fine_agreement(a: Column, b: Column) -> Column:
+    """Share of the finer sketch's bits on which two texts agree."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return 1 - apart / (2 * FINE_HASHES)
+
+
+def least_fine(share: tuple[int, int]) -> float:
+    """Bits that agree between texts at the threshold, less four standard errors."""
+    agree = (1 + share[0] / share[1]) / 2
+    return agree - 4 * math.sqrt(agree * (1 - agree) / (2 * FINE_HASHES))
+
+
 def least_agreement(share: tuple[int, int], values: int) -> int:
     """Sketch values that agree between texts at the threshold, less four standard errors."""
     alike = share[0] / share[1]
@@ -145,12 +177,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
     2. Rows with equal sets form a class; only classes go on, so copies are
        never paired with one another.
     3. In each band bucket every class is compared with the bucket's smallest
-       class.  Confirmed links are joined into components.
+       class, if their set sizes allow a link.  Confirmed links are joined into
+       components.
     4. In buckets that still hold several components, the classes outside the
        largest one are compared with those of other components, each pair in
-       the first band it shares, if their signatures agree about as often as
-       two texts at the threshold do (less four standard errors).  So every
-       candidate pair is confirmed, refuted or inside one component.
+       the first band it shares, if their set sizes allow a link and their
+       signatures, and then their finer ones of eight times the values, agree
+       about as often as two texts at the threshold do (less four standard
+       errors).  So every candidate pair is confirmed, refuted or inside one
+       component.
 
     Null texts are empty.  Rows without words have no shingles, link with
     nothing, and keep their own doc_id.  Rows with a null doc_id take part by
@@ -167,9 +202,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
         F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))).alias("lead")))
 
     members = signed.join(classes.select("cid"), signed["rid"] == F.col("cid"))
-    posts = members.select("cid", F.posexplode("bands").alias("band", "bucket"))
-    shared = posts.groupBy("bucket").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last")
-    posts = stored(posts.join(shared.select("bucket", "hub"), "bucket"))
+    def sizes_fit(n: Column, m: Column) -> Column:
+        return share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)
+
+    posts = members.select("cid", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    shared = posts.groupBy("bucket").agg(F.min(F.struct("cid", "n_shingles")).alias("hub"), F.max("cid").alias("last")).where("hub.cid < last")
+    posts = stored(posts.join(shared.select("bucket", F.col("hub.cid").alias("hub"), F.col("hub.n_shingles").alias("hub_n")), "bucket"))
 
     candidates = posts.select("cid").distinct()
     asked = stored(members.join(candidates, "cid", "left_semi").select("cid", "doc_id", "th"))
@@ -179,25 +217,31 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
                    .select("cid", "text").dropDuplicates(["cid"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Each class ``a`` goes to as many tasks as its pairs need."""
         one, two = (texts.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        return stored(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+        tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("tasks"))
+        one = one.join(tasks, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
+        dealt = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "tasks").alias("task"))
+        return stored(dealt.join(two, "b").join(one, ["a", "task"]).select("a", "b", "text_a", "text_b")
                       .mapInArrow(partial(_confirm, words=words, share=share), "a long, b long"))
 
-    first = stored(posts.where("hub < cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct())
+    first = stored(posts.where("hub < cid").where(sizes_fit(F.col("n_shingles"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct())
     links = confirmed(first)
     comps = stored(connected_components(links))
 
     placed = posts.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "bucket", "band", "cid", F.coalesce("component", "cid").alias("comp"))
+        "bucket", "band", "cid", "n_shingles", F.coalesce("component", "cid").alias("comp"))
     mixed = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    placed = stored(placed.join(mixed.select("bucket", F.col("top.comp").alias("main")), "bucket")
-                    .join(members.select("cid", "bands", "sketch"), "cid"))
-    left = placed.where("comp <> main").select("bucket", *[F.col(c).alias("l_" + c) for c in ("cid", "comp", "bands", "sketch")])
+    placed = placed.join(mixed.select("bucket", F.col("top.comp").alias("main")), "bucket")
+    fine = texts.join(placed.select("cid").distinct(), "cid").select("cid", "text").mapInArrow(partial(_fine, words=words), "cid long, fine array<long>")
+    placed = stored(placed.join(members.select("cid", "bands", "sketch").join(fine, "cid"), "cid"))
+    left = placed.where("comp <> main").select("bucket", *[F.col(c).alias("l_" + c) for c in ("cid", "comp", "n_shingles", "bands", "sketch", "fine")])
     earlier = F.exists(F.sequence(F.lit(0), F.col("band")), lambda i: (i < F.col("band")) & (F.get("bands", i) == F.get("l_bands", i)))
     second = left.join(placed, (left["bucket"] == placed["bucket"]) & (F.col("comp") != F.col("l_comp"))
                        & ((F.col("comp") == F.col("main")) | (F.col("l_cid") < F.col("cid")))
-                       & (agreement(F.col("l_sketch"), F.col("sketch"), 2 * n_hashes // 32) >= least_agreement(share, 2 * n_hashes)) & ~earlier) \
+                       & sizes_fit(F.col("l_n_shingles"), F.col("n_shingles")) & (agreement(F.col("l_sketch"), F.col("sketch"), 2 * n_hashes // 32) >= least_agreement(share, 2 * n_hashes)) & ~earlier
+                       & (fine_agreement(F.col("l_fine"), F.col("fine")) >= least_fine(share))) \
         .select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = confirmed(second)
     # links between components, told by the components' ids, join the first components
