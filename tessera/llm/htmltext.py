@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from html import unescape
 
 import numpy as np
@@ -48,6 +48,10 @@ BOILERPLATE_WORDS = set("ad ads advert adverts advertisement advertisements adve
                         "popup modal newsletter subscribe signup comment comments commentlist respond disqus share sharing social related "
                         "recommended pagination pager contentinfo complementary search alert".split())
 HEADER_WORDS = {"header", "topbar"}
+LAYOUT_WORDS = set("site main page top bottom left right primary secondary global box bar slot area wrapper wrap container content body inner outer list "
+                   "link links widget block panel section unit item items button buttons icon icons".split())
+#: Copied pages (host and html) that are sent to every task; more are joined by their hashes.
+SENT_COPIES = 500_000
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|!--?>|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z))""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -66,11 +70,23 @@ class Element:
         self.wraps, self.tagged, self.within = wraps, tagged, within
 
 
+@lru_cache(maxsize=65536)
+def says(names: str) -> tuple[bool, bool]:
+    """Whether some class, id or role among ``names`` tells boilerplate, and whether one tells a header: all
+    words of such a name do, or tell a place on the page, so that ``share-of-market`` and ``related-story`` do not."""
+    told = [False, False]
+    for name in names.split():
+        parts = set(_WORD.findall(name))
+        for k, known in enumerate((BOILERPLATE_WORDS, HEADER_WORDS)):
+            told[k] = told[k] or (bool(parts & known) and parts <= known | LAYOUT_WORDS)
+    return told[0], told[1]
+
+
 def opened(name: str, attributes: str, above: list[Element], in_article: bool) -> Element:
     """An element under ``above``; its role is told by the names on its path."""
     names = " ".join(sorted((b or c or d).lower() for _, b, c, d in _NAMES.findall(attributes))) if attributes else ""
-    words = set(_WORD.findall(names)) if names else set()
-    boilerplate = name in BOILERPLATE_TAGS or bool(words & BOILERPLATE_WORDS) or (not in_article and (name == "header" or bool(words & HEADER_WORDS)))
+    condemned, heads = says(names) if names else (False, False)
+    boilerplate = name in BOILERPLATE_TAGS or condemned or (not in_article and (name == "header" or heads))
     if name in ("html", "body", "article", "main"):
         boilerplate = False
     kind = {"article": 3, "main": 2, "body": 1}.get(name, 0)
@@ -227,13 +243,18 @@ def templates(pages: DataFrame) -> DataFrame:
     ``pages`` has host, page (a hash of the html, so that copies under other
     urls are one page) and html.
     """
-    pages = pages.dropDuplicates(["host", "page"])
-    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
+    # only pages that have copies are shuffled with their html
+    held = pages.select("host", "page").groupBy("host", "page").agg(F.count("*").alias("copies"))
+    hosts = stored(held.groupBy("host").agg(F.count("*").alias("host_pages")))
+    copied = stored(held.where("copies > 1").select(F.col("host").alias("h"), F.col("page").alias("p")))
+    copied = F.broadcast(copied) if copied.count() <= SENT_COPIES else copied
+    same_page = (F.col("host") == F.col("h")) & (F.col("page") == F.col("p"))
+    pages = pages.join(copied, same_page, "left_anti").union(pages.join(copied, same_page, "left_semi").dropDuplicates(["host", "page"]))
     tokens = pages.mapInArrow(_tokens, "host string, page long, token long, times int, place int, kind int")
     spot = F.xxhash64("page", "times")
     vectors = tokens.groupBy("host", "token").agg(
         F.count("*").alias("pages"), F.bit_xor(spot).alias("v"), F.sum(spot.bitwiseAND((1 << 26) - 1)).alias("w"), F.max("kind").alias("kind"))
-    same = vectors.where(F.col("pages") >= LEAST_PAGES).withColumn("class", F.xxhash64("host", "v", "w", "pages"))
+    same = stored(vectors.where(F.col("pages") >= LEAST_PAGES).withColumn("class", F.xxhash64("host", "v", "w", "pages")))
     large = same.groupBy("host", "class").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_TOKENS)
     members = stored(same.join(large, ["host", "class"]).select("host", "token", "kind", "class", "pages"))
     sent = F.broadcast(members) if members.count() <= SENT_ROWS else members

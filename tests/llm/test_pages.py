@@ -130,6 +130,15 @@ def test_class_words_do_not_condemn_what_holds_the_main_slot(html, text):
     assert main_text(html, set(), set()) == text
 
 
+@pytest.mark.parametrize("piece", ['<p id="share-of-market">x</p>', '<section class="search-theory">x</section>', '<p class="alert-level">x</p>',
+                                   '<div class="social-policy">x</div>', '<div class="related-story">x</div>'])
+def test_words_inside_longer_names_do_not_condemn(piece):
+    from tessera.llm.htmltext import main_text
+
+    assert main_text(f"<article><p>a</p>{piece}<div class='site-footer'>f</div><div class='ad slot'>s</div></article>", set(), set()) == "a\nx"
+    assert main_text(f"<body>{piece}<div id='comments-area'>c</div></body>", set(), set()) == "x"
+
+
 def _brute(rows, k):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
     out = {}
