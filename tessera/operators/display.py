@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from tessera.functions.dates import year_month
 
 PAGE_ROWS = 500
-ALL_PREFIX = "All"  # "All Products", "All Stores", ... mean "no filter"
+#: The selections that mean "no filter".
+ALL_VALUES = ("All", "All Products", "All Stores", "All Categories")
 
 
 def filter_equals(df: DataFrame, selections: dict) -> DataFrame:
-    """AND of ``col == value`` for each selection that is not an "All…"
-    sentinel (or None).  Plain predicates, so they push into parquet scans
+    """AND of ``col == value`` for each selection that is not one of
+    ALL_VALUES (or None); other values that start like them are values.  Plain predicates, so they push into parquet scans
     and through joins/windows on the same keys."""
     conds = [F.col(c) == v for c, v in selections.items()
-             if v is not None and not (isinstance(v, str) and v.startswith(ALL_PREFIX))]
+             if v is not None and v not in ALL_VALUES]
     return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import clip_at_zero
 from tessera.operators import display, metrics, panel
 from tessera.sources.contracts import min_rows
-from tessera.session import TREE_AGGREGATION_MB, ensure_checkpoint_dir, for_fitting
+from tessera.session import TREE_AGGREGATION_MB, ensure_checkpoint_dir, for_fitting, side_by_side
 
 # Reference hyper-parameters of the batch forecast run.
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 200, 12, 5
@@ -27,7 +27,8 @@ SEED = 42
 MODEL_ORDER = ("Linear Regression", "Random Forest", "Gradient Boosting")
 MIN_ROWS = 20  # fewer rows after the selections: refuse to train (P7)
 # Fixed settings for deep forests: cache each row's node id between levels and
-# group nodes in a fixed amount of memory.
+# group nodes in a fixed amount of memory.  Shallow boosted trees find a row's node
+# faster than they read it back.
 TREE_SCHEDULING = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": TREE_AGGREGATION_MB}
 
 
@@ -47,14 +48,15 @@ def estimators(trees: int = RF_TREES, gbt_iters: int = GBT_ITERS):
                                                minInstancesPerNode=RF_MIN_LEAF,
                                                featureSubsetStrategy="all", seed=SEED, **TREE_SCHEDULING),
         "Gradient Boosting": GBTRegressor(maxIter=gbt_iters, maxDepth=GBT_DEPTH, stepSize=GBT_RATE,
-                                          lossType="squared", seed=SEED, checkpointInterval=10,
-                                          cacheNodeIds=True),
+                                          lossType="squared", seed=SEED, checkpointInterval=5),
     }
 
 
 def fit_and_score(features: DataFrame, holdout_months: int = 6, use_promotion: bool = True,
-                  trees: int = RF_TREES, gbt_iters: int = GBT_ITERS, selections: dict | None = None):
-    """Returns (predictions long table, fitted models, feature names).
+                  trees: int = RF_TREES, gbt_iters: int = GBT_ITERS, selections: dict | None = None,
+                  wanted: tuple[str, ...] = MODEL_ORDER):
+    """Returns (predictions long table, fitted models, feature names) of the
+    ``wanted`` models, which are fitted side by side.
 
     predictions: date, store, product, model, actual, predicted (clipped).
     ``selections`` ({"store": ..., "product": ...}, "All..." = no filter)
@@ -71,10 +73,10 @@ def fit_and_score(features: DataFrame, holdout_months: int = 6, use_promotion: b
                                  F.col("sales_qty").cast("double").alias("label"), "is_test")
     data = for_fitting(data, "store", "product", "date")
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-    preds, models = [], {}
-    for name, est in estimators(trees, gbt_iters).items():
-        model = est.fit(train)
-        models[name] = model
+    asked = {name: est for name, est in estimators(trees, gbt_iters).items() if name in wanted}
+    models = side_by_side({name: lambda est=est: est.fit(train) for name, est in asked.items()})
+    preds = []
+    for name, model in models.items():
         p = model.transform(test).select(
             "date", "store", "product", F.lit(name).alias("model"),
             F.col("label").alias("actual"), clip_at_zero("prediction").alias("predicted"))

@@ -1,30 +1,26 @@
-"""Entity rank regression on Spark ML.
+"""Entity rank regression.
 
 profile -> md5 80/20 split -> one standard scaler (population std) ->
-MLP over rank bins (probability-weighted), random forest, gradient boosting -> MAE / MSE / R^2 ->
+perceptron, random forest, gradient boosting -> MAE / MSE / R^2 ->
 every entity scored by all three models (the rank simulator in batch form).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import QuantileDiscretizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import agreement, truncate_int
 from tessera.operators import entities as E
-from tessera.operators import metrics
+from tessera.operators import metrics, perceptron
 from tessera.operators import text as X
 from tessera.plans.forecast import TREE_SCHEDULING
-from tessera.session import for_fitting
+from tessera.session import for_fitting, side_by_side
 
 SEED = 42
-# RANK_BINS: classes of the perceptron; its output is continuous, the mean rank over
-# all bins by probability.  BIN_ERROR: error of the approximate quantiles.
-MLP_HIDDEN, MLP_MAX_ITER, RANK_BINS, BIN_ERROR = (50, 25), 700, 24, 0.001
+MLP_HIDDEN, MLP_STEPS = (50, 25), 60
 RF_TREES, RF_DEPTH = 100, 10
 GBT_ITERS, GBT_DEPTH, GBT_RATE = 100, 5, 0.1
 MODEL_ORDER = ("MLP", "Random Forest", "Gradient Boosting")
@@ -34,43 +30,36 @@ def prepare(profile: DataFrame, features=E.FEATURES) -> DataFrame:
     scaled = E.standard_scale(profile, features)
     vec = VectorAssembler(inputCols=[f"{f}_z" for f in features], outputCol="features")
     out = vec.transform(scaled).withColumn("label", F.col("hec_rank").cast("double"))
+    out = out.withColumn("inputs", F.array(*[F.col(f"{f}_z") for f in features]))
     return X.hash_split(out, "entity")
 
 
-def _mlp_rank_model(train: DataFrame):
-    """No MLP regressor in Spark ML: classify into quantile rank bins and
-    predict the mean of the bins' mean ranks, weighted by probability."""
-    disc = QuantileDiscretizer(numBuckets=RANK_BINS, inputCol="label", outputCol="bin",
-                               relativeError=BIN_ERROR).fit(train)
-    binned = disc.transform(train)
-    n_bins = int(binned.select(F.max("bin")).first()[0]) + 1
-    layers = [len(E.FEATURES), *MLP_HIDDEN, max(n_bins, 2)]
-    mlp = MultilayerPerceptronClassifier(layers=layers, maxIter=MLP_MAX_ITER, seed=SEED,
-                                         labelCol="bin", featuresCol="features").fit(binned)
-    rows = binned.groupBy("bin").agg(F.avg("label").alias("rank")).collect()  # <= RANK_BINS rows
-    ranks = {int(r["bin"]): r["rank"] for r in rows}
-    return mlp, [float(ranks.get(i, 0.0)) for i in range(max(n_bins, 2))]
+def fitting_frame(profile: DataFrame) -> DataFrame:
+    return for_fitting(prepare(profile), "entity")
 
 
-def _mlp_predict(model, centres, df: DataFrame, out: str) -> DataFrame:
-    p = model.transform(df)
-    means = F.zip_with(vector_to_array("probability"), F.lit(centres), lambda p, c: p * c)
-    return p.withColumn(out, F.aggregate(means, F.lit(0.0), lambda s, x: s + x)).drop("rawPrediction", "probability", "prediction")
+def forest():
+    return RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, featureSubsetStrategy="all", seed=SEED, **TREE_SCHEDULING)
 
 
-def fit_models(data: DataFrame):
-    rf = RandomForestRegressor(numTrees=RF_TREES, maxDepth=RF_DEPTH, featureSubsetStrategy="all",
-                               seed=SEED, **TREE_SCHEDULING)
-    gb = GBTRegressor(maxIter=GBT_ITERS, maxDepth=GBT_DEPTH, stepSize=GBT_RATE, seed=SEED,
-                      checkpointInterval=10, cacheNodeIds=True)
-    return _mlp_rank_model(data), rf.fit(data), gb.fit(data)
+def fit_models(data: DataFrame) -> dict:
+    """The three models, fitted side by side."""
+    boosted = GBTRegressor(maxIter=GBT_ITERS, maxDepth=GBT_DEPTH, stepSize=GBT_RATE, seed=SEED, checkpointInterval=5)
+    return side_by_side({"MLP": lambda: perceptron.fit(data, "inputs", "label", hidden=MLP_HIDDEN, steps=MLP_STEPS, seed=SEED),
+                         "Random Forest": lambda: forest().fit(data), "Gradient Boosting": lambda: boosted.fit(data)})
 
 
-def score_all(models, df: DataFrame) -> DataFrame:
-    (mlp, centres), rf, gb = models
-    d = _mlp_predict(mlp, centres, df, "pred_mlp")
-    d = rf.transform(d).withColumnRenamed("prediction", "pred_rf")
-    return gb.transform(d).withColumnRenamed("prediction", "pred_gb")
+def feature_importance(data: DataFrame) -> DataFrame:
+    """M19 of the forest fitted on all entities (four numbers, from the model on the driver)."""
+    model = forest().fit(data)
+    rows = [(f, float(v)) for f, v in zip(E.FEATURES, model.featureImportances.toArray(), strict=True)]
+    return data.sparkSession.createDataFrame(rows, "feature string, importance double")
+
+
+def score_all(models: dict, df: DataFrame) -> DataFrame:
+    d = df.withColumn("pred_mlp", models["MLP"].predict(F.col("inputs")))
+    d = models["Random Forest"].transform(d).withColumnRenamed("prediction", "pred_rf")
+    return models["Gradient Boosting"].transform(d).withColumnRenamed("prediction", "pred_gb")
 
 
 def evaluate(data: DataFrame) -> DataFrame:
@@ -96,26 +85,16 @@ def simulate(models, data: DataFrame) -> DataFrame:
                     *[v.alias(k) for k, v in agreement("pred_mlp", "pred_rf", "pred_gb").items()])
 
 
-def closest(models, best: str, profile: DataFrame, point: dict[str, float], k: int = 5) -> DataFrame:
+def closest(data: DataFrame, profile: DataFrame, point: dict[str, float], k: int = 5) -> DataFrame:
     """R5 + P10 on a predicted rank: the entities closest to the rank that the
-    best model gives a point of scores."""
+    model best on the held-out part, fitted again on all entities, gives a
+    point of scores."""
+    best = evaluate(data).where("best_r2").first()["model"]
     st = E._stats_scalar(E.scaling_stats(profile))
     one = profile.sparkSession.range(1).select(*[E._z(F.lit(float(point[f])), st, f).alias(f"{f}_z") for f in E.FEATURES])
     one = VectorAssembler(inputCols=[f"{f}_z" for f in E.FEATURES], outputCol="features").transform(one)
+    one = one.withColumn("inputs", F.array(*[F.col(f"{f}_z") for f in E.FEATURES]))
     column = dict(zip(MODEL_ORDER, ("pred_mlp", "pred_rf", "pred_gb"), strict=True))[best]
-    rank = truncate_int(F.col(column))
-    predicted = score_all(models, one).select(rank.alias("r")).scalar()
-    return E.closest_by_rank(profile.withColumn("predicted_rank", predicted), F.col("predicted_rank"), k).select(
+    rank = score_all(fit_models(data), one).select(truncate_int(F.col(column)).alias("r")).first()["r"]
+    return E.closest_by_rank(profile.withColumn("predicted_rank", F.lit(rank)), F.col("predicted_rank"), k).select(
         "entity", F.lit(best).alias("model"), "predicted_rank", "hec_rank", "rank_diff", "verdict")
-
-
-def run_all(profile: DataFrame, point: dict[str, float], spark) -> dict[str, DataFrame]:
-    """Comparison on the held-out part; simulation, importances and closest
-    entities from one further fit on all entities."""
-    data = for_fitting(prepare(profile), "entity")
-    compared = evaluate(data).persist()
-    best = compared.where("best_r2").first()["model"]
-    models = fit_models(data)
-    rows = [(f, float(v)) for f, v in zip(E.FEATURES, models[1].featureImportances.toArray(), strict=True)]
-    return {"comparison": compared, "simulation": simulate(models, data),
-            "importance": spark.createDataFrame(rows, "feature string, importance double"), "closest": closest(models, best, profile, point)}

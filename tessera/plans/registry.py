@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("tessera.plans.panel_queries", "tessera.plans.text_queries",
-            "tessera.plans.entity_queries", "tessera.plans.vector_queries",
+            "tessera.plans.entity_queries", "tessera.plans.matching_queries", "tessera.plans.vector_queries",
             "tessera.plans.contract_queries", "tessera.plans.rule_queries",
             "tessera.plans.ml_queries")
 

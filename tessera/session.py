@@ -81,17 +81,20 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-#: Partitions of a training frame, whatever the cluster: tree learners seed their
-#: draws by partition, so this is part of the model.
-FIT_PARTITIONS = 16
+#: Rows of a training frame to a partition.  The count follows from the data alone,
+#: whatever the cluster: tree learners seed their draws by partition, so it is part
+#: of the model.  A frame of a few thousand rows is one task of each step.
+FIT_ROWS = 50_000
 #: Memory (MB) in which tree learners group nodes of a level; it decides which nodes
 #: draw their features together, so it is part of the model, not of the machine.
 TREE_AGGREGATION_MB = 512
 
 
-def for_fitting(df, *key: str, partitions: int = FIT_PARTITIONS):
-    """Persist a training frame dealt over a fixed number of partitions by its
-    key and sorted by it, so that a seed gives the same model on any cluster."""
+def for_fitting(df, *key: str, partitions: int | None = None):
+    """Persist a training frame dealt over a number of partitions that its rows
+    give, by its key and sorted by it, so that a seed gives the same model on any
+    cluster.  ``df`` is counted, so it should be cheap to read twice."""
+    partitions = partitions or -(-max(df.count(), 1) // FIT_ROWS)
     out = df.repartition(partitions, *key).sortWithinPartitions(*key).persist()
     if _SCOPES:
         _SCOPES[-1].append(out)
@@ -108,6 +111,17 @@ def tracked(df):
     return df
 
 
+def side_by_side(tasks: dict):
+    """Results of some functions of no arguments, run at the same time: fits of
+    small frames wait for the scheduler, not for the data."""
+    from pyspark import inheritable_thread_target
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max(len(tasks), 1)) as pool:
+        started = {name: pool.submit(inheritable_thread_target(f)) for name, f in tasks.items()}
+        return {name: f.result() for name, f in started.items()}
+
+
 class fitting_scope:
     """Unpersist every frame cached by ``for_fitting`` inside the block.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,12 +20,65 @@ REVIEW_REQUIRED = ("review_text",)
 REVIEW_DEFAULTS = {"category": "General", "rating": 3, "helpful_votes": 0}
 
 
+#: How CSV is read and written: fields in double quotes may hold commas, line ends
+#: and doubled quotes; an empty field is null, an empty text is ``""``.
+CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: What the reader puts for an empty field, to tell it from an empty text.
+_EMPTY_FIELD = "\x00"
+_READ = {**CSV, "emptyValue": "", "nullValue": _EMPTY_FIELD, "multiLine": True, "enforceSchema": False}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """IO1: CSV with a header; a declared schema avoids an inference pass."""
-    reader = spark.read.option("header", True)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).csv(path)
+    """IO1: CSV with a header, quoted fields over several lines included.
+
+    Columns of a declared schema are found by header name, in any order and
+    case, and cast; a cell that cannot be cast is null, and a column that the
+    header lacks is null throughout (``require`` tells).  Without a schema the
+    types are inferred.  Texts are read as text first, so no inference pass is
+    made for a declared schema.
+    """
+    reader = spark.read.options(**_READ)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    texts = reader.csv(path)
+    place = {normalise_header(c, spaces=False): c for c in reversed(texts.columns)}
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return texts.select(*[_cell(place.get(normalise_header(f.name, spaces=False)), f) for f in fields])
+
+
+def _cell(column: str | None, field) -> Column:
+    if column is None:
+        return F.lit(None).cast(field.dataType).alias(field.name)
+    text = F.col(f"`{column}`")
+    return (text if field.dataType.typeName() == "string" else F.trim(text).try_cast(field.dataType)).alias(field.name)
+
+
+def read_csv_rejects(spark: SparkSession, path: str, schema: StructType | str, required=()) -> tuple[DataFrame, DataFrame]:
+    """IO1 + IO4: the rows that fit a declared schema, and those set aside as
+    (file, row_text, reason).
+
+    A row is set aside if a ``required`` cell is null or empty, or if a cell
+    has text that its type cannot hold; the reason names the columns in the
+    order of the schema.  Header names are matched as in ``read_csv``; a file
+    whose header lacks a required column has all of its rows set aside.
+    """
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    texts = spark.read.options(**_READ).csv(path)
+    place = {normalise_header(c, spaces=False): c for c in reversed(texts.columns)}
+    cells = {f.name: _cell(place.get(normalise_header(f.name, spaces=False)), f) for f in fields}
+    wrong = []
+    for f in fields:
+        own = place.get(normalise_header(f.name, spaces=False))
+        given = F.trim(F.coalesce(F.col(f"`{own}`"), F.lit(""))) if own else F.lit("")
+        if f.name in required:
+            wrong.append(F.when(given == "", F.lit(f"{f.name} missing")))
+        if own and f.dataType.typeName() != "string":
+            wrong.append(F.when((given != "") & cells[f.name].isNull(), F.lit(f"{f.name} is no {f.dataType.simpleString()}")))
+    reason = F.concat_ws(", ", *wrong) if wrong else F.lit("")
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in texts.columns]))
+    rows = texts.select(*cells.values(), reason.alias("_reason"), F.input_file_name().alias("_file"), whole.alias("_row"))
+    good = rows.where(F.col("_reason") == "").select(*[f.name for f in fields])
+    return good, rows.where(F.col("_reason") != "").select(F.col("_file").alias("file"), F.col("_row").alias("row_text"), F.col("_reason").alias("reason"))
 
 
 def normalise_header(name: str, spaces: bool = True) -> str:

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import evenly_spaced_sample
+from tessera.sources.contracts import CSV
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """IO6: CSV with a header row, no index column."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """IO6: CSV with a header row, no index column.  ``read_csv`` gives the same
+    rows back: quotes are doubled, a null is an empty field and an empty text ``""``."""
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def summary_frame(monthly: DataFrame, comparison: DataFrame, best_model,

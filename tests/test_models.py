@@ -73,14 +73,13 @@ def test_forecast_refuses_tiny_selection(spark):
 
 
 def test_forecast_flow_feeds_every_report(spark, monkeypatch):
-    """The real flow (fewer trees and rounds): one fit, and the reports agree with its predictions."""
+    """The real flow (fewer trees and rounds): the reports agree with its predictions, and each fits only the models it reads."""
     import json
 
     from tessera.plans import forecast, ml_queries
     fit = forecast.fit_and_score
     calls = []
-    monkeypatch.setattr(forecast, "fit_and_score", lambda f: calls.append(1) or fit(f, trees=5, gbt_iters=3))
-    monkeypatch.setattr(ml_queries, "_FLOWS", {})
+    monkeypatch.setattr(forecast, "fit_and_score", lambda f, wanted: calls.append(wanted) or fit(f, trees=5, gbt_iters=3, wanted=wanted))
     compared = {r.model: r for r in ml_queries.q_forecast_model_comparison(spark, SF_SMALL).collect()}
     best = next(m for m, r in compared.items() if r.best_mape)
     preds = [r for r in ml_queries._forecast(spark, SF_SMALL)["preds"].collect() if r.model == best]
@@ -94,14 +93,13 @@ def test_forecast_flow_feeds_every_report(spark, monkeypatch):
     assert summary["best_model"] == best and len(summary["pred_vs_actual"]) == min(30, len(preds)) and summary["monthly_sales"]
     exported = ml_queries.q_forecast_export(spark, SF_SMALL).collect()
     assert sorted((r.date, r.store, r.product) for r in exported) == sorted((r.date, r.store, r.product) for r in preds)
-    assert len(ml_queries.q_forecast_feature_importance(spark, SF_SMALL).collect()) == 12 and len(calls) == 1
+    assert len(ml_queries.q_forecast_feature_importance(spark, SF_SMALL).collect()) == 12 and calls[-1] == ("Random Forest",)
 
 
 def test_rank_flow(spark, monkeypatch):
     from tessera.plans import entity_queries, ml_queries, ranking
-    for name, value in (("RF_TREES", 5), ("GBT_ITERS", 3), ("MLP_MAX_ITER", 30)):
+    for name, value in (("RF_TREES", 5), ("GBT_ITERS", 3), ("MLP_STEPS", 5)):
         monkeypatch.setattr(ranking, name, value)
-    monkeypatch.setattr(ml_queries, "_FLOWS", {})
     assert {r.model for r in ml_queries.q_rank_model_comparison(spark, SF_SMALL).collect()} == set(ranking.MODEL_ORDER)
     simulated = ml_queries.q_rank_simulation(spark, SF_SMALL).collect()
     assert len(simulated) == entity_queries.profile(spark, SF_SMALL).count()
@@ -109,15 +107,42 @@ def test_rank_flow(spark, monkeypatch):
     assert len(close) == 5 and all(abs(abs(r.hec_rank - r.predicted_rank) - r.rank_diff) < 1e-6 for r in close)
 
 
-def test_perceptron_ranks_are_continuous_and_beat_the_mean(spark):
-    from pyspark.ml.feature import VectorAssembler
-
-    from tessera.operators import entities as E
-    from tessera.plans import ranking
-    df = spark.range(600).selectExpr("id", *[f"(id % {601 - 7 * i}) / 300.0 - 1 AS {f}" for i, f in enumerate(E.FEATURES)], "CAST(id AS DOUBLE) AS label")
-    data = VectorAssembler(inputCols=list(E.FEATURES), outputCol="features").transform(df).repartition(4, "id").cache()
-    model, centres = ranking._mlp_rank_model(data)
-    out = ranking._mlp_predict(model, centres, data, "p").select("label", "p").collect()
-    mean = sum(r.label for r in out) / len(out)
-    assert sum((r.label - r.p) ** 2 for r in out) < 0.5 * sum((r.label - mean) ** 2 for r in out)
-    assert len({round(r.p, 3) for r in out}) > 100
+@pytest.fixture(scope="module")
+def curved(spark):
+    """Labels that no linear model fits, and some rows that take no part."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = 10 + 5 * np.abs(x[:, 0]) - 3 * x[:, 1] * (x[:, 2] > 0)
+    rows = [(i, [float(v) for v in a], float(t)) for i, (a, t) in enumerate(zip(x, y, strict=True))]
+    rows += [(900, None, 1.0), (901, [0.0, 0.0, 0.0], None)]
+    return spark.createDataFrame(rows, "id long, x array<double>, y double").cache()
+
+
+def test_perceptron_beats_the_mean_and_is_the_same_however_it_is_dealt(curved):
+    from tessera.operators import perceptron
+
+    out = []
+    for parts in (1, 16):
+        data = curved.repartition(parts, "id").sortWithinPartitions("id").cache()
+        model = perceptron.fit(data, "x", "y", hidden=(16, 8), steps=25)
+        assert all(b <= a for a, b in zip(model.losses, model.losses[1:], strict=False))
+        out.append({r.id: (r.y, r.p) for r in data.select("id", "y", model.predict(F.col("x")).alias("p")).collect()})
+    assert out[0].pop(900)[1] is None and out[1].pop(900)[1] is None and out[0].pop(901)[1] is not None and out[1].pop(901)
+    y, one, many = (np.array(v) for v in ([out[0][i][0] for i in range(400)], [out[0][i][1] for i in range(400)], [out[1][i][1] for i in range(400)]))
+    assert ((y - one) ** 2).mean() < 0.2 * y.var()
+    assert np.abs(one - many).max() < 1e-3
+
+
+def test_perceptron_gradient_is_that_of_the_loss():
+    from tessera.operators.perceptron import loss_gradient
+
+    rng = np.random.default_rng(1)
+    x, y, sizes = rng.normal(size=(20, 3)), rng.normal(size=20), (3, 4, 2, 1)
+    w = rng.normal(size=3 * 4 + 4 + 4 * 2 + 2 + 2 + 1)
+    exact = loss_gradient(x, y, w, sizes)
+    for k in range(len(w)):
+        e = np.zeros(len(w))
+        e[k] = 1e-6
+        slope = (loss_gradient(x, y, w + e, sizes)[-2] - loss_gradient(x, y, w - e, sizes)[-2]) / 2e-6
+        assert abs(slope - exact[k]) < 1e-5
+    assert exact[-1] == 20
