@@ -41,17 +41,15 @@ def repeated_words(words: Column) -> Column:
     windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(hashes: Column) -> Column:
-        # hash and position share a long: as many low bits as the position needs
-        bits = F.ceil(F.log2(n.cast("double"))).cast("int")
-        keyed = F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))))
+        keyed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def places(k: Column) -> Column:
             def group(j: Column) -> Column:
-                return F.call_function("shiftright", F.get(k, j), bits)
+                return F.get(k, j)["h"]
 
             twin = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda j: (group(j) == group(j + 1)).eqNullSafe(F.lit(True))
                             | ((j > 0) & (group(j) == group(j - 1))))
-            return F.sort_array(F.transform(twin, lambda j: F.get(k, j).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)))
+            return F.sort_array(F.transform(twin, lambda j: F.get(k, j)["i"].cast("long")))
 
         zero = F.lit(0).cast("long")
         union = F.aggregate(let(keyed, places), F.struct((zero - 3).alias("last"), zero.alias("n")), lambda s, p: F.struct(
