@@ -300,7 +300,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = Non
     has ratio 0.  Rows with a null id are scored too; ids that are labelled
     twice count as toxic if one label says so; repeated rows are scored alike.
     With labels of one class or none every text gets the same score.  Extra
-    columns pass through.
+    columns pass through; the score takes a longer name where they have its.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     clean = stored(_clean_labels(labels).where(training_fold(F.col("doc_id"))))
@@ -316,6 +316,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = Non
     ratio = own_name(docs, "ratio")
     keep = docs.columns if keep is None else keep
     scored = _with_ratio(docs, keep, ratio, word_rows, pair_rows, sent)
+    score_col = own_name(docs.select(*[F.col(f"`{c}`") for c in keep]), score_col)
     return scored.withColumn(score_col, 1 / (1 + F.exp(-(F.lit(slope / scale) * F.col(ratio) + F.lit(offset))))).drop(ratio)
 
 
