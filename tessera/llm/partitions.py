@@ -24,6 +24,8 @@ FIT_VECTORS = 4096
 #: Distinct vectors to a part, on average, while the sample holds enough rows of each part.
 PART_VECTORS, PART_SAMPLE = 4096, 32
 #: Share of a held-out sample's true neighbours that the probed parts must hold.
+#: Share of the sample's vectors that count as unlike the rest.
+UNLIKE = 0.02
 AIM = 0.97
 _NEIGHBOURS, _SLACK, _HIDDEN, _EPOCHS = 10, 1.1, 128, 25
 #: Rows of a part and queries to it that meet in one task; larger parts are cut into pieces.
@@ -123,10 +125,12 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, rng: np.random.Generator)
 
 @dataclass
 class Router:
-    """Classifier and the probability that the probed parts must add up to."""
+    """Classifier, the probability that the probed parts must add up to, and
+    the cosine to the k-th nearest below which a vector is unlike the sample."""
 
     classifier: Classifier | None
     mass: float
+    usual: float
 
     def best(self, x: np.ndarray) -> np.ndarray:
         """The most probable part of each vector."""
@@ -151,16 +155,16 @@ def masses(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(ranked, axis=1) - ranked, order
 
 
-def fit(x: np.ndarray, parts: int, seed: int = 5) -> Router:
+def fit(x: np.ndarray, parts: int, k: int = 5, seed: int = 5) -> Router:
     """Router of a sample of unit vectors.
 
     Four fifths give the graph, its parts and the classifier; a row's target is
     the share of its neighbourhood, itself included, that lies in each part.
     The rest are queries that tell how much probability must be probed so that
-    the parts hold a share AIM of their five nearest.
+    the parts hold a share AIM of their k nearest, and how near these usually are.
     """
     if parts < 2 or len(x) < 2 * parts:
-        return Router(None, 1.0)
+        return Router(None, 1.0, -2.0)
     rng = np.random.default_rng(seed)
     asked = np.arange(len(x)) % 5 == 0
     own = x[~asked]
@@ -170,12 +174,14 @@ def fit(x: np.ndarray, parts: int, seed: int = 5) -> Router:
     np.add.at(target, (np.arange(len(own)), label), 1.0 + graph.shape[1] / 2)
     np.add.at(target, (np.repeat(np.arange(len(own)), graph.shape[1]), label[graph].ravel()), 1.0)
     model = fit_classifier(own, target / target.sum(axis=1, keepdims=True), rng)
-    near = np.argsort(-(x[asked] @ own.T), axis=1)[:, :5]
+    score = x[asked] @ own.T
+    near = np.argsort(-score, axis=1)[:, :k]
     before, order = masses(model.odds(x[asked]))
     home = model.odds(own).argmax(axis=1)[near]
     rank = np.argsort(order, axis=1)
     needed = np.sort(np.take_along_axis(before, np.take_along_axis(rank, home, axis=1), axis=1).ravel())
-    return Router(model, float(np.nextafter(needed[min(len(needed) - 1, int(AIM * len(needed)))], 2.0)))
+    usual = np.sort(np.take_along_axis(score, near[:, -1:], axis=1).ravel())
+    return Router(model, float(np.nextafter(needed[min(len(needed) - 1, int(AIM * len(needed)))], 2.0)), float(usual[int(UNLIKE * len(usual))]))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -221,11 +227,24 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vec, lambda v: v != 0)
 
 
+def one_vector_an_id(rows: DataFrame) -> DataFrame:
+    """Rows (id, vec, asked, h, g), without repeats; of an id's several vectors the smallest by hash stays."""
+    spread = rows.groupBy("id").agg(F.min(F.struct("h", "g")).alias("one"), F.max(F.struct("h", "g")).alias("other")).where("one <> other")
+    several = stored(spread.select(F.col("id").alias("several"), "one"))
+    if not several.isEmpty():
+        rows = rows.join(several, F.col("id") == F.col("several"), "left").where("several is null or struct(h, g) = one").drop("several", "one")
+    return rows
+
+
 def nearest(vectors: DataFrame, asked: Column, *, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of every row that
     ``asked`` is true for, by cosine in double precision, nearest first, ties to
     the smaller id; all others if there are fewer.
 
+    A query probes the parts that the classifier finds likely.  Where these
+    hold fewer than k others, or the k-th found is farther than nearly all of
+    the sample's, it is unlike the sample and meets all parts.
+
     Equal vectors form a class with its k + 1 smallest ids, so copies are never
     compared with one another, and a vector that a third of the rows share is
     one candidate.  Classes are indexed under one part each and cut into pieces
@@ -233,7 +252,8 @@ def nearest(vectors: DataFrame, asked: Column, *, k: int = 5, id_col: str = "vec
 
     Vectors that are null, zero or hold null or non-finite components take no
     part, nor do rows without an id or vectors of another length than the most
-    frequent one.  A query's own id is never its neighbour.  Extra columns are
+    frequent one.  A query's own id is never its neighbour.  Of an id's several
+    vectors the smallest by hash takes part; repeated rows count once.  Extra columns are
     ignored.  The classifier is fitted on FIT_VECTORS distinct vectors at most,
     the first ones by hash.
     """
@@ -242,7 +262,8 @@ def nearest(vectors: DataFrame, asked: Column, *, k: int = 5, id_col: str = "vec
         .where(F.col("id").isNotNull() & usable(F.col("vec")))
     width = rows.groupBy(F.size("vec").alias("w")).count().orderBy(F.col("count").desc(), F.col("w").desc()).first()
     rows = rows.where(F.size("vec") == (width["w"] if width else 0)).withColumn("h", F.xxhash64("vec")).withColumn("g", F.xxhash64(F.lit(1), "vec"))
-    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("rn") <= k + 1)
+    rows = one_vector_an_id(rows)
+    first = rows.dropDuplicates(["h", "g", "id"]).withColumn("rn", F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))).where(F.col("rn") <= k + 1)
     marks = rows.where("asked").groupBy("h", "g").agg(F.min("id").alias("q"))
     classes = first.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec")) \
         .join(marks, ["h", "g"], "left")
@@ -252,23 +273,35 @@ def nearest(vectors: DataFrame, asked: Column, *, k: int = 5, id_col: str = "vec
     sample = classes.orderBy("h", "g").limit(FIT_VECTORS).select("vec").toArrow()
     x = _unit(_vectors(sample.column("vec")))
     parts = max(1, min(max(16, total // PART_VECTORS), len(x) // PART_SAMPLE))
-    sent = spark.sparkContext.broadcast(fit(x, parts))
+    sent = spark.sparkContext.broadcast(router := fit(x, parts, k))
     schema = "cid long, first_id long, vec array<double>, part int"
     slim = classes.select("cid", "first_id", "vec")
     there = stored(slim.mapInArrow(partial(_index, sent=sent, probe=False), schema))
     wanted = stored(classes.where("asked").select("cid", "first_id", "vec").mapInArrow(partial(_index, sent=sent, probe=True), schema))
 
-    # pieces of large parts, and of many queries to one part; at most one row a part
-    sizes = there.groupBy("part").agg(F.ceil(F.count("*") / PIECE_ROWS).alias("pieces")) \
-        .join(wanted.groupBy("part").agg(F.ceil(F.count("*") / PIECE_QUERIES).alias("shifts")), "part")
-    sizes = F.broadcast(stored(sizes))
-    here = there.join(sizes, "part").select("cid", "first_id", "vec", "part", F.pmod(F.xxhash64("cid"), "pieces").alias("piece"),
-                                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("shifts") - 1)).alias("shift"))
-    asks = wanted.join(sizes, "part").select("cid", "first_id", "vec", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
-                                             F.pmod(F.xxhash64("cid"), "shifts").alias("shift"))
-    keys = ("part", "piece", "shift")
-    found = asks.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k=k), "query long, cid long, first_id long, score double")
-    best = found.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "first_id"))).where(F.col("rn") <= k)
+    held = stored(there.groupBy("part").agg(F.ceil(F.count("*") / PIECE_ROWS).alias("pieces")))  # at most one row a part
+
+    def searched(wanted: DataFrame) -> DataFrame:
+        """(query, cid, first_id, score, rn) of the k nearest classes in the parts that each query wants."""
+        # pieces of large parts, and of many queries to one part
+        sizes = F.broadcast(stored(held.join(wanted.groupBy("part").agg(F.ceil(F.count("*") / PIECE_QUERIES).alias("shifts")), "part")))
+        here = there.join(sizes, "part").select("cid", "first_id", "vec", "part", F.pmod(F.xxhash64("cid"), "pieces").alias("piece"),
+                                                F.explode(F.sequence(F.lit(0).cast("long"), F.col("shifts") - 1)).alias("shift"))
+        asks = wanted.join(sizes, "part").select("cid", "first_id", "vec", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
+                                                 F.pmod(F.xxhash64("cid"), "shifts").alias("shift"))
+        keys = ("part", "piece", "shift")
+        found = asks.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b, k=k), "query long, cid long, first_id long, score double")
+        return found.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "first_id"))).where(F.col("rn") <= k)
+
+    best = stored(searched(wanted))
+    if router.classifier is not None:
+        last = best.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("score"))
+        asking = classes.where("asked").select("cid", "first_id", "vec")
+        unlike = asking.join(last, F.col("cid") == F.col("query"), "left").where(F.col("n").isNull() | (F.col("n") < k) | (F.col("score") < router.usual))
+        unlike = stored(unlike.select("cid", "first_id", "vec"))
+        if not unlike.isEmpty():
+            everywhere = unlike.select("cid", "first_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+            best = best.join(unlike.select(F.col("cid").alias("query")), "query", "left_anti").select(*best.columns).unionByName(searched(everywhere))
 
     # the class's own copies count as neighbours too
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))

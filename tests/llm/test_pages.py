@@ -193,3 +193,25 @@ def test_parts_are_balanced():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     sizes = np.bincount(balanced_parts(x, neighbour_graph(x, 8), 7, rng), minlength=7)
     assert sizes.sum() == 600 and sizes.max() <= np.ceil(1.1 * 600 / 7) and sizes.min() > 0
+
+
+def test_outliers_repeated_rows_and_ids_with_two_vectors(spark):
+    """A dense cluster with scattered outliers: every query has its five, and nearly all of them are the nearest."""
+    from tessera.llm.partitions import nearest
+
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.ones(8) + rng.normal(scale=0.05, size=8)).tolist()) for i in range(3000)]
+    rows += [(50 * (100 + i), (rng.normal(size=8) * 3).tolist()) for i in range(12)]
+    plain = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()]
+    expected = _brute(rows, 5)
+    got = {}
+    for q, _, i in sorted(plain):
+        got.setdefault(q, []).append(i)
+    assert all(len(v) == 5 for v in got.values()) and set(got) == set(expected)
+    far = [q for q in expected if q >= 5000]
+    assert sum(i in got[q] for q in far for i, _ in expected[q]) == 5 * len(far)
+    assert sum(i in got[q] for q in got for i, _ in expected[q]) >= 0.9 * 5 * len(got)
+
+    few = [(0, [1.0] * 8)] * 6 + [(1, [1.0] * 8), (2, [2.0] * 8), (3, [1.0] * 7 + [2.0]), (3, [1.0] * 7 + [9.0]), (4, [-1.0] * 8)]
+    found = nearest(spark.createDataFrame(few, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert sorted(r["rank"] for r in found) == [1, 2, 3, 4] and sorted(r["vec_id"] for r in found) == [1, 2, 3, 4]
