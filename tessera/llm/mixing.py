@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import let
 from tessera.llm.common import WORD_CLASS, n_words_of, own_name, packed, permuted, stored
 from tessera.llm.matrix import communication_matrix
 
@@ -22,6 +23,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 _ROUNDS = 24
 _CHUNK_ROWS = 4096
+#: Slots whose blocks are numbered by one task.
+TASK_SLOTS = 32_768
+#: Sources whose rows are sent to every task; more are joined.
+SENT_SOURCES = 100_000
 
 
 @dataclass
@@ -110,17 +115,41 @@ def slot_blocks(docs: DataFrame, sources: DataFrame, shard_slots: int, seed: int
     matrix = communication_matrix(shards, F.lit(owed or [0]).cast("array<long>"), seed)
     drawn = matrix.select(F.col("id").alias("shard"), F.explode(F.arrays_zip("counts", "offsets", F.sequence(F.lit(0), F.size("counts") - 1).alias("pos"))).alias("d")) \
         .select("shard", F.col("d.counts").alias("n"), F.col("d.offsets").alias("at"), F.col("d.pos").alias("pos")).where("n > 0")
+    # few small rows become all slots: a number of tasks by the slots, which small tasks are not merged out of
+    drawn = drawn.repartition(max(1, -(-total // TASK_SLOTS)), "shard", "pos")
     slots = drawn.select("shard", "pos", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("j"))
-    slots = slots.join(F.broadcast(sources.select("pos", "blocks")), "pos")  # one row per source
+    known = sources.select("pos", "blocks")
+    slots = slots.join(F.broadcast(known) if len(owed) <= SENT_SOURCES else known, "pos")
     epoch = F.floor(F.col("j") / F.col("blocks"))
     return slots.select("shard", "pos", permuted(F.pmod("j", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "pos", epoch), _ROUNDS).alias("block"))
 
 
-def taken(plan: Mix) -> DataFrame:
-    """The stored rows with ``taken``: words that the mix takes of each, repeats counted."""
-    sums = plan.pieces.groupBy("rid").agg(F.sum(F.col("words") * F.col("uses")).alias("words"))
-    rows = packed(plan.rows, rid=F.col(plan.rid)).join(sums, "rid", "left")
-    return rows.select("row.*", F.coalesce("words", F.lit(0).cast("long")).alias(own_name(plan.rows, "taken")))
+def mixed_pieces(plan: Mix, text_col: str = "text") -> DataFrame:
+    """(row, whole, piece, uses): the text of each part of a stored row that
+    the mix takes, how often, and whether it is the whole text.
+
+    A row's parts meet in one list, no longer than its text, so the text is
+    cut into words once and shuffled once.
+    """
+    parts = plan.pieces.groupBy("rid").agg(F.collect_list(F.struct("first", "words", "uses")).alias("parts"))
+    rows = packed(plan.rows, rid=F.col(plan.rid)).join(parts, "rid")
+    text = F.col(f"row.`{text_col}`")
+    runs = F.regexp_extract_all(text, F.lit(rf"({WORD_CLASS}+[\x20\x09-\x0D]*)"), F.lit(1))
+    whole = lambda p: (p["first"] == 0) & (p["words"] == F.col(f"row.`{plan.size}`"))
+    pieces = let(runs, lambda r: F.transform("parts", lambda p: F.struct(
+        whole(p).alias("whole"), p["uses"].alias("uses"),
+        F.when(~whole(p), F.array_join(F.slice(r, (p["first"] + 1).cast("int"), p["words"].cast("int")), "")).alias("piece"))))
+    return rows.select("row", F.explode(pieces).alias("p")).select("row", "p.whole", "p.uses", F.when(F.col("p.whole"), text).otherwise(F.col("p.piece")).alias("piece"))
+
+
+def taken(plan: Mix, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The stored rows (their ``keep`` columns, default: all) with ``taken``:
+    words of the pieces that the mix holds of each, repeats counted."""
+    counted = mixed_pieces(plan, text_col).select(F.col(f"row.`{plan.rid}`").alias("rid"), (n_words_of(F.col("piece")) * F.col("uses")).alias("words"))
+    sums = counted.groupBy("rid").agg(F.sum("words").alias("words"))
+    kept = plan.rows.select(*[F.col(f"`{c}`") for c in (plan.rows.columns if keep is None else keep)])
+    rows = plan.rows.select(F.col(plan.rid).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")).join(sums, "rid", "left")
+    return rows.select("row.*", F.coalesce("words", F.lit(0).cast("long")).alias(own_name(kept, "taken")))
 
 
 def mixed_documents(docs: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars", **params) -> DataFrame:
@@ -128,12 +157,6 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", chars_col: str =
     document, as often as its block is used, with the white space between its
     words as it was; the length column is the piece's."""
     plan = mix(docs, text_col=text_col, **{"block_words": 1024, **params})
-    text = F.col(f"row.`{text_col}`")
-    parts = plan.pieces.select("rid", "first", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))).alias("use"))
-    rows = packed(plan.rows, rid=F.col(plan.rid)).join(parts, "rid")
-    runs = F.regexp_extract_all(text, F.lit(rf"({WORD_CLASS}+[\x20\x09-\x0D]*)"), F.lit(1))
-    piece = F.array_join(F.slice(runs, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "")
-    whole = (F.col("first") == 0) & (F.col("words") == F.col(f"row.`{plan.size}`"))
-    rows = rows.withColumn("piece", F.when(whole, text).otherwise(piece))
+    rows = mixed_pieces(plan, text_col).withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
     return rows.select(*[F.col("piece").alias(c) if c == text_col else F.length("piece").cast(docs.schema[c].dataType).alias(c) if c == chars_col
                          else F.col(f"row.`{c}`") for c in docs.columns])

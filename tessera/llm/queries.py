@@ -40,9 +40,9 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix, taken
 
-    plan = mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id", "source"])
+    plan = mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     sources = plan.sources.select(F.col("source").alias("s"), F.col("total").alias("source_size"), "target")
-    return taken(plan).join(sources, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(plan, keep=["doc_id", "source", plan.size]).join(sources, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

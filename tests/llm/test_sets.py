@@ -192,7 +192,7 @@ def test_mix_meets_targets_and_never_overuses(documents, nothing):
     assert all(abs(got[s] - expected[s]) <= 16 for s in found)
     again = taken(mix(documents.repartition(5), keep=["doc_id", "source", "text"], block_words=16, shard_slots=64)).collect()
     assert Counter((r["doc_id"], r["text"], r["taken"]) for r in again) == Counter((r["doc_id"], r["text"], r["taken"]) for r in rows)
-    assert taken(mix(nothing, keep=["doc_id", "source"])).count() == 0
+    assert taken(mix(nothing, keep=["doc_id", "source", "text"])).count() == 0
 
 
 def test_mixed_documents_are_pieces_of_the_texts(documents):
