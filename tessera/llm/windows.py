@@ -41,7 +41,7 @@ _BLOCK_BYTES = 16 << 20
 SENT_SPANS = 1_000_000
 _COMPARED = 1 << 14
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=5)
 _WINDOW = "doc_id long, copy int, first int, words binary"
 _SPAN = "doc_id long, copy int, first int, last int"
 
@@ -124,7 +124,8 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def block_of(ids: np.ndarray, copies: np.ndarray, places: np.ndarray, words: list[np.ndarray]) -> tuple[int, bytes]:
     """Size and compressed bytes of some super-k-mers."""
     sizes = np.fromiter(map(len, words), np.int32, len(words))
-    raw = b"".join([np.int32(len(ids)).tobytes(), ids.astype(np.int64).tobytes(), copies.astype(np.int32).tobytes(),
+    # ids as differences: those of one task mostly rise
+    raw = b"".join([np.int32(len(ids)).tobytes(), np.diff(ids.astype(np.int64), prepend=np.int64(0)).tobytes(), copies.astype(np.int32).tobytes(),
                     places.astype(np.int32).tobytes(), sizes.tobytes(), *[w.tobytes() for w in words]])
     return len(raw), _ZSTD.compress(raw).to_pybytes()
 
@@ -137,7 +138,7 @@ def super_kmers(size: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
         width = n * np.dtype(kind).itemsize
         out.append(np.frombuffer(raw[at: at + width].tobytes(), kind))
         at += width
-    return (*out, raw[at:])
+    return (np.cumsum(out[0]), *out[1:], raw[at:])
 
 
 def _send(batches: Iterator[pa.RecordBatch], *, window: int, gram: int, frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -246,6 +247,19 @@ def _count(batches: Iterator[pa.RecordBatch], *, window: int) -> Iterator[pa.Rec
         yield counted(held)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, copy, spans) with the overlapping and touching spans of each row made one."""
+    for batch in batches:
+        out = []
+        for row in batch.column(2):
+            first, last = (np.array(row.values.field(k)) for k in (0, 1))
+            order = np.argsort(first, kind="stable")
+            first, reach = first[order], np.maximum.accumulate(last[order])
+            begin = np.flatnonzero(np.append(True, first[1:] > reach[:-1]))
+            out.append([{"first": int(a), "last": int(b)} for a, b in zip(first[begin], reach[np.append(begin[1:], len(first)) - 1], strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(2).type)], names=["doc_id", "copy", "spans"])
+
+
 def _alone(batches: Iterator[pa.RecordBatch], *, window: int, gram: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, copy, text) to (doc_id, copy, first, words) of every window with a frequent minimiser."""
     for batch in batches:
@@ -307,7 +321,8 @@ def covered_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
             .select("words", "least", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         late = alone.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(salts)).cast("int")).join(least, ["words", "salt"]).where("doc_id > least")
         spans = spans.union(late.select("doc_id", "copy", "first", (F.col("first") + window).alias("last")))
-    return spans.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    held = spans.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return held.mapInArrow(_merged, "doc_id long, copy int, spans array<struct<first:int,last:int>>")
 
 
 def text_copy(text: Column) -> Column:
