@@ -60,3 +60,21 @@ def permuted(x: Column, n: Column, seed: Column, rounds: int = 40) -> Column:
             F.pmod(F.xxhash64(seed, i, F.greatest(v, p)), F.lit(2)) == 1, p).otherwise(v))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), swap)
+
+
+def permuted_column(df: DataFrame, x: str, n: str, seed: str, rounds: int) -> DataFrame:
+    """``permuted`` of column ``x`` by the columns ``n`` and ``seed``, in place.
+
+    For very many rows: every round is a projection, so that all of it is
+    generated code, where ``aggregate`` is interpreted for each row and round.
+    Store the rows before filtering or joining by ``x``: a filter pushed
+    through the rounds would be doubled by each.
+    """
+    others = [F.col(f"`{c}`") for c in df.columns if c != x]
+    for i in range(1, rounds + 1):
+        key = [F.col(seed), F.lit(i)]
+        apart = F.pmod(F.xxhash64(*key), F.col(n)) - F.col(x)
+        partner = apart + F.shiftright(apart, 63).bitwiseAND(F.col(n))
+        swap = -F.xxhash64(*key, F.greatest(F.col(x), partner)).bitwiseAND(F.lit(1))  # all bits or none
+        df = df.select(*others, F.col(x).bitwiseXOR(F.col(x).bitwiseXOR(partner).bitwiseAND(swap)).alias(x))
+    return df

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import let
-from tessera.llm.common import WORD_CLASS, n_words_of, own_name, packed, permuted, stored
+from tessera.llm.common import WORD_CLASS, n_words_of, own_name, packed, permuted_column, stored
 from tessera.llm.matrix import communication_matrix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,7 +100,8 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
         .withColumn("to", F.least(F.col("start") + F.col("size"), (block + 1) * block_words)) \
         .select("rid", "pos", "block", (F.col("from") - F.col("start")).alias("first"), (F.col("to") - F.col("from")).alias("words"))
 
-    uses = slot_blocks(docs, sources, shard_slots, seed).groupBy("pos", "block").agg(F.count("*").alias("uses"))
+    # stored: the join's filter on the block would be pushed through the rounds and doubled by each
+    uses = stored(slot_blocks(docs, sources, shard_slots, seed).groupBy("pos", "block").agg(F.count("*").alias("uses")))
     pieces = parts.join(uses, ["pos", "block"]).select("rid", "first", "words", "uses")
     return Mix(rows, sources, pieces, rid, size)
 
@@ -115,13 +116,15 @@ def slot_blocks(docs: DataFrame, sources: DataFrame, shard_slots: int, seed: int
     matrix = communication_matrix(shards, F.lit(owed or [0]).cast("array<long>"), seed)
     drawn = matrix.select(F.col("id").alias("shard"), F.explode(F.arrays_zip("counts", "offsets", F.sequence(F.lit(0), F.size("counts") - 1).alias("pos"))).alias("d")) \
         .select("shard", F.col("d.counts").alias("n"), F.col("d.offsets").alias("at"), F.col("d.pos").alias("pos")).where("n > 0")
-    # few small rows become all slots: a number of tasks by the slots, which small tasks are not merged out of
-    drawn = drawn.repartition(max(1, -(-total // TASK_SLOTS)), "shard", "pos")
-    slots = drawn.select("shard", "pos", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("j"))
-    known = sources.select("pos", "blocks")
-    slots = slots.join(F.broadcast(known) if len(owed) <= SENT_SOURCES else known, "pos")
+    known = sources.select("pos", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    drawn = drawn.join(F.broadcast(known) if len(owed) <= SENT_SOURCES else known, "pos")
+    # few small rows become all slots: a number of tasks by the slots, which small tasks are not merged out of;
+    # stored, since the draws' expressions would be planned again for every round
+    drawn = stored(drawn).repartition(max(1, -(-total // TASK_SLOTS)), "shard", "pos")
+    slots = drawn.select("shard", "pos", "blocks", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("j"))
     epoch = F.floor(F.col("j") / F.col("blocks"))
-    return slots.select("shard", "pos", permuted(F.pmod("j", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "pos", epoch), _ROUNDS).alias("block"))
+    keyed = slots.select("shard", "pos", "blocks", F.pmod("j", "blocks").alias("block"), F.xxhash64(F.lit(seed), "pos", epoch).alias("key"))
+    return permuted_column(keyed, "block", "blocks", "key", _ROUNDS).select("shard", "pos", "block")
 
 
 def mixed_pieces(plan: Mix, text_col: str = "text") -> DataFrame:

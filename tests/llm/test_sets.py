@@ -158,6 +158,16 @@ def test_permutation_is_one(spark):
         assert n < 1000 or sum(a == b for a, b in enumerate(out)) < 20
 
 
+def test_permutation_of_a_column_is_the_same_one(spark):
+    from tessera.llm.common import permuted, permuted_column
+
+    rows = spark.range(1, 60).selectExpr("id AS n", "id % 3 AS Partner", "explode(sequence(0L, id - 1)) AS x")
+    both = rows.withColumn("seed", F.xxhash64("Partner")).withColumn("want", permuted(F.col("x"), F.col("n"), F.col("seed"), 24))
+    found = permuted_column(both, "x", "n", "seed", 24)
+    assert sorted(found.columns) == sorted(both.columns)
+    assert found.agg(F.sum((F.col("x") == F.col("want")).cast("int"))).first()[0] == rows.count()
+
+
 def _targets(sizes, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
