@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,19 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns(names: Iterable[str], of: str = "") -> list[Column]:
+    """The columns (or fields of the struct ``of``) of these names, dots and back quotes in them included."""
+    return [F.col((of and of + ".") + "`" + c.replace("`", "``") + "`") for c in names]
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """The same columns under plain names: mapInArrow looks its columns up by names that it reads as paths."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def packed(df: DataFrame, **more: Column) -> DataFrame:
     """All columns of ``df`` as one struct ``row`` beside ``more``, so that none of their names can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+    return df.select(F.struct(*columns(df.columns)).alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
 def words_of(text: Column) -> Column:
@@ -70,7 +82,7 @@ def permuted_column(df: DataFrame, x: str, n: str, seed: str, rounds: int) -> Da
     Store the rows before filtering or joining by ``x``: a filter pushed
     through the rounds would be doubled by each.
     """
-    others = [F.col(f"`{c}`") for c in df.columns if c != x]
+    others = columns(c for c in df.columns if c != x)
     for i in range(1, rounds + 1):
         key = [F.col(seed), F.lit(i)]
         apart = F.pmod(F.xxhash64(*key), F.col(n)) - F.col(x)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import own_name, stored
+from tessera.llm.common import columns, own_name, plain, stored
 from tessera.llm.urls import host_of
 
 #: A class must be seen on so many pages of a host, and hold so many tokens.
@@ -309,8 +309,8 @@ def extracted(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     plans = plans.select(F.col("host").alias("plan_of_host"), F.col("roots").alias("plan_roots"), F.col("texts").alias("plan_texts"))
     names = {c: own_name(pages, c) for c in plans.columns}
     plans = plans.select(*[F.col(c).alias(n) for c, n in names.items()])
-    rows = pages.select(*keep, host_of(F.col(url_col)).alias(host), body.alias(html))
+    rows = pages.select(*columns(keep), host_of(F.col(url_col)).alias(host), body.alias(html))
     joined = rows.join(F.broadcast(plans) if size <= SENT_ROWS else plans, F.col(host) == F.col(names["plan_of_host"]), "left")
-    joined = joined.select(*keep, names["plan_roots"], names["plan_texts"], html)
-    schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField(own_name(pages.select(*keep), text_col), T.StringType())])
-    return joined.mapInArrow(partial(_extract, names=schema.names), schema)
+    joined = joined.select(*columns(keep), names["plan_roots"], names["plan_texts"], html)
+    schema = T.StructType([*pages.select(*columns(keep)).schema.fields, T.StructField(own_name(pages.select(*columns(keep)), text_col), T.StringType())])
+    return plain(joined).mapInArrow(partial(_extract, names=schema.names), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import wordhash as W
-from tessera.llm.common import own_name, packed, stored
+from tessera.llm.common import columns, own_name, packed, plain, stored
 
 # Phrases with their labels, and license notices with theirs.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -115,11 +115,11 @@ def scanned(docs: DataFrame, *, keep: list[str], text_col: str = "text", k: int
     """Stored ``keep`` columns with rid, n_words, n_base, first_word, last_word,
     base_labels, spots and runs; and the name of the row number column."""
     rid, text = own_name(docs, "rid"), own_name(docs, "scanned_text")
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias(rid), F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    rows = docs.select(*columns(keep), F.monotonically_increasing_id().alias(rid), F.coalesce(F.col(text_col), F.lit("")).alias(text))
     kinds = (("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()),
              ("base_labels", T.ArrayType(T.StringType())), ("spots", T.ArrayType(T.LongType())), ("runs", T.ArrayType(T.LongType())))
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(own_name(docs, n), t) for n, t in kinds]])
-    return stored(rows.mapInArrow(partial(_scan, k=k, names=schema.names), schema)), rid
+    return stored(plain(rows).mapInArrow(partial(_scan, k=k, names=schema.names), schema)), rid
 
 
 def license_spans(scan: DataFrame, rid: str, spots: str = "spots", runs: str = "runs", *, k: int = WORDS_IN_RUN) -> DataFrame:
@@ -165,6 +165,6 @@ def licenses(docs: DataFrame, *, keep: list[str] | None = None, text_col: str =
     out = packed(scan, rid=F.col(rid)).join(spans, "rid", "left")
     base, none = F.col(f"row.{name['base_labels']}"), F.array().cast("array<string>")
     every = F.array_sort(F.array_distinct(F.concat(base, F.coalesce("found", none))))
-    return out.select(*[F.col(f"row.`{c}`") for c in (*keep, *[name[n] for n in ("n_words", "n_base", "first_word", "last_word")])],
+    return out.select(*columns((*keep, *[name[n] for n in ("n_words", "n_base", "first_word", "last_word")]), "row"),
                       F.array_join(base, ",").alias(name["base_labels"]), F.array_join(every, ",").alias(own_name(docs, "labels")),
                       F.when(F.col(f"row.{name['n_base']}") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias(own_name(docs, "score")))

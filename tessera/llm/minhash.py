@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import wordhash as W
-from tessera.llm.common import SPACE, own_name, stored
+from tessera.llm.common import SPACE, columns, own_name, stored
 from tessera.llm.components import connected_components
 
 _STEP_SHINGLES = 2048
@@ -278,5 +278,5 @@ def deduplicated(docs: DataFrame, **params) -> DataFrame:
     blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE)) == ""
     keyed = docs.where(~blank).withColumn(t, text_key(F.col(text)))
     found = keyed.join(keep, [t]).where(F.col(ident).cast("long").eqNullSafe(F.col(i)))
-    one = found.dropDuplicates([t]).select(*docs.columns)
+    one = found.dropDuplicates([t]).select(*columns(docs.columns))
     return one.union(docs.where(blank))

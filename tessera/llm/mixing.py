@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import let
-from tessera.llm.common import WORD_CLASS, n_words_of, own_name, packed, permuted_column, stored
+from tessera.llm.common import WORD_CLASS, columns, n_words_of, own_name, packed, permuted_column, stored
 from tessera.llm.matrix import communication_matrix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
     rid, size = own_name(docs, "rid"), own_name(docs, "size")
     keep = docs.columns if keep is None else keep
     text_hash = own_name(docs, "text_hash")
-    rows = stored(docs.select(*keep, n_words_of(F.col(text_col)).alias(size), F.monotonically_increasing_id().alias(rid),
+    rows = stored(docs.select(*columns(keep), n_words_of(F.col(text_col)).alias(size), F.monotonically_increasing_id().alias(rid),
                               F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(text_hash)))
     slim = rows.select(F.col(rid).alias("rid"), F.col(id_col).cast("string").alias("ident"), F.col(source_col).cast("string").alias("source"),
                        F.col(size).alias("size"), F.col(text_hash).alias("hash"))
@@ -150,8 +150,8 @@ def taken(plan: Mix, text_col: str = "text", keep: list[str] | None = None) -> D
     words of the pieces that the mix holds of each, repeats counted."""
     counted = mixed_pieces(plan, text_col).select(F.col(f"row.`{plan.rid}`").alias("rid"), (n_words_of(F.col("piece")) * F.col("uses")).alias("words"))
     sums = counted.groupBy("rid").agg(F.sum("words").alias("words"))
-    kept = plan.rows.select(*[F.col(f"`{c}`") for c in (plan.rows.columns if keep is None else keep)])
-    rows = plan.rows.select(F.col(plan.rid).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")).join(sums, "rid", "left")
+    kept = plan.rows.select(*columns(plan.rows.columns if keep is None else keep))
+    rows = plan.rows.select(F.col(plan.rid).alias("rid"), F.struct(*columns(kept.columns)).alias("row")).join(sums, "rid", "left")
     return rows.select("row.*", F.coalesce("words", F.lit(0).cast("long")).alias(own_name(kept, "taken")))
 
 
@@ -162,4 +162,4 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", chars_col: str =
     plan = mix(docs, text_col=text_col, **{"block_words": 1024, **params})
     rows = mixed_pieces(plan, text_col).withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
     return rows.select(*[F.col("piece").alias(c) if c == text_col else F.length("piece").cast(docs.schema[c].dataType).alias(c) if c == chars_col
-                         else F.col(f"row.`{c}`") for c in docs.columns])
+                         else columns([c], "row")[0] for c in docs.columns])

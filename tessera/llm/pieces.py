@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import wordhash as W
-from tessera.llm.common import own_name
+from tessera.llm.common import columns, own_name, plain
 
 #: Path prefixes of lower log-probability hold less mass than a double resolves.
 _NEGLIGIBLE = -40.0
@@ -401,10 +401,10 @@ def encoded(docs: DataFrame, model_path: str, *, samples: int = 2, sharpness: fl
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     fields = (("sample", T.IntegerType()), ("n_pieces", T.IntegerType()), ("piece_ids", T.ArrayType(T.IntegerType())), ("log_prob", T.DoubleType()),
               ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("round_trip", T.BooleanType()))
-    rows = docs.select(*keep, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias(own_name(docs, "row_key")),
+    rows = docs.select(*columns(keep), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias(own_name(docs, "row_key")),
                        F.coalesce(F.col(text_col), F.lit("")).alias(own_name(docs, "whole_text")))
-    schema = T.StructType([*docs.select(*keep).schema.fields, *[T.StructField(own_name(docs, n), t) for n, t in fields]])
-    return rows.mapInArrow(partial(_encode, path=model_path, sharpness=sharpness, samples=samples, names=schema.names), schema)
+    schema = T.StructType([*docs.select(*columns(keep)).schema.fields, *[T.StructField(own_name(docs, n), t) for n, t in fields]])
+    return plain(rows).mapInArrow(partial(_encode, path=model_path, sharpness=sharpness, samples=samples, names=schema.names), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], *, path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -418,4 +418,4 @@ def decoded(rows: DataFrame, model_path: str, *, ids_col: str = "piece_ids", tex
     """``rows`` with the texts of their piece ids; a null list gives a null text."""
     name, ids = own_name(rows, text_col), own_name(rows, "ids")
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
-    return rows.withColumn(ids, F.col(ids_col)).mapInArrow(partial(_decode, path=model_path, names=schema.names), schema)
+    return rows.withColumn(ids, F.col(ids_col)).transform(plain).mapInArrow(partial(_decode, path=model_path, names=schema.names), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import let
-from tessera.llm.common import SPACE, own_name, stored, words_of
+from tessera.llm.common import SPACE, columns, own_name, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Name, condition of a bad vote, condition of a good vote; else the rule abstains.
@@ -84,7 +84,7 @@ def with_measures(docs: DataFrame, text_col: str, names: dict[str, str]) -> Data
     at = own_name(docs, "measured")
     where = {"n_words": "w.n_words", "n_repeat_words": "w.n_repeat_words", "n_lines": "l.n_lines", "n_dup_lines": "l.n_dup_lines", "n_ended": "l.n_ended"}
     found = docs.withColumn(at, measured(docs, text_col))
-    return found.select(*docs.columns, *[F.col(f"{at}.{where.get(m, m)}").alias(names[m]) for m in MEASURES])
+    return found.select(*columns(docs.columns), *[F.col(f"{at}.{where.get(m, m)}").alias(names[m]) for m in MEASURES])
 
 
 def votes(names: dict[str, str]) -> list[Column]:
@@ -170,17 +170,17 @@ def quality(docs: DataFrame, *, text_col: str = "text", least: float = 0.5, keep
     keep = docs.columns if keep is None else keep
     names = {m: own_name(docs, m) for m in MEASURES}
     pattern = own_name(docs, "votes")
-    rows = with_measures(docs, text_col, names).select(*keep, *names.values())
+    rows = with_measures(docs, text_col, names).select(*columns(keep), *names.values())
     rows = stored(rows.withColumn(pattern, F.array(*votes(names))))
     counts = rows.groupBy(F.col(pattern).alias("v")).agg(F.count("*").alias("n"))
     share, odds = fit(counts, len(RULES))
     n, again = F.col(names["n_words"]), F.col(names["n_repeat_words"])
     failed = (n < 50) | (100 * again > 50 * n)
     good = posterior(F.col(pattern), share, odds)
-    return rows.select(*keep, *[names[m] for m in MEASURES[:5]], failed.alias(own_name(docs, "base_failed")),
+    return rows.select(*columns(keep), *[names[m] for m in MEASURES[:5]], failed.alias(own_name(docs, "base_failed")),
                        good.alias(own_name(docs, "good")), (~failed & (good >= least)).alias(own_name(docs, "kept")))
 
 
 def without_poor(docs: DataFrame, **params) -> DataFrame:
     """The documents that quality() keeps, with all their columns."""
-    return quality(docs, **params).where(F.col(own_name(docs, "kept"))).select(*docs.columns)
+    return quality(docs, **params).where(F.col(own_name(docs, "kept"))).select(*columns(docs.columns))

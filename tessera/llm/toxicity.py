@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import wordhash as W
-from tessera.llm.common import own_name, stored
+from tessera.llm.common import columns, own_name, plain, stored
 
 #: Discount of the smaller class; the larger one's is in proportion.
 DISCOUNT = 1.0
@@ -269,11 +269,11 @@ def _joined_ratios(docs: DataFrame, name: str, word_rows: DataFrame, pair_rows:
 def _with_ratio(docs: DataFrame, keep: list[str], name: str, word_rows: DataFrame, pair_rows: DataFrame, sent) -> DataFrame:
     """``keep`` columns of the documents and the ratio; sent: the model at the tasks, if it is small enough."""
     if sent is None:
-        return _joined_ratios(docs, name, word_rows, pair_rows).select(*keep, name)
+        return _joined_ratios(docs, name, word_rows, pair_rows).select(*columns(keep), name)
     text = own_name(docs, "scored_text")
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias(text))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(name, T.DoubleType())])
-    return rows.mapInArrow(partial(_score, sent=sent, names=[*keep, name]), schema)
+    rows = docs.select(*columns(keep), F.coalesce(F.col("text"), F.lit("")).alias(text))
+    schema = T.StructType([*docs.select(*columns(keep)).schema.fields, T.StructField(name, T.DoubleType())])
+    return plain(rows).mapInArrow(partial(_score, sent=sent, names=[*keep, name]), schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
@@ -316,7 +316,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = Non
     ratio = own_name(docs, "ratio")
     keep = docs.columns if keep is None else keep
     scored = _with_ratio(docs, keep, ratio, word_rows, pair_rows, sent)
-    score_col = own_name(docs.select(*[F.col(f"`{c}`") for c in keep]), score_col)
+    score_col = own_name(docs.select(*columns(keep)), score_col)
     return scored.withColumn(score_col, 1 / (1 + F.exp(-(F.lit(slope / scale) * F.col(ratio) + F.lit(offset))))).drop(ratio)
 
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import own_name, packed, stored
+from tessera.llm.common import columns, own_name, packed, stored
 from tessera.llm.urls import host_of, path_of
 
 #: (host, path, verdict); a rule fits its host and all subdomains, and paths that start with its own.
@@ -109,11 +109,11 @@ def judged(pages: DataFrame, *, rules=RULES, url_col: str = "url", html_col: str
     per_host = scores.groupBy("node").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
     per_host = stored(per_host.join(shares, "node").withColumn("share", F.col("n") / whole).drop("n"))
     salt = F.pmod(F.xxhash64(F.col(f"`{url_col}`")), F.lit(SALTS))
-    left = packed(named.select(*keep, name["host"], name["path"], rule.alias(name["rule"]), verdict.alias(name["verdict"]), salt.alias(name["salt"])))
+    left = packed(named.select(*columns(keep), name["host"], name["path"], rule.alias(name["rule"]), verdict.alias(name["verdict"]), salt.alias(name["salt"])))
     left = left.select("row", F.col(f"row.{name['host']}").alias("node"), F.col(f"row.{name['salt']}").alias("salt"))
     joined = left.join(per_host.withColumn("salt", salts), ["node", "salt"], "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     balance = F.when(trust + distrust > 0, (trust - distrust) / (trust + distrust + F.col("share"))).otherwise(0.0)
     found = F.coalesce(F.col(f"row.{name['verdict']}"), F.when(balance < LEAST_BALANCE, "block").otherwise("allow"))
-    return joined.select(*[F.col(f"row.`{c}`") for c in (*keep, name["host"], name["path"], name["rule"])], found.alias(name["verdict"]),
+    return joined.select(*columns((*keep, name["host"], name["path"], name["rule"]), "row"), found.alias(name["verdict"]),
                          trust.alias(name["trust"]), distrust.alias(name["distrust"]))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import wordhash as W
-from tessera.llm.common import own_name, stored
+from tessera.llm.common import columns, own_name, stored
 
 #: Share of rows whose minimisers are counted to find the frequent ones (results do not depend on it).
 SAMPLE = 1 / 16
@@ -350,8 +350,8 @@ def without_copied(docs: DataFrame, *, window: int = 13, gram: int = 3, id_col:
     held = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
     spans = spans.select("doc_id", F.col("copy").alias("c"), "spans")
     spans = F.broadcast(spans) if held <= SENT_SPANS else spans
-    kept_columns = docs.select(*[F.col(f"`{c}`") for c in keep])
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), ident.alias("id"), text_copy(text).alias("copy"), text.alias("text"))
+    kept_columns = docs.select(*columns(keep))
+    rows = docs.select(F.struct(*columns(keep)).alias("row"), ident.alias("id"), text_copy(text).alias("copy"), text.alias("text"))
     rows = rows.join(spans, (F.col("id") == F.col("doc_id")) & (F.col("copy") == F.col("c")), "left").select("row", "text", "spans")
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     found = rows.mapInArrow(_kept, schema)
