@@ -111,6 +111,28 @@ def test_shards_have_exact_sizes_and_gapless_slots(documents, nothing):
     assert shuffled(nothing.select("doc_id"), 7).count() == 0
 
 
+def test_a_joined_matrix_and_small_tasks_deal_the_same(documents, monkeypatch):
+    from tessera.llm import sharding
+
+    rows = documents.select("doc_id", "text").coalesce(1).sortWithinPartitions(F.xxhash64("text", "doc_id"))
+    whole = Counter(map(tuple, sharding.shuffled(rows, 5).collect()))
+    assert Counter(map(tuple, sharding.shuffled(rows, 5, task_bytes=1).collect())) == whole
+    monkeypatch.setattr(sharding, "SENT_COUNTS", 0)
+    assert Counter(map(tuple, sharding.shuffled(rows, 5).collect())) == whole
+    assert sharding.shuffled(rows.where("doc_id < -1"), 5).count() == 0
+
+
+def test_tasks_hold_about_so_many_bytes(spark):
+    from tessera.llm.sharding import shuffled
+
+    rows = spark.range(4000).select("id", F.repeat(F.lit("x"), 100).alias("text"))
+    dealt = shuffled(rows, 2, task_bytes=20_000).collect()
+    assert len(dealt) == 4000 and {r["shard"] for r in dealt} == {0, 1}
+    plan = shuffled(rows, 2, task_bytes=20_000)._jdf.queryExecution().optimizedPlan().toString()
+    rows_a_part = int(re.search(r"FLOOR\(\(cast\(slot#\d+L? as double\) / (\d+)\.0\)", plan).group(1))
+    assert 120 <= rows_a_part <= 180  # about 120 bytes a row
+
+
 def test_the_sharding_query_moves_whole_documents(spark, monkeypatch):
     import zlib
 
