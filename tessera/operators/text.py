@@ -7,8 +7,11 @@ Scale notes
 * Token counts explode tokens inside the row and aggregate with a map-side
   partial step, so a very frequent token (a third of all tokens) costs one
   partial row per map task, not a hot reducer.
-* TF-IDF: (doc, term) counts -> document frequency per term (partial
-  aggregation) -> vocabulary = distributed top-k (``orderBy().limit(k)``,
+* TF-IDF: documents are dealt over partitions of ``TASK_BYTES`` of text, so
+  a task's (doc, term) counts stay the same size however large the input is
+  -> document frequency per word, then per pair of words that can still be
+  among the ``max_terms`` most frequent terms (a pair is no more frequent
+  than either word) -> vocabulary = distributed top-k (``orderBy().limit(k)``,
   planned as TakeOrderedAndProject).  The vocabulary has a proven size bound
   (``max_terms``) and is broadcast; the per-document L2 norm is a window
   over one document's vocabulary terms (<= max_terms rows).
@@ -22,8 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import materialize
 
 HASH_DIGITS = 8  # hex digits of md5 used for the split threshold
+#: Bytes of text to a partition whose terms are counted by document.
+TASK_BYTES = 4 << 20
+#: Words that are sent to every task to choose the pairs that are counted.
+SENT_WORDS = 1_000_000
 
 
 # ------------------------------------------------------------- preparation
@@ -144,6 +152,13 @@ def exact_stratified_split(df: DataFrame, id_col: str, label: str, test_fraction
 
 
 # ------------------------------------------------------------- M10 TF-IDF
+def dealt_by_document(docs: DataFrame, size, *doc: str) -> DataFrame:
+    """``docs`` hash-partitioned by their id into partitions of about TASK_BYTES of ``size``,
+    whatever number of shuffle partitions the session has."""
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    return docs.repartition(-(-total // TASK_BYTES) or 1, *doc)
+
+
 def term_frequencies(docs: DataFrame, doc: str = "doc_id", toks: str = "tokens",
                      text: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc, *keep, term, tf) over unigrams and bigrams of each document.
@@ -152,27 +167,56 @@ def term_frequencies(docs: DataFrame, doc: str = "doc_id", toks: str = "tokens",
     then moves documents (corpus bytes), not exploded terms (about twice
     the corpus plus a row header per term), the (doc, term) aggregation
     needs no further exchange, and tokenising runs on every partition even
-    when the input arrives in few splits.  Ids are unique, so no partition
-    can be hot.
+    when the input arrives in few splits.  The partitions grow in number with
+    the texts' bytes (one more read of the texts), not in size.  Ids are
+    unique, so no partition can be hot.
     """
     if text is not None:  # tokenise after the repartition
-        dealt = docs.select(doc, text, *keep).repartition(doc).select(doc, *keep, T.tokens(text).alias(toks))
+        dealt = dealt_by_document(docs.select(doc, text, *keep), F.octet_length(text), doc).select(doc, *keep, T.tokens(text).alias(toks))
     else:
-        dealt = docs.select(doc, toks, *keep).repartition(doc)
+        dealt = dealt_by_document(docs.select(doc, toks, *keep), F.octet_length(F.array_join(toks, " ")), doc)
     return (dealt.select(doc, *keep, F.explode(T.uni_bi_grams(F.col(toks))).alias("term"))
                  .groupBy(doc, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def fit_vocabulary(tf: DataFrame, n_docs, max_terms: int = 2500, min_df: int = 2,
                    doc: str = "doc_id") -> DataFrame:
-    """Vocabulary (term, idf, term_index): terms with df >= min_df, the
+    """Vocabulary (term, idf, df, cf): terms with df >= min_df, the
     ``max_terms`` most frequent by corpus count (ties by term), smooth idf
-    ln((1+N)/(1+df)) + 1."""
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    top = (stats.where(F.col("df") >= min_df)
-                .orderBy(F.desc("cf"), F.asc("term")).limit(max_terms))
+    ln((1+N)/(1+df)) + 1.
+
+    A pair of words is no more frequent than either word.  So when the words
+    alone fill the vocabulary, a pair can enter it only if both its words are
+    as frequent as the last of them; moreover its first word, which comes
+    before the pair, is then one of them.  All other pairs, most of a corpus'
+    different terms, need not be counted.  ``tf`` is read twice.
+    """
+    def stats(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+                    .where(F.col("df") >= min_df))
+
+    def most_frequent(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(F.desc("cf"), F.asc("term")).limit(max_terms)
+
+    is_pair = F.instr("term", " ") > 0
+    words = materialize(stats(tf.where(~is_pair)))
+    leading = materialize(most_frequent(words))
+    n, least = leading.agg(F.count(F.lit(1)), F.min("cf")).first()
+    frequent = words.where(F.col("cf") >= least) if n == max_terms else words
+    pairs = tf.where(is_pair)
+    if n:
+        pairs = _with_word(pairs, 1, leading)  # <= max_terms rows
+        if frequent.count() <= SENT_WORDS:
+            pairs = _with_word(pairs, -1, frequent)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return top.select("term", idf.alias("idf"), "df", "cf")
+    return most_frequent(words.unionByName(stats(pairs))).select("term", idf.alias("idf"), "df", "cf")
+
+
+def _with_word(pairs: DataFrame, at: int, words: DataFrame) -> DataFrame:
+    """Rows whose term's first (1) or last (-1) word is one of ``words``; the planner
+    tests them before it counts them by document."""
+    return pairs.join(F.broadcast(words.select(F.col("term").alias("word"))),
+                      F.substring_index("term", " ", at) == F.col("word"), "left_semi")
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
