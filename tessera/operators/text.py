@@ -221,7 +221,9 @@ def _with_word(pairs: DataFrame, at: int, words: DataFrame) -> DataFrame:
 
 def tfidf(tf: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, term, weight and what ``tf`` carries): tf * idf over the vocabulary, L2-normalised per doc."""
-    j = tf.join(F.broadcast(vocab.select("term", "idf")), "term")  # <= max_terms rows
+    vocab = F.broadcast(vocab.select("term", "idf"))  # <= max_terms rows
+    # the semi join goes below the counts of ``tf``: terms outside the vocabulary are not counted
+    j = tf.join(vocab, "term", "left_semi").join(vocab, "term")
     raw = F.col("tf") * F.col("idf")
     w = Window.partitionBy(doc)
     norm = F.sqrt(F.sum(raw * raw).over(w))

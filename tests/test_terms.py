@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import text as X
 
@@ -56,3 +57,14 @@ def test_vocabulary_equals_a_plain_count(texts, monkeypatch, max_terms, sent):
 def test_vocabulary_of_nothing(spark):
     tf = X.term_frequencies(spark.createDataFrame([(1, None), (2, "")], "doc_id long, review_text string"), text="review_text")
     assert X.fit_vocabulary(tf, 2).count() == 0
+
+
+def test_weights_count_no_term_outside_the_vocabulary(texts):
+    _, frame = texts
+    tf = X.term_frequencies(frame, text="review_text")
+    vocab = X.fit_vocabulary(tf, 80, 5, 2)
+    weights = X.tfidf(tf, vocab)
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [doc_id") < plan.index("LeftSemi")
+    squares = weights.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert squares and all(abs(r.s - 1) < 1e-9 for r in squares)
