@@ -111,13 +111,14 @@ def tracked(df):
     return df
 
 
-def side_by_side(tasks: dict):
-    """Results of some functions of no arguments, run at the same time: fits of
-    small frames wait for the scheduler, not for the data."""
+def side_by_side(tasks: dict, at_once: int | None = None):
+    """Results of some functions of no arguments, run at the same time (``at_once``
+    of them, if given; the first ones start first): fits of small frames wait for
+    the scheduler, not for the data."""
     from pyspark import inheritable_thread_target
 
     from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max(len(tasks), 1)) as pool:
+    with ThreadPoolExecutor(max(at_once or len(tasks), 1)) as pool:
         started = {name: pool.submit(inheritable_thread_target(f)) for name, f in tasks.items()}
         return {name: f.result() for name, f in started.items()}
 

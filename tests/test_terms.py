@@ -1,12 +1,16 @@
-"""Term counts that stay the same size by task."""
+"""Term counts that stay the same size by task, and forests grown side by side."""
 
 import random
 from collections import Counter
 
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tessera.operators import text as X
+from tessera.plans import sentiment
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +72,29 @@ def test_weights_count_no_term_outside_the_vocabulary(texts):
     assert plan.index("Aggregate [doc_id") < plan.index("LeftSemi")
     squares = weights.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert squares and all(abs(r.s - 1) < 1e-9 for r in squares)
+
+
+def test_forests_share_the_trees_and_vote_as_one(spark):
+    one, many = sentiment.forests(sentiment.SPLIT_ROWS), sentiment.forests(sentiment.SPLIT_ROWS + 1)
+    assert len(one) == 1 and one[0].getNumTrees() == sentiment.RF_TREES and one[0].getSeed() == sentiment.SEED
+    assert len(many) > 1 and sum(f.getNumTrees() for f in many) == sentiment.RF_TREES and len({f.getSeed() for f in many}) == len(many)
+    rng = random.Random(1)
+    data = spark.createDataFrame([(i, Vectors.dense(rng.random(), rng.random()), float(rng.randrange(3))) for i in range(60)], ["id", "features", "label"]).coalesce(1).cache()
+    models = [RandomForestClassifier(numTrees=3, maxDepth=4, seed=k).fit(data) for k in range(2)]
+    single = models[0].transform(data).select("id", "prediction").collect()
+    assert sorted(single) == sorted(sentiment.voted(models[:1], data).select("id", F.col("prediction").cast("double")).collect())
+    votes = [{r.id: r.v for r in RandomForestClassifier(numTrees=3, maxDepth=4, seed=k).fit(data).transform(data).select("id", vector_to_array("rawPrediction").alias("v")).collect()} for k in range(2)]
+    for r in sentiment.voted(models, data).collect():
+        total = [a + b for a, b in zip(votes[0][r.id], votes[1][r.id], strict=True)]
+        assert r.prediction == total.index(max(total))
+
+
+def test_flow_with_split_forests_scores_every_test_doc(spark, monkeypatch):
+    for name, value in (("SPLIT_ROWS", 10), ("FORESTS", 3), ("RF_TREES", 4), ("RF_MAX_DEPTH", 4), ("LR_MAX_ITER", 5)):
+        monkeypatch.setattr(sentiment, name, value)
+    rng = random.Random(2)
+    reviews = spark.createDataFrame([(i, " ".join(rng.choice(("good", "bad", "lamp", "desk")) for _ in range(8)), ("Negative", "Neutral", "Positive")[i % 3]) for i in range(90)],
+                                    "doc_id long, review_text string, sentiment string")
+    n_test = X.hash_split(reviews, "doc_id").where("is_test").count()
+    counts = {r.model: r["count"] for r in sentiment.fit_and_score(reviews).where("prediction between 0 and 2").groupBy("model").count().collect()}
+    assert counts == dict.fromkeys(sentiment.MODEL_ORDER, n_test)
