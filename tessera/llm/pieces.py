@@ -33,12 +33,16 @@ from tessera.llm.common import columns, own_name, plain
 #: Path prefixes of lower log-probability hold less mass than a double resolves.
 _NEGLIGIBLE = -40.0
 _SLOTS = 20
+#: An empty slot, and one that only beginnings of pieces fall into.
+_NOTHING, _BEGIN = -1, -2
+#: Factors that spread the spans' values over each table.
+_SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: A lattice holds some eight arrays of its edges, so slices are small.
 _SLICE_BYTES = 1 << 18
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model by the hash of their bytes, a space for the space mark."""
+    """Pieces of a SentencePiece model by the value of their bytes, a space for the space mark."""
 
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
@@ -70,28 +74,39 @@ class Vocabulary:
         self.raw = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.cost = -sharpness * np.log(np.array(ranks) + 2.7)
         self.byte_cost = -sharpness * np.log(count + 2.7)
-        self.hashes = W.span_hashes(W.exact_sums(data), ends - np.diff(ends, prepend=0), ends)
+        starts = ends - np.diff(ends, prepend=0)
+        sums, down = W.exact_sums(data), W.inverse_powers(len(data) + 1)
+        self.values = W.span_values(sums[starts], sums[ends], down[starts], ends - starts)
         self.longest = int(np.diff(ends, prepend=0).max())
         # two tables of slots; a piece whose first slot is taken goes to the second
-        self.slots = np.full((2, 1 << _SLOTS), -1, np.int32)
-        rest = {}
-        for j, h in enumerate(self.hashes.tolist()):
-            at = h >> (64 - _SLOTS)
-            if self.slots[0, at] < 0:
-                self.slots[0, at] = j
-            elif self.slots[1, h & ((1 << _SLOTS) - 1)] < 0:
-                self.slots[1, h & ((1 << _SLOTS) - 1)] = j
+        self.slots = np.full((2, 1 << _SLOTS), _NOTHING, np.int32)
+        one, two = self._places(self.values, 0).tolist(), self._places(self.values, 1).tolist()
+        for j in range(len(ids)):
+            if self.slots[0, one[j]] < 0:
+                self.slots[0, one[j]] = j
+            elif self.slots[1, two[j]] < 0:
+                self.slots[1, two[j]] = j
             else:
-                rest[h] = j
-        if rest:
-            raise ValueError("too many pieces for the slots")
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of the piece with each hash, or -1."""
-        one = self.slots[0, hashes >> np.uint64(64 - _SLOTS)]
-        hit = (one >= 0) & (self.hashes[one] == hashes)
-        two = self.slots[1, hashes & np.uint64((1 << _SLOTS) - 1)]
-        return np.where(hit, one, np.where((two >= 0) & (self.hashes[two] == hashes), two, -1))
+                raise ValueError("too many pieces for the slots")
+        # the first slots of all that pieces begin with tell where a longer one may still be found
+        for length in range(1, self.longest):
+            at = starts[ends - starts > length]
+            place = self._places(W.span_values(sums[at], sums[at + length], down[at], length), 0)
+            self.slots[0, place[self.slots[0, place] == _NOTHING]] = _BEGIN
+
+    @staticmethod
+    def _places(values: np.ndarray, table: int) -> np.ndarray:
+        return ((values * _SPREAD[table]) >> np.uint64(64 - _SLOTS)).view(np.int64)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether a piece may begin with each span (given by its value), the spans that are pieces, and which."""
+        slot = self.slots[0, self._places(values, 0)]
+        at = np.flatnonzero(slot >= 0)
+        piece, own = slot[at], values[at]
+        other = np.flatnonzero(self.values[piece] != own)
+        piece[other] = self.slots[1, self._places(own[other], 1)]
+        other = other[(piece[other] < 0) | (self.values[piece[other]] != own[other])]
+        return slot != _NOTHING, np.delete(at, other), np.delete(piece, other)
 
 
 @lru_cache(maxsize=2)
@@ -102,8 +117,9 @@ def vocabulary(path: str, sharpness: float) -> Vocabulary:
 class Lattice:
     """Edges of all distinct units, grouped by the byte where they start.
 
-    For an edge: end byte, piece id (or -bytes for a character written as its
-    bytes), probability among the edges of its start, and their running sum.
+    For an edge: end byte (``next``: -1 for the unit's end), piece id (or -bytes
+    for a character written as its bytes), probability among the edges of its
+    start, and their running sum (endless at the last one).
     """
 
     def __init__(self, data: np.ndarray, unit_ends: np.ndarray, voc: Vocabulary):
@@ -120,16 +136,20 @@ class Lattice:
         found = []
         single = np.zeros(n, bool)
         after = np.append(starts[1:], n)  # next character
-        live, live_stops = starts, stops[starts]
+        # the live places are those where a piece may begin with the span that was looked up last
+        live, room, begun, scale = starts, stops[starts] - starts, sums[starts], W.inverse_powers(n + 1)[starts]
+        whole = bool(is_stop.all())
         for length in range(1, voc.longest + 1):
-            fits = live + length <= live_stops
-            live, live_stops = live[fits], live_stops[fits]
             if not len(live):
                 break
-            ask = live[is_stop[live + length]]
-            piece = voc.find(W.span_hashes(sums, ask, ask + length))
-            ask, piece = ask[piece >= 0], piece[piece >= 0]
-            found.append((ask, ask + length, voc.ids[piece], voc.cost[piece]))
+            more, at, piece = voc.find(W.span_values(begun, sums[live + length], scale, length))
+            at = live[at]
+            if not whole:
+                ends_char = is_stop[at + length]
+                at, piece = at[ends_char], piece[ends_char]
+            found.append((at, at + length, voc.ids[piece], voc.cost[piece]))
+            more = np.flatnonzero(more & (room > length))
+            live, room, begun, scale = live[more], room[more], begun[more], scale[more]
         width = np.zeros(n, np.int64)
         width[starts] = after - starts
         for at, end, _, _ in found:
@@ -177,6 +197,8 @@ class Lattice:
         self.sums = np.cumsum(self.share)
         self.base = np.zeros(n + 1)
         self.base[places] = self.sums[begin[:-1]] - self.share[begin[:-1]] if total else 0.0
+        self.sums[begin[1:] - 1] = np.inf  # no draw passes a place's last edge
+        self.next = np.where(is_end[self.end], -1, self.end)
 
 
 def uniform(key: np.ndarray, *parts) -> np.ndarray:
@@ -193,15 +215,18 @@ def walk(lattice: Lattice, places: np.ndarray, keys: np.ndarray) -> tuple[np.nda
     step = 0
     while len(live):
         target = lattice.base[now] + uniform(keys[live], step)
-        edge, last = lattice.first[now], lattice.last[now]
-        move = np.flatnonzero((lattice.sums[edge] < target) & (edge < last))
+        edge = lattice.first[now]
+        move = np.flatnonzero(lattice.sums[edge] < target)
+        passed, target = edge[move], target[move]
         while len(move):
-            edge[move] += 1
-            move = move[(lattice.sums[edge[move]] < target[move]) & (edge[move] < last[move])]
+            passed += 1
+            edge[move] = passed
+            on = np.flatnonzero(lattice.sums[passed] < target)
+            move, passed, target = move[on], passed[on], target[on]
         steps.append((live, edge))
         counts[live] += 1
-        now = lattice.end[edge]
-        go = ~lattice.is_end[now]
+        now = lattice.next[edge]
+        go = np.flatnonzero(now >= 0)
         live, now = live[go], now[go]
         step += 1
     offsets = np.concatenate([[0], np.cumsum(counts)])

@@ -112,10 +112,22 @@ def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sums
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """What scales the value of a span by where it starts, for ``n`` prefix sums (or some more)."""
+    return _powers(n)[1]
+
+
+def span_values(begun: np.ndarray, done: np.ndarray, scale: np.ndarray, length) -> np.ndarray:
+    """Values of spans by the prefix sums where they start and end, before they are spread by ``mix``."""
+    out = done - begun
+    out *= scale
+    out += np.asarray(length).astype(np.uint64)
+    return out
+
+
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span of the bytes whose prefix sums are given."""
-    _, down = _powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix(span_values(sums[starts], sums[ends], inverse_powers(len(sums))[starts], ends - starts))
 
 
 def exact_sums(data: np.ndarray) -> np.ndarray:

@@ -241,3 +241,31 @@ def test_pieces_are_drawn_without_replacement(model):
     for ids in likely:
         assert abs(first[ids] / n - prob[ids]) < 5 * (prob[ids] * (1 - prob[ids]) / n) ** 0.5
         assert abs(weight[ids] / n - prob[ids]) < 0.1 * prob[ids] + 0.01
+
+
+def test_edges_are_the_pieces_and_no_span_is_looked_up_that_no_piece_begins_with(model, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tessera.llm import pieces as X
+
+    voc = X.vocabulary(model, 1.0)
+    pieces = {voc.bytes_of[i] for i in voc.ids}
+    rng = random.Random(7)
+    units = [b" the", b" straightforwardly", " naïve".encode(), "世界\U0001f600".encode(), b"\n", b"   ", b"\xc3\xa9\x80a", b" x" * 3,
+             *[bytes(rng.choice(b"etaoinshrdlu") for _ in range(rng.randint(1, 60))) for _ in range(200)]]
+    asked, find = [], X.Vocabulary.find
+    monkeypatch.setattr(X.Vocabulary, "find", lambda self, values: asked.append(len(values)) or find(self, values))
+    data = np.frombuffer(b"".join(units), np.uint8)
+    lattice = X.Lattice(data, np.cumsum([len(u) for u in units]), voc)
+    want, at = set(), 0
+    for u in units:
+        ends = [k for k in range(1, len(u) + 1) if k == len(u) or u[k] & 0xC0 != 0x80]
+        for a, b in zip([0, *ends], ends):
+            found = {(at + a, at + e) for e in ends if e > a and u[a:e] in pieces}
+            want |= found | ({(at + a, at + b)} if (at + a, at + b) not in found else set())
+        at += len(u)
+    assert set(zip(lattice.start.tolist(), lattice.end.tolist())) == want
+    assert all((p < 0) == (data[a:b].tobytes() not in pieces) or b - a == 1 for a, b, p in zip(lattice.start, lattice.end, lattice.piece))
+    assert sum(asked) < 8 * len(data)
