@@ -238,11 +238,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
     placed = stored(placed.join(members.select("cid", "bands", "sketch").join(fine, "cid"), "cid"))
     left = placed.where("comp <> main").select("bucket", *[F.col(c).alias("l_" + c) for c in ("cid", "comp", "n_shingles", "bands", "sketch", "fine")])
     earlier = F.exists(F.sequence(F.lit(0), F.col("band")), lambda i: (i < F.col("band")) & (F.get("bands", i) == F.get("l_bands", i)))
-    second = left.join(placed, (left["bucket"] == placed["bucket"]) & (F.col("comp") != F.col("l_comp"))
-                       & ((F.col("comp") == F.col("main")) | (F.col("l_cid") < F.col("cid")))
-                       & sizes_fit(F.col("l_n_shingles"), F.col("n_shingles")) & (agreement(F.col("l_sketch"), F.col("sketch"), 2 * n_hashes // 32) >= least_agreement(share, 2 * n_hashes)) & ~earlier
-                       & (fine_agreement(F.col("l_fine"), F.col("fine")) >= least_fine(share))) \
-        .select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    # stored: what is confirmed is planned three times
+    second = stored(left.join(placed, (left["bucket"] == placed["bucket"]) & (F.col("comp") != F.col("l_comp"))
+                              & ((F.col("comp") == F.col("main")) | (F.col("l_cid") < F.col("cid")))
+                              & sizes_fit(F.col("l_n_shingles"), F.col("n_shingles")) & (agreement(F.col("l_sketch"), F.col("sketch"), 2 * n_hashes // 32) >= least_agreement(share, 2 * n_hashes)) & ~earlier
+                              & (fine_agreement(F.col("l_fine"), F.col("fine")) >= least_fine(share))) \
+        .select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more = confirmed(second)
     # links between components, told by the components' ids, join the first components
     named = comps.withColumnRenamed("node", "n")
@@ -252,9 +253,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
     lifted = lifted.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).distinct()
     above = connected_components(lifted).select(F.col("node").alias("comp"), F.col("component").alias("top"))
 
-    tops = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left") \
+    tops = stored(classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left") \
         .withColumn("comp", F.coalesce("component", "cid")).join(above, "comp", "left") \
-        .withColumn("top", F.coalesce("top", "comp"))
+        .select("fp1", "fp2", "rep", "lead", F.coalesce("top", "comp").alias("top")))
     heads = tops.groupBy("top").agg(F.min("rep").alias("component_id"), F.min("lead").alias("lead"))
     named_classes = tops.join(heads.withColumnRenamed("lead", "first_row"), "top").select("fp1", "fp2", "component_id", F.col("first_row.r").alias("keeper"))
 

@@ -243,3 +243,28 @@ def test_many_candidates_are_joined_with_the_same_result(documents, monkeypatch)
     sent = Counter(tuple(r) for r in minhash.near_duplicates(documents).collect())
     monkeypatch.setattr(minhash, "SENT_CLASSES", 0)
     assert Counter(tuple(r) for r in minhash.near_duplicates(documents).collect()) == sent
+
+
+def test_components_plan_each_round_s_links_once_for_each_use(spark, monkeypatch):
+    """Plans that double with each use fill the driver's memory."""
+    import random
+
+    from tessera.llm import components as X
+
+    scans, stored = [], X.stored
+
+    def counted(df):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+        return stored(df)
+
+    monkeypatch.setattr(X, "stored", counted)
+    rng = random.Random(3)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7)]
+    least = {n: n for a, b in links for n in (a, b) if a != b}
+    for _ in range(60):
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = X.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r["node"], r["component"]) for r in found) == sorted(least.items())
+    assert len(scans) > 2 and max(scans[1:]) <= 4
