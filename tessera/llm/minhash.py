@@ -25,7 +25,7 @@ from tessera.llm.common import SPACE, columns, own_name, stored
 from tessera.llm.components import connected_components
 
 _STEP_SHINGLES = 2048
-#: Candidate classes that are sent to every task to fetch their texts; more are joined by shuffling the texts.
+#: Classes that are sent to every task to fetch their signatures or texts; more are joined by shuffling these.
 SENT_CLASSES = 1_000_000
 #: Pairs of one class that are confirmed by one task.
 HUB_PAIRS = 2000
@@ -201,17 +201,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
         F.min("rid").alias("cid"), F.min("doc_id").alias("rep"),
         F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))).alias("lead")))
 
-    members = signed.join(classes.select("cid"), signed["rid"] == F.col("cid"))
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= SENT_CLASSES else df
+
     def sizes_fit(n: Column, m: Column) -> Column:
         return share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)
 
-    posts = members.select("cid", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    shared = posts.groupBy("bucket").agg(F.min(F.struct("cid", "n_shingles")).alias("hub"), F.max("cid").alias("last")).where("hub.cid < last")
-    posts = stored(posts.join(shared.select("bucket", F.col("hub.cid").alias("hub"), F.col("hub.n_shingles").alias("hub_n")), "bucket"))
+    # a class has a row here for each band, so the rows are flat, and dealt once for the buckets' hubs and for the join with them
+    posts = signed.join(sent(classes.select("cid")), signed["rid"] == F.col("cid")).select("cid", "n_shingles", F.explode("bands").alias("bucket")).repartition("bucket")
+    shared = posts.groupBy("bucket").agg(F.min("cid").alias("hub"), F.min_by("n_shingles", "cid").alias("hub_n"), F.max("cid").alias("last")).where("hub < last")
+    posts = stored(posts.join(shared.drop("last"), "bucket"))
 
-    candidates = posts.select("cid").distinct()
-    asked = stored(members.join(candidates, "cid", "left_semi").select("cid", "doc_id", "th"))
-    asked = F.broadcast(asked) if asked.count() <= SENT_CLASSES else asked
+    candidates = sent(stored(posts.select("cid").distinct()))
+    asked = sent(stored(signed.join(candidates, signed["rid"] == F.col("cid")).select("cid", "doc_id", "th")))
     whole = docs.select(F.col(id_col).cast("long").alias("i"), text_key(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     texts = stored(whole.join(asked, (F.col("t") == F.col("th")) & F.col("i").eqNullSafe(F.col("doc_id")))
                    .select("cid", "text").dropDuplicates(["cid"]))
@@ -230,12 +232,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, share: tuple[int, int] =
     comps = stored(connected_components(links))
 
     placed = posts.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "bucket", "band", "cid", "n_shingles", F.coalesce("component", "cid").alias("comp"))
+        "bucket", "cid", "n_shingles", F.coalesce("component", "cid").alias("comp"))
     mixed = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     placed = placed.join(mixed.select("bucket", F.col("top.comp").alias("main")), "bucket")
     fine = texts.join(placed.select("cid").distinct(), "cid").select("cid", "text").mapInArrow(partial(_fine, words=words), "cid long, fine array<long>")
-    placed = stored(placed.join(members.select("cid", "bands", "sketch").join(fine, "cid"), "cid"))
+    traits = signed.join(candidates, signed["rid"] == F.col("cid")).select("cid", "bands", "sketch").join(fine, "cid")
+    placed = stored(placed.join(traits, "cid").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1))
     left = placed.where("comp <> main").select("bucket", *[F.col(c).alias("l_" + c) for c in ("cid", "comp", "n_shingles", "bands", "sketch", "fine")])
     earlier = F.exists(F.sequence(F.lit(0), F.col("band")), lambda i: (i < F.col("band")) & (F.get("bands", i) == F.get("l_bands", i)))
     # stored: what is confirmed is planned three times

@@ -245,6 +245,35 @@ def test_many_candidates_are_joined_with_the_same_result(documents, monkeypatch)
     assert Counter(tuple(r) for r in minhash.near_duplicates(documents).collect()) == sent
 
 
+def test_rounds_of_few_links_need_no_shuffle(spark, monkeypatch):
+    from tessera.llm import components as X
+
+    plans = []
+    stored = X.stored
+    monkeypatch.setattr(X, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (7, 7)], "a long, b long")
+    few = {tuple(r) for r in X.connected_components(links).collect()}
+    assert few == {*((i, 0) for i in range(21)), (100, 100), (101, 100)}
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans[1:])
+    monkeypatch.setattr(X, "TASK_PAIRS", 0)
+    assert {tuple(r) for r in X.connected_components(links).collect()} == few
+
+
+def test_band_rows_are_dealt_once(spark, documents, monkeypatch):
+    from tessera.llm import minhash
+
+    kept = []
+    stored = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df: kept.append(df) or stored(df))
+    minhash.near_duplicates(documents)
+    posts = next(df for df in kept if "hub" in df.columns)
+    rows = posts.count()
+    dealt = posts.groupBy("bucket").agg(F.min("cid").alias("least"), F.max("cid").alias("most"), F.min("hub").alias("hub"), F.max("hub").alias("last_hub"))
+    assert rows and not dealt.where("least <> hub or hub <> last_hub or least = most").count()
+    plan = posts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [bucket") == 2  # of one exchange, used twice
+
+
 def test_components_plan_each_round_s_links_once_for_each_use(spark, monkeypatch):
     """Plans that double with each use fill the driver's memory."""
     import random
