@@ -37,6 +37,8 @@ _SLOTS = 20
 _NOTHING, _BEGIN = -1, -2
 #: Factors that spread the spans' values over each table.
 _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Bytes of a character at most.
+_CHARACTER = 4
 #: A lattice holds some eight arrays of its edges, so slices are small.
 _SLICE_BYTES = 1 << 18
 
@@ -135,7 +137,8 @@ class Lattice:
         starts = np.flatnonzero(char)
         found = []
         single = np.zeros(n, bool)
-        after = np.append(starts[1:], n)  # next character
+        width = np.zeros(n, np.int64)
+        width[starts] = np.append(starts[1:], n) - starts  # up to the next character
         # the live places are those where a piece may begin with the span that was looked up last
         live, room, begun, scale = starts, stops[starts] - starts, sums[starts], W.inverse_powers(n + 1)[starts]
         whole = bool(is_stop.all())
@@ -148,12 +151,10 @@ class Lattice:
                 ends_char = is_stop[at + length]
                 at, piece = at[ends_char], piece[ends_char]
             found.append((at, at + length, voc.ids[piece], voc.cost[piece]))
+            if length <= _CHARACTER:
+                single[at[width[at] == length]] = True
             more = np.flatnonzero(more & (room > length))
             live, room, begun, scale = live[more], room[more], begun[more], scale[more]
-        width = np.zeros(n, np.int64)
-        width[starts] = after - starts
-        for at, end, _, _ in found:
-            single[at[end - at == width[at]]] = True
         bare = starts[~single[starts]]
         size = width[bare]
         ids = np.where(size == 1, voc.byte_id[data[bare]], -size.astype(np.int32))
@@ -184,21 +185,21 @@ class Lattice:
         is_end = np.zeros(n + 1, bool)
         is_end[unit_ends] = True
         self.is_end = is_end
+        self.next = np.where(is_end[self.end], -1, self.end)  # the last place's mass stays 0
         steps = np.flatnonzero(np.diff(distance[order], prepend=-1)) if len(order) else np.empty(0, np.int64)
         value = np.empty(total)
-        for a, b in zip(steps, np.append(steps[1:], len(places)), strict=True):
+        for a, b in zip(steps, np.append(steps[1:], len(places))[:len(steps)], strict=True):
             lo, hi = begin[a], begin[b]
-            ends = self.end[lo:hi]
-            value[lo:hi] = cost[lo:hi] + np.where(is_end[ends], 0.0, mass[ends])
+            np.add(cost[lo:hi], mass[self.next[lo:hi]], out=value[lo:hi])
             mass[places[a:b]] = np.logaddexp.reduceat(value[lo:hi], begin[a:b] - lo)
-        self.start = np.repeat(places, counts[places])
-        self.log = value - mass[self.start]
+        many = counts[places]
+        self.start = np.repeat(places, many)
+        self.log = value - np.repeat(mass[places], many)
         self.share = np.exp(self.log)
         self.sums = np.cumsum(self.share)
         self.base = np.zeros(n + 1)
         self.base[places] = self.sums[begin[:-1]] - self.share[begin[:-1]] if total else 0.0
         self.sums[begin[1:] - 1] = np.inf  # no draw passes a place's last edge
-        self.next = np.where(is_end[self.end], -1, self.end)
 
 
 def uniform(key: np.ndarray, *parts) -> np.ndarray:
@@ -279,18 +280,30 @@ class Slice:
         doc = np.repeat(np.arange(len(keys)), np.diff(self.first_unit))
         self.unit_keys = W.mix(keys[doc] * np.uint64(0xD6E8FEB86659FD93) + (np.arange(len(doc)) - self.first_unit[doc]).astype(np.uint64))
 
-    def rests(self, edges: np.ndarray, prefix: np.ndarray, key: np.ndarray, turn: int, bound: float, skip: int, most: int) -> list[tuple[float, int]]:
-        """(bound, step) of the ``most`` best search nodes that a path leaves, from step ``skip`` on."""
-        far = int(np.searchsorted(-prefix, -_NEGLIGIBLE, "right"))
-        left = 1 - self.lattice.share[edges[skip:far]]
-        steps = np.flatnonzero(left > 0)
-        if not len(steps):
-            return []
-        values = gumbel_below(prefix[steps + skip] + np.log(left[steps]), bound, uniform(key, np.uint64(7919 + turn), steps + skip))
-        if len(values) > most:
-            best = np.argpartition(values, -most)[-most:]
-            steps, values = steps[best], values[best]
-        return list(zip(values.tolist(), (steps + skip).tolist(), strict=True))
+    def rests(self, paths: list[tuple], turn: int, most: int) -> list[list[tuple[float, int]]]:
+        """(bound, step) of the ``most`` best search nodes that each path leaves; paths: (text, edges, prefix, bound, first step)."""
+        left, ends = [], []
+        for _, edges, prefix, _, skip in paths:
+            far = int(np.searchsorted(-prefix, -_NEGLIGIBLE, "right"))
+            left.append(edges[skip:far])
+            ends.append(prefix[skip:far])
+        sizes = np.array([len(x) for x in left], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        share = 1 - self.lattice.share[np.concatenate(left)]
+        some = np.flatnonzero(share > 0)
+        who = np.repeat(np.arange(len(paths)), sizes)[some]
+        steps = some - (begin - np.array([p[4] for p in paths], np.int64))[who]
+        key, bound = self.keys[np.array([p[0] for p in paths], np.int64)], np.array([p[3] for p in paths], np.float64)
+        values = gumbel_below(np.concatenate(ends)[some] + np.log(share[some]), bound[who], uniform(key[who], np.uint64(7919 + turn), steps))
+        out = []
+        cuts = np.searchsorted(who, np.arange(len(paths) + 1)).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own, at = values[lo:hi], steps[lo:hi]
+            if hi - lo > most:
+                best = np.argpartition(own, -most)[-most:]
+                own, at = own[best], at[best]
+            out.append(list(zip(own.tolist(), at.tolist(), strict=True)))
+        return out
 
     def sample(self, samples: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text, (edges, log-probability, perturbed log-probability, inclusion) in falling order."""
@@ -300,22 +313,26 @@ class Slice:
         found: list[list] = [[] for _ in range(n)]
         tops = -np.log(-np.log(uniform(self.keys, np.uint64(1))))
 
-        def add(i: int, edges: np.ndarray, counts: np.ndarray, turn: int, top: float, skip: int) -> None:
-            logs = lat.log[edges]
-            ends = np.cumsum(logs)
-            prefix = ends - logs
-            for value, step in self.rests(edges, prefix, self.keys[i: i + 1], turn, top, skip, samples):
-                heappush(heaps[i], (-value, turn, step, ()))
-            paths[i].append((edges, counts, prefix))
-            found[i].append((edges, float(ends[-1]) if len(ends) else 0.0, top))
+        def add(turn: int, new: list[tuple[int, np.ndarray, np.ndarray, float, int]]) -> None:
+            asked = []
+            for i, edges, counts, top, skip in new:
+                logs = lat.log[edges]
+                ends = np.cumsum(logs)
+                prefix = ends - logs
+                asked.append((i, edges, prefix, top, skip))
+                paths[i].append((edges, counts, prefix))
+                found[i].append((edges, float(ends[-1]) if len(ends) else 0.0, top))
+            for (i, *_), rests in zip(asked, self.rests(asked, turn, samples), strict=True):
+                for value, step in rests:
+                    heappush(heaps[i], (-value, turn, step, ()))
 
         edges, counts = walk(lat, self.places, self.unit_keys)
         bounds = np.concatenate([[0], np.cumsum(counts)])[self.first_unit]
-        for i in range(n):
-            add(i, edges[bounds[i]: bounds[i + 1]], counts[self.first_unit[i]: self.first_unit[i + 1]], 0, tops[i], 0)
+        add(0, [(i, edges[bounds[i]: bounds[i + 1]], counts[self.first_unit[i]: self.first_unit[i + 1]], tops[i], 0) for i in range(n)])
 
         for turn in range(1, samples):
-            asked, places, keys = [], [], []
+            asked, places, keys, others_of = [], [], [], []
+            draws, falls = (uniform(self.keys, np.uint64(seed + turn)) for seed in (104729, 1299709))
             for i in range(n):
                 if not heaps[i] or heaps[i][0][0] == np.inf:
                     continue
@@ -326,11 +343,10 @@ class Slice:
                 others = np.array([e for e in range(lat.first[place], lat.last[place] + 1) if e not in done])
                 shares = lat.share[others]
                 sums = np.cumsum(shares)
-                edge = int(others[min(int(np.searchsorted(sums, sums[-1] * uniform(self.keys[i: i + 1], np.uint64(104729 + turn))[0])), len(others) - 1)])
+                edge = int(others[min(int(np.searchsorted(sums, sums[-1] * draws[i])), len(others) - 1)])
                 left = float(shares.sum() - lat.share[edge])
                 if len(others) > 1 and left > 0:
-                    bound = gumbel_below(np.array([prefix[step] + np.log(left)]), -value, uniform(self.keys[i: i + 1], np.uint64(1299709 + turn)))[0]
-                    heappush(heaps[i], (-bound, which, step, (*done, edge)))
+                    others_of.append((i, which, step, (*done, edge), prefix[step], left, -value))
                 unit = int(np.searchsorted(np.cumsum(old_counts), step, "right"))
                 inside = step - int(old_counts[:unit].sum())
                 rest = slice(self.first_unit[i] + unit + 1, self.first_unit[i + 1])
@@ -341,16 +357,23 @@ class Slice:
                 asked.append((i, old[:step], edge, old_counts[:unit], inside, part, -value, step))
             if not asked:
                 break
+            if others_of:
+                mass = np.array([x[4] for x in others_of]) + np.log(np.array([x[5] for x in others_of]))
+                below = gumbel_below(mass, np.array([x[6] for x in others_of]), falls[np.array([x[0] for x in others_of])])
+                for (i, which, step, done, *_), bound in zip(others_of, below.tolist(), strict=True):
+                    heappush(heaps[i], (-bound, which, step, done))
             edges, counts = walk(lat, np.concatenate(places), np.concatenate(keys))
             at_unit = at_edge = 0
+            new = []
             for (i, head, edge, head_counts, inside, part, top, step), own in zip(asked, places, strict=True):
                 mine = counts[at_unit: at_unit + len(own)]
                 size = int(mine.sum())
                 whole = np.concatenate([head, [edge], edges[at_edge: at_edge + size]]).astype(np.int64)
                 first = inside + 1 + (int(mine[0]) if part else 0)
-                add(i, whole, np.concatenate([head_counts, [first], mine[1:] if part else mine]).astype(np.int64), turn, top, step + 1)
+                new.append((i, whole, np.concatenate([head_counts, [first], mine[1:] if part else mine]).astype(np.int64), top, step + 1))
                 at_unit += len(own)
                 at_edge += size
+            add(turn, new)
         out = []
         for i in range(n):
             least = -heaps[i][0][0] if heaps[i] else -np.inf

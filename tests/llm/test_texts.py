@@ -269,3 +269,25 @@ def test_edges_are_the_pieces_and_no_span_is_looked_up_that_no_piece_begins_with
     assert set(zip(lattice.start.tolist(), lattice.end.tolist())) == want
     assert all((p < 0) == (data[a:b].tobytes() not in pieces) or b - a == 1 for a, b, p in zip(lattice.start, lattice.end, lattice.piece))
     assert sum(asked) < 8 * len(data)
+
+
+def test_draws_of_a_slice_are_made_together(model, monkeypatch):
+    import numpy as np
+
+    from tessera.llm import pieces as X
+
+    voc = X.vocabulary(model, 1.0)
+    texts = [b"the thing number %d" % i for i in range(60)] + [b"", b"a"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    keys = X.W.mix(np.arange(1, len(texts) + 1, dtype=np.uint64))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    calls, below = [], X.gumbel_below
+    monkeypatch.setattr(X, "gumbel_below", lambda *args: calls.append(args) or below(*args))
+    part = X.Slice(data, offsets, keys, voc)
+    together = part.sample(3)
+    assert len(calls) <= 6  # one for each turn's paths and one for the nodes they leave open
+    for i, text in enumerate(texts):
+        single = X.Slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]), keys[i: i + 1], voc)
+        alone = single.sample(3)[0]
+        assert [part.ids(e).tolist() for e, *_ in together[i]] == [single.ids(e).tolist() for e, *_ in alone]
+        assert np.allclose([x[1:] for x in together[i]], [x[1:] for x in alone], rtol=1e-9)
