@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import forest as forest_rows
 from tessera.operators import metrics
 from tessera.operators import text as X
 from tessera.session import TREE_AGGREGATION_MB, for_fitting, side_by_side, tracked
@@ -26,9 +27,9 @@ LR_MAX_ITER, LR_C, NB_ALPHA, RF_TREES, RF_MAX_DEPTH = 500, 1.0, 0.5, 100, 30
 SEED = 42
 MODEL_ORDER = ("Logistic Regression", "Naive Bayes", "Random Forest")
 MIN_ROWS = 30  # fewer reviews after the filters: refuse to train (P7)
-#: Training rows from which the forest is grown as so many smaller ones side by side.
-#: Its trees are independent, but one fit's tasks are only as many as its partitions.
-SPLIT_ROWS, FORESTS = 5_000, 10
+#: Training rows from which the forest is grown by ``operators.forest``, as so many smaller
+#: ones side by side; Spark's learner passes over all rows again for every few nodes.
+SPLIT_ROWS, FORESTS = 5_000, 12
 #: Tasks that the fits running at the same time may have together.
 TASKS_AT_ONCE = 12
 
@@ -48,10 +49,11 @@ def tfidf_vectors(split: DataFrame):
     the 2,500 most frequent terms, ties by term); its <= 2,500 rows are the
     model's vocabulary, so no CountVectorizer / IDF fitting passes run.
     """
-    # tokens + n-grams computed once for the passes below
+    # tokens computed once for the passes below; as one text they take a tenth of the terms' memory
     dealt = X.dealt_by_document(split.select("doc_id", "label", "is_test", "review_text"), F.octet_length("review_text"), "doc_id")
-    terms = tracked(dealt.select("doc_id", "label", "is_test",
-                                 T.uni_bi_grams(T.tokens("review_text")).alias("terms")).persist())
+    clean = tracked(dealt.select("doc_id", "label", "is_test", T.clean_text("review_text").alias("clean")).persist())
+    tokens = F.filter(F.split("clean", " "), lambda t: t != "")
+    terms = clean.select("doc_id", "label", "is_test", T.uni_bi_grams(tokens).alias("terms"))
     train = terms.where(~F.col("is_test"))
     tf = (train.select("doc_id", F.explode("terms").alias("term"))
                .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
@@ -106,6 +108,17 @@ def voted(models, data: DataFrame) -> DataFrame:
                .select(*data.columns, "prediction"))
 
 
+def grown_and_voted(estimators, data: DataFrame, n_train: int) -> DataFrame:
+    """The test rows of ``data`` with the prediction of all trees of the forests that
+    ``estimators`` describe, grown over its other rows; votes count as in ``voted``."""
+    first = estimators[0]
+    shares = forest_rows.class_shares(data, [(est.getSeed(), est.getNumTrees()) for est in estimators], n_train,
+                                      len(T.LABELS), first.getMaxDepth())
+    votes = F.array(*[f"s_{c}" for c in range(len(T.LABELS))])
+    voted_for = (F.array_position(votes, F.array_max(votes)) - 1).cast("double")
+    return data.where(F.col("is_test")).join(shares.select("id", voted_for.alias("prediction")), "id")
+
+
 def fit_and_score(reviews: DataFrame):
     """reviews (doc_id, tokens, sentiment) -> long prediction table
     (model, doc_id, label, prediction) over the test part."""
@@ -114,19 +127,18 @@ def fit_and_score(reviews: DataFrame):
     split = X.hash_split(labelled, "doc_id")
     vec, _ = tfidf_vectors(split)
     data = for_fitting(vec.select("doc_id", "features", F.col("label").cast("double").alias("label"), "is_test"), "doc_id")
+    data = data.withColumn("id", F.monotonically_increasing_id())
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     n_train = train.count()
     grown = forests(n_train)
     estimators = classifiers(n_train)
     if len(grown) > 1:
         del estimators["Random Forest"]
-        estimators.update({f"Random Forest {k}": est for k, est in enumerate(grown)})
-    # each forest that grows keeps its own binned copy of the rows: few at once over many partitions
     models = side_by_side({name: lambda est=est: est.fit(train) for name, est in estimators.items()},
                           at_once=max(2, TASKS_AT_ONCE // train.rdd.getNumPartitions()))
     out = None
     for name in MODEL_ORDER:
-        p = models[name].transform(test) if name in models else voted([models[f"{name} {k}"] for k in range(len(grown))], test)
+        p = models[name].transform(test) if name in models else grown_and_voted(grown, data, n_train)
         p = p.select(F.lit(name).alias("model"), "doc_id",
                      F.col("label").cast("int").alias("label"),
                      F.col("prediction").cast("int").alias("prediction"))
